@@ -1,0 +1,26 @@
+"""Registered queries over the given tables, each with its SQL counterpart where SQL can say it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query under `name`, with the equivalent SQL if there is one."""
+    def register(fn):
+        if name in QUERIES:
+            raise ValueError(f"query '{name}' is registered twice")
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+    return register
+
+
+def load() -> None:
+    from catalog import cleaning, distributions, evaluation, intelligence, learning, splitting, storage  # noqa: F401

@@ -99,7 +99,7 @@ def date_label_pivot(
     return (
         df.groupBy(F.col(date_col).cast("date").alias("event_date"))
         .pivot(label_col, labels)
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
         .fillna(0)
         .orderBy("event_date")
     )

@@ -48,32 +48,31 @@ def outside_matrix(df: DataFrame, label_col: str = "label_idx", prediction_col:
         F.count_if(bad_label | bad_prediction).alias("rows_outside"))
 
 
-def _groups_with_classes(cells: DataFrame, by: list[str]) -> DataFrame:
-    """Every group with every class index, so that absent classes show up."""
-    spark = cells.sparkSession
-    if not by:
-        return dims.classes(spark)
-    groups = cells.select(*by).distinct()
+def _per_class(cells: DataFrame, by: list[str]) -> DataFrame:
+    """One row per group and class, absent classes included, with the group's cells as an array.
+
+    A group has at most 14 x 14 cells.  Carrying them along keeps the metrics a single
+    pass over the predictions, where a join with the class list would read them again.
+    """
     names = F.array(*[F.lit(c) for c in dims.CLASS_LABELS])
-    return groups.select(*by, F.posexplode(names).alias("class_index", "class_name"))
+    grouped = cells.groupBy(*by).agg(F.collect_list(F.struct("true_idx", "pred_idx", "n")).alias("_cells"))
+    return grouped.select(*by, "_cells", F.posexplode(names).alias("class_index", "class_name"))
 
 
-def class_support(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """tp, true and predicted support per class, absent classes included.
+def _cell_sum(keep) -> Column:
+    return F.aggregate(F.filter("_cells", keep), F.lit(0).cast("bigint"), lambda total, c: total + c["n"])
 
-    Each cell contributes once to its true class and once to its predicted class.
-    """
+
+def class_support(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """tp, true and predicted support per class, absent classes included."""
     by = by or []
-    hit = F.when(F.col("true_idx") == F.col("pred_idx"), F.col("n")).otherwise(0)
-    none = F.lit(0).cast("bigint")
-    both = cells.select(*by, F.inline(F.array(
-        F.struct(F.col("true_idx").alias("class_index"), F.col("n").alias("t"), none.alias("p"), hit.alias("tp")),
-        F.struct(F.col("pred_idx").alias("class_index"), none.alias("t"), F.col("n").alias("p"), none.alias("tp")),
-    )))
-    sums = both.groupBy(*by, "class_index").agg(
-        F.sum("t").alias("true_support"), F.sum("p").alias("predicted_support"), F.sum("tp").alias("true_positives"))
-    return _groups_with_classes(cells, by).join(sums, [*by, "class_index"], "left").fillna(
-        0, ["true_support", "predicted_support", "true_positives"])
+    k = F.col("class_index")
+    return _per_class(cells, by).select(
+        *by, "class_index", "class_name",
+        _cell_sum(lambda c: c["true_idx"] == k).alias("true_support"),
+        _cell_sum(lambda c: c["pred_idx"] == k).alias("predicted_support"),
+        _cell_sum(lambda c: (c["true_idx"] == k) & (c["pred_idx"] == k)).alias("true_positives"),
+    )
 
 
 def class_metrics(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -96,8 +95,7 @@ def class_metrics(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def overall_metrics(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Accuracy, majority baseline, macro and weighted averages over classes with support."""
+def _overall_aggregates() -> list[Column]:
     present = F.col("true_support") > 0
     total = F.sum("true_support")
 
@@ -108,7 +106,7 @@ def overall_metrics(metrics: DataFrame, by: list[str] | None = None) -> DataFram
         return F.coalesce(F.round(F.try_divide(
             F.sum(F.coalesce(name, F.lit(0.0)) * F.col("true_support")), total.cast("double")), 4), F.lit(0.0))
 
-    return metrics.groupBy(*(by or [])).agg(
+    return [
         total.alias("total_evaluated_samples"),
         F.coalesce(_rounded(F.sum("true_positives"), total), F.lit(0.0)).alias("overall_accuracy"),
         F.coalesce(_rounded(F.max("true_support"), total), F.lit(0.0)).alias("majority_class_baseline_accuracy"),
@@ -117,24 +115,27 @@ def overall_metrics(metrics: DataFrame, by: list[str] | None = None) -> DataFram
         weighted("precision").alias("weighted_precision"),
         weighted("recall").alias("weighted_recall"),
         macro("recall").alias("balanced_accuracy"),
-    )
+    ]
 
 
-def binary_metrics(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Class 0 against all others; undefined ratios are 0."""
-    benign, cleared = F.col("true_idx") == 0, F.col("pred_idx") == 0
+def _binary_aggregates() -> list[Column]:
+    # with class 0 as benign, its supports and hits determine the whole 2 x 2 table
+    def benign(name: str) -> Column:
+        return F.sum(F.when(F.col("class_index") == 0, F.col(name)).otherwise(0))
 
-    def cell_sum(keep: Column) -> Column:
-        return F.coalesce(F.sum(F.when(keep, F.col("n"))), F.lit(0))
+    total, kept = F.sum("true_support"), benign("true_positives")
+    missed = benign("predicted_support") - kept
+    return [
+        benign("true_support").alias("benign_total"),
+        (total - benign("true_support")).alias("attack_total"),
+        kept.alias("true_negatives_benign"),
+        (benign("true_support") - kept).alias("false_positives_alarms"),
+        missed.alias("false_negatives_missed"),
+        (total - benign("true_support") - missed).alias("true_positives_detected"),
+    ]
 
-    sums = cells.groupBy(*(by or [])).agg(
-        cell_sum(benign).alias("benign_total"),
-        cell_sum(~benign).alias("attack_total"),
-        cell_sum(benign & cleared).alias("true_negatives_benign"),
-        cell_sum(benign & ~cleared).alias("false_positives_alarms"),
-        cell_sum(~benign & cleared).alias("false_negatives_missed"),
-        cell_sum(~benign & ~cleared).alias("true_positives_detected"),
-    )
+
+def _with_binary_rates(sums: DataFrame) -> DataFrame:
     fp, tp = F.col("false_positives_alarms"), F.col("true_positives_detected")
 
     def share(num: Column, den: Column) -> Column:
@@ -151,19 +152,38 @@ def binary_metrics(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     return rates.withColumn("attack_f1_score", F.coalesce(f1, F.lit(0.0)))
 
 
+def overall_metrics(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Accuracy, majority baseline, macro and weighted averages over classes with support.
+
+    `metrics` is the result of `class_metrics` with the same `by`.
+    """
+    return metrics.groupBy(*(by or [])).agg(*_overall_aggregates())
+
+
+def binary_metrics(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Class 0 against all others from class metrics; undefined ratios are 0."""
+    return _with_binary_rates(metrics.groupBy(*(by or [])).agg(*_binary_aggregates()))
+
+
+def summary_metrics(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Overall and binary metrics together, from one aggregation."""
+    return _with_binary_rates(metrics.groupBy(*(by or [])).agg(*_overall_aggregates(), *_binary_aggregates()))
+
+
 def dense_matrix(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     """All 14 x 14 cells with the row share (4 decimals, 0 without support) and its display band."""
     by = by or []
-    grid = _groups_with_classes(cells, by).select(
-        *by, F.col("class_index").alias("true_idx"), F.col("class_name").alias("true_label"),
+    k = F.col("true_idx")
+    rows = _per_class(cells, by).withColumnsRenamed({"class_index": "true_idx", "class_name": "true_label"}).select(
+        *by, "true_idx", "true_label", "_cells",
+        _cell_sum(lambda c: c["true_idx"] == k).alias("true_class_support"),
         F.posexplode(F.array(*[F.lit(c) for c in dims.CLASS_LABELS])).alias("pred_idx", "predicted_label"))
-    full = grid.join(cells, [*by, "true_idx", "pred_idx"], "left").fillna(0, ["n"])
-    support = F.sum("n").over(Window.partitionBy(*by, "true_idx"))
-    share = F.coalesce(_rounded(F.col("n"), support), F.lit(0.0))
-    return full.select(
-        *by, "true_idx", "pred_idx", "true_label", "predicted_label", F.col("n").alias("raw_count"),
-        support.alias("true_class_support"), share.alias("normalized_ratio"),
-        cell_severity(F.col("true_idx") == F.col("pred_idx"), share).alias("severity"))
+    p = F.col("pred_idx")
+    counted = rows.withColumn("raw_count", _cell_sum(lambda c: (c["true_idx"] == k) & (c["pred_idx"] == p)))
+    share = F.coalesce(_rounded(F.col("raw_count"), F.col("true_class_support")), F.lit(0.0))
+    return counted.select(
+        *by, "true_idx", "pred_idx", "true_label", "predicted_label", "raw_count", "true_class_support",
+        share.alias("normalized_ratio"), cell_severity(k == p, share).alias("severity"))
 
 
 def one_vs_rest_metrics(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -198,38 +218,28 @@ def one_vs_rest_metrics(cells: DataFrame, by: list[str] | None = None) -> DataFr
 def macro_metrics(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Unrounded macro averages over all 14 classes (undefined = 0), threat recall, benign FPR."""
     by = by or []
-    support = class_support(cells, by)
     precision = F.coalesce(ratio(F.col("true_positives"), F.col("predicted_support")), F.lit(0.0))
     recall = F.coalesce(ratio(F.col("true_positives"), F.col("true_support")), F.lit(0.0))
-    macro = support.groupBy(*by).agg(
+    sums = class_support(cells, by).groupBy(*by).agg(
         F.avg(precision).alias("macro_precision_all"),
         F.avg(recall).alias("macro_recall_all"),
         F.avg(F.coalesce(_f1(precision, recall), F.lit(0.0))).alias("macro_f1_all"),
+        *_binary_aggregates(),
     )
-    benign, cleared = F.col("true_idx") == 0, F.col("pred_idx") == 0
-    security = cells.groupBy(*by).agg(
-        ratio(F.sum(F.when(~benign & ~cleared, F.col("n")).otherwise(0)), F.sum(F.when(~benign, F.col("n")).otherwise(0)))
-        .alias("threat_recall"),
-        ratio(F.sum(F.when(benign & ~cleared, F.col("n")).otherwise(0)), F.sum(F.when(benign, F.col("n")).otherwise(0)))
-        .alias("benign_fpr"),
-    )
-    if by:
-        return macro.join(security, by)
-    # both sides are one-row aggregates
-    return macro.withColumn("_one", F.lit(1)).join(security.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return sums.select(
+        *by, "macro_precision_all", "macro_recall_all", "macro_f1_all",
+        ratio(F.col("true_positives_detected"), F.col("attack_total")).alias("threat_recall"),
+        ratio(F.col("false_positives_alarms"), F.col("benign_total")).alias("benign_fpr"))
 
 
 def diagnostics(cells: DataFrame, split_col: str = "split") -> DataFrame:
     """Per class: validation and test metrics side by side, reliability tier, generalization text."""
-    metrics = one_vs_rest_metrics(cells, [split_col])
     shown = ["support", "predicted_support", "precision", "recall", "f1_score", "specificity", "fpr", "fnr",
              "tp", "fp", "fn", "tn"]
-
-    def side(split: str, prefix: str) -> DataFrame:
-        return metrics.where(F.col(split_col) == split).select(
-            "class_index", "class_name", *[F.col(c).alias(f"{prefix}_{c}") for c in shown])
-
-    both = side("val", "validation").join(side("test", "test"), ["class_index", "class_name"])
+    sides = {"val": "validation", "test": "test"}
+    both = one_vs_rest_metrics(cells, [split_col]).groupBy("class_index", "class_name").agg(*[
+        F.coalesce(F.max(F.when(F.col(split_col) == split, F.col(c))), F.lit(0)).alias(f"{prefix}_{c}")
+        for split, prefix in sides.items() for c in shown])
     gate = gating_tier(
         F.col("validation_support"), F.col("validation_precision"), F.col("validation_recall"),
         F.col("validation_f1_score"))

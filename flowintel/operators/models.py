@@ -16,6 +16,7 @@ from flowintel.functions.numeric import non_finite_to_null
 from flowintel.operators import evaluate, splits, thresholds
 from flowintel.operators.importance import rank_importances
 from flowintel.operators.splits import TrainingConfig
+from flowintel.session import checkpointed
 
 CATEGORICAL = "protocol"
 IMPUTED_SUFFIX = "__imp"
@@ -136,7 +137,7 @@ def compare_classifiers(prepared: DataFrame, features: list[str], config: Traini
     result = None
     for name, classifier in comparison_classifiers(config).items():
         predictions = classifier.fit(ready).transform(held_out).select("label_idx", "prediction")
-        cells = evaluate.contingency(predictions)
+        cells = checkpointed(evaluate.contingency(predictions))
         overall = evaluate.overall_metrics(evaluate.class_metrics(cells)).select(
             "total_evaluated_samples", "overall_accuracy", "weighted_precision", "weighted_recall", "weighted_f1",
             F.lit(name).alias("classifier"))

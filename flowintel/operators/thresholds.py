@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowintel import dims
-from flowintel.operators.evaluate import binary_metrics, class_metrics, contingency, overall_metrics
+from flowintel.operators.evaluate import class_metrics, contingency, summary_metrics
 
 # Candidate thresholds of the grid search (9 x 9 rules within [0, 0.60])
 GRID_STEPS = [0.0, 0.20, 0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60]
@@ -93,9 +93,7 @@ def threshold_sweep(
     keys = ["candidate_id", "tau_infiltration", "tau_brute_force_web"]
     cells = expanded.withColumn("pred_idx", F.when(cut, 0).otherwise(F.col("pred_idx"))).groupBy(
         *keys, "true_idx", "pred_idx").agg(F.sum("n").alias("n"))
-    binary = binary_metrics(cells, keys)
-    overall = overall_metrics(class_metrics(cells, keys), keys)
-    return binary.join(overall, keys).select(
+    return summary_metrics(class_metrics(cells, keys), keys).select(
         *keys, F.col("overall_accuracy").alias("accuracy"), "macro_f1", "benign_recall",
         F.col("false_alarm_rate").alias("false_positive_rate"),
         F.col("attack_detection_rate").alias("attack_recall"), "attack_precision",
@@ -140,11 +138,9 @@ def policy_cells(
 
 def policy_comparison(cells: DataFrame, recall_target: float = RECALL_TARGET) -> DataFrame:
     """Metrics of both rules side by side, with deltas, false-alarm reduction and the target flag."""
-    binary = binary_metrics(cells, ["rule"])
-    overall = overall_metrics(class_metrics(cells, ["rule"]), ["rule"])
     shown = ["overall_accuracy", "macro_f1", "balanced_accuracy", "benign_recall", "false_alarm_rate",
              "attack_detection_rate", "attack_precision", "attack_f1_score", "false_positives_alarms"]
-    wide = binary.join(overall, "rule").agg(*[
+    wide = summary_metrics(class_metrics(cells, ["rule"]), ["rule"]).agg(*[
         F.max(F.when(F.col("rule") == rule, F.col(c))).alias(f"{rule}_{c}")
         for rule in ("baseline", "policy") for c in shown])
     removed = F.col("baseline_false_positives_alarms") - F.col("policy_false_positives_alarms")

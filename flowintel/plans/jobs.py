@@ -43,21 +43,15 @@ def run_cleaning(spark: SparkSession, raw_dir: str, output: str, raw_files: list
 def analytics_sections(
     df: DataFrame, expected_rows: int | None = None, expected_dates: int | None = None, top_n: int = 5,
 ) -> dict[str, DataFrame]:
-    """All sections of the analytics report as DataFrames over the same scan."""
-    temporal = distribution.temporal_profile(df)
-    classes = distribution.class_distribution(df)
-    concentration = ports.port_concentration(df, top_n)
-    pairs = redundancy.feature_correlations(df)
-    statistics = traffic.traffic_statistics(df)
+    """Sections of the analytics report; each reads only its own columns of `df`."""
     return {
         "data_integrity": clean.verify_integrity(df, expected_rows, expected_dates),
-        "class_distribution": classes,
+        "class_distribution": distribution.class_distribution(df),
         "date_totals": distribution.date_totals(df),
-        "temporal_profiles": temporal,
-        "traffic_characteristics": statistics,
-        "destination_port_analysis": concentration,
-        "feature_redundancy": pairs,
-        "observations": findings.observations(temporal, classes, concentration, pairs, statistics),
+        "temporal_profiles": distribution.temporal_profile(df),
+        "traffic_characteristics": traffic.traffic_statistics(df),
+        "destination_port_analysis": ports.port_concentration(df, top_n),
+        "feature_redundancy": redundancy.feature_correlations(df),
     }
 
 
@@ -65,10 +59,19 @@ def run_analytics(
     spark: SparkSession, curated: str, output: str, expected_rows: int | None = None,
     expected_dates: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Analytics report over curated flows, one JSON-lines folder per section."""
+    """Analytics report over curated flows, one JSON-lines folder per section.
+
+    The observations are derived from the sections as written, not from the flows again.
+    """
     sections = analytics_sections(files.read_curated(spark, curated), expected_rows, expected_dates)
     tables.write_json_sections(sections, output)
-    return {name: spark.read.json(f"{output}/{name}", schema=s.schema) for name, s in sections.items()}
+    report = {name: spark.read.json(f"{output}/{name}", schema=s.schema) for name, s in sections.items()}
+    observed = findings.observations(
+        report["temporal_profiles"], report["class_distribution"], report["destination_port_analysis"],
+        report["feature_redundancy"], report["traffic_characteristics"])
+    tables.write_json_sections({"observations": observed}, output)
+    report["observations"] = spark.read.json(f"{output}/observations", schema=observed.schema)
+    return report
 
 
 def train_and_evaluate(df: DataFrame, config: TrainingConfig, model_dir: str | None = None) -> dict[str, object]:
@@ -82,7 +85,7 @@ def train_and_evaluate(df: DataFrame, config: TrainingConfig, model_dir: str | N
     cells = checkpointed(evaluate.contingency(
         models.predict(model, held_out, config), prediction_col=column, by=["split"]))
     metrics = evaluate.class_metrics(cells, ["split"])
-    overall = evaluate.overall_metrics(metrics, ["split"]).join(evaluate.binary_metrics(cells, ["split"]), "split")
+    overall = evaluate.summary_metrics(metrics, ["split"])
     if model_dir is not None:
         models.save_model(model, features, config, prepared, overall, model_dir)
         metrics.write.mode("overwrite").json(f"{model_dir}/class_metrics")

@@ -84,16 +84,15 @@ def load_analytical(root: str, cells: DataFrame, ports: DataFrame) -> None:
     _write(ports, f"{root}/analytical_port_concentration", ["source_report_hash"])
 
 
-def write_curated(df: DataFrame, path: str, date_col: str = "event_date") -> None:
+def write_curated(df: DataFrame, path: str, date_col: str = "event_date", rebalance: bool = False) -> None:
     """Curated flows partitioned by date.
 
-    Rows are spread over each date by a hash of the parsed time, so one busy date is
-    written by many tasks while every date still gets few, large files.
+    Capture files hold one day each, so tasks already write few files and no shuffle is
+    needed.  For input that mixes dates set `rebalance`: rows are then grouped by date and
+    a busy date is split into several evenly sized files.
     """
-    from flowintel.functions.numeric import uniform_from_keys
-
-    spread = uniform_from_keys(["timestamp_parsed"], 0, 64)
-    df.repartition(F.col(date_col), spread).write.mode("overwrite").partitionBy(date_col).parquet(path)
+    rows = df.hint("rebalance", F.col(date_col)) if rebalance else df
+    rows.write.mode("overwrite").partitionBy(date_col).parquet(path)
 
 
 def write_json_sections(sections: dict[str, DataFrame], path: str) -> None:
