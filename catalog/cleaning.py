@@ -170,7 +170,7 @@ def event_value_sanitizing(spark, sf):
     text = (F.when(kind == 0, "Infinity").when(kind == 1, "nan").when(kind == 2, "").when(kind == 3, F.lit(None))
             .otherwise(F.col("user_id").cast("string")))
     return table(spark, sf, "events").select("event_type", text.alias("v")).groupBy("event_type").agg(
-        F.count("*").alias("n"), F.sum(finite_or_zero(F.col("v"))).alias("clean_sum"))
+        F.count("*").alias("n"), F.sum(F.expr(finite_or_zero("v"))).alias("clean_sum"))
 
 
 @query("table_files")

@@ -225,11 +225,18 @@ def overall_metrics(source: str, by: str = "") -> str:
     lead = f"{by}, " if by else ""
     group = f" GROUP BY {by}" if by else ""
 
+    def half_up(total, rows):
+        # integer arithmetic on ten-thousandths
+        return f"coalesce(((2*({total})+{rows})//nullif(2*({rows}),0))::DOUBLE/10000,0)"
+
+    def units(c):
+        return f"CAST(round(coalesce({c},0)*10000) AS BIGINT)"
+
     def macro(c):
-        return f"coalesce(round(avg(coalesce({c},0)) FILTER (WHERE true_support>0),4),0)"
+        return half_up(f"sum({units(c)}) FILTER (WHERE true_support>0)", "count(*) FILTER (WHERE true_support>0)")
 
     def weighted(c):
-        return f"coalesce(round(sum(coalesce({c},0)*true_support)/nullif(sum(true_support),0),4),0)"
+        return half_up(f"sum({units(c)}*true_support)", "sum(true_support)")
 
     return f"""SELECT {lead}CAST(sum(true_support) AS BIGINT) AS total_evaluated_samples,
  coalesce(round(sum(true_positives)::DOUBLE/nullif(sum(true_support),0),4),0) AS overall_accuracy,

@@ -209,7 +209,7 @@ def advisories(spark, sf):
     " FROM (SELECT DISTINCT label, label AS canonical_label FROM clean)", "clean"))
 def advisory_ids(spark, sf):
     labels = flows(spark, sf).select("label").distinct()
-    return labels.select("label", adv.recommendation_id(F.lit("VERIFY_ML"), F.col("label")).alias("recommendation_id"))
+    return labels.select("label", adv.recommendation_id("VERIFY_ML", "label").alias("recommendation_id"))
 
 
 _PROFILE_COLUMNS = """profile_id, snapshot_id, window_type, window_start, window_end, canonical_label, raw_label, attack_status,

@@ -1 +1,156 @@
+"""Model training, classifier comparison, inference and importance queries."""
 
+import tempfile
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from catalog import query
+from catalog.ctes import with_ctes
+from catalog.views import ROW_KEYS, flows, raw_flows, table
+from flowintel import dims
+from flowintel.operators import evaluate, importance, models, splits, thresholds
+from flowintel.operators.splits import TrainingConfig
+from flowintel.plans import jobs
+
+FOREST = TrainingConfig(
+    split_strategy="chronological_per_class", num_trees=10, max_depth=6, row_keys=tuple(ROW_KEYS))
+
+
+@query("model_evaluation")
+def model_evaluation(spark, sf):
+    """Forest trained on the train part of all flows, evaluated on validation and test."""
+    return jobs.train_and_evaluate(flows(spark, sf), FOREST)["overall"]
+
+
+@query("model_feature_importance")
+def model_feature_importance(spark, sf):
+    return jobs.train_and_evaluate(flows(spark, sf), FOREST)["importances"]
+
+
+@query("classifier_comparison")
+def classifier_comparison(spark, sf):
+    config = TrainingConfig(split_strategy="chronological_per_class", num_trees=5, use_class_weights=False)
+    prepared, features = models.prepare(flows(spark, sf), config)
+    return models.compare_classifiers(prepared, features, config)
+
+
+@query("inferred_aggregates")
+def inferred_aggregates(spark, sf):
+    """Flows grouped by the predicted label after the threshold policy."""
+    df = flows(spark, sf)
+    prepared, features = models.prepare(df, FOREST)
+    model = models.fit(prepared, features, FOREST)
+    return models.infer_labels(model, df, dims.TAU_BY_CLASS).groupBy("label", "inferred_label").agg(
+        F.count("*").alias("flow_count"))
+
+
+@query("evaluator_metrics",
+       "SELECT round(avg((toxic=quality)::INTEGER),6) AS accuracy FROM labels")
+def evaluator_metrics(spark, sf):
+    pairs = table(spark, sf, "labels").select(
+        F.col("toxic").cast("double").alias("label_idx"), F.col("quality").cast("double").alias("prediction"))
+    return spark.range(1).select(F.round(F.lit(evaluate.evaluator_metrics(pairs)["accuracy"]), 6).alias("accuracy"))
+
+
+@query("vector_policy",
+       "SELECT label AS prediction, CASE WHEN label=3 AND embedding[4]::DOUBLE<0.1::DOUBLE THEN 0.0 ELSE label::DOUBLE END AS adjusted_prediction,"
+       " count(*) AS n FROM (SELECT label::DOUBLE AS label, embedding FROM embeddings) GROUP BY 1,2")
+def vector_policy(spark, sf):
+    """Policy on ML vectors: the embedding takes the place of the probability vector."""
+    rows = table(spark, sf, "embeddings").select(
+        F.col("label").cast("double").alias("prediction"),
+        array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("probability"))
+    return thresholds.apply_threshold_policy(rows, {3: 0.1}).groupBy("prediction", "adjusted_prediction").agg(
+        F.count("*").alias("n"))
+
+
+# tree-node table derived from order lines: 30 trees, 12 features of which two never split
+_NODES = """SELECT l_orderkey%30 AS tree, l_partkey%10 AS f, l_discount AS gain,
+ l_quantity+l_linenumber AS w FROM lineitem WHERE l_discount>0"""
+_TREE_SQL = f"""SELECT i AS training_index, 'feature_' || i AS feature_name, coalesce(round(imp,8),0) AS importance FROM range(12) r(i)
+ LEFT JOIN (SELECT f, sum(share)/(SELECT count(DISTINCT tree) FROM n) AS imp FROM (SELECT f, g/sum(g) OVER (PARTITION BY tree) AS share
+ FROM (SELECT tree, f, sum(gain*w) AS g FROM n GROUP BY 1,2)) GROUP BY 1) ON f=i"""
+
+
+def tree_importances(spark, sf):
+    line = table(spark, sf, "lineitem")
+    nodes = line.select(
+        (F.col("l_orderkey") % 30).alias("treeID"),
+        F.struct(
+            F.col("l_discount").alias("gain"),
+            F.struct((F.col("l_partkey") % 10).cast("int").alias("featureIndex")).alias("split"),
+            F.array("l_quantity", F.col("l_linenumber").cast("double")).alias("impurityStats"),
+        ).alias("nodeData"))
+    order = spark.range(12).select(
+        F.col("id").cast("int").alias("training_index"), F.concat(F.lit("feature_"), F.col("id").cast("string")).alias("feature_name"))
+    return importance.tree_importance(nodes, order)
+
+
+@query("tree_importance", f"WITH n AS ({_NODES}) SELECT * REPLACE(training_index::INTEGER AS training_index) FROM ({_TREE_SQL})")
+def tree_importance(spark, sf):
+    return tree_importances(spark, sf).withColumn("importance", F.round("importance", 8))
+
+
+_RANKED = f"""SELECT feature_name, feature_name AS clean_feature_name, training_index::INTEGER AS training_index, importance,
+ CAST(row_number() OVER (ORDER BY importance DESC, training_index) AS INTEGER) AS rank FROM ({_TREE_SQL})"""
+
+
+@query("importance_ranks", f"WITH n AS ({_NODES}) {_RANKED}")
+def importance_ranks(spark, sf):
+    return importance.rank_importances(tree_importances(spark, sf))
+
+
+@query("importance_page", f"WITH n AS ({_NODES}) SELECT feature_name, importance, rank, 'Ranks 6-10' AS rank_range FROM ({_RANKED}) WHERE rank BETWEEN 6 AND 10")
+def importance_page(spark, sf):
+    ranked = importance.rank_importances(tree_importances(spark, sf))
+    return importance.importance_page(ranked, page=2, page_size=5).select(
+        "feature_name", "importance", "rank", "rank_range")
+
+
+@query("importance_checks",
+       f"WITH n AS ({_NODES}) SELECT count(*) AS feature_count, 0 AS non_finite, count(*) FILTER (WHERE importance<0) AS negative,"
+       f" round(sum(importance),6) AS total, true AS passed FROM ({_TREE_SQL})")
+def importance_checks(spark, sf):
+    return importance.importance_checks(tree_importances(spark, sf), 12).withColumn("total", F.round("total", 6))
+
+
+@query("importance_comparison",
+       f"WITH n AS ({_NODES}) SELECT feature_name, training_index%4<>0 AS matches FROM ({_TREE_SQL})")
+def importance_comparison(spark, sf):
+    computed = tree_importances(spark, sf)
+    drift = F.when(F.col("training_index") % 4 == 0, 0.01).otherwise(0.0)
+    stored = computed.select("feature_name", (F.round("importance", 8) + drift).alias("importance"))
+    return importance.compare_importances(computed, stored).select("feature_name", "matches")
+
+
+@query("saved_model_importance")
+def saved_model_importance(spark, sf):
+    """Importances recomputed from the node table of a saved forest, next to the model's own."""
+    from flowintel.session import ensure_checkpoint_dir
+    from flowintel.sources import files
+
+    prepared, features = models.prepare(flows(spark, sf), FOREST)
+    model = models.fit(prepared, features, FOREST)
+    path = f"{ensure_checkpoint_dir(spark)}/{tempfile.mktemp(prefix='model-', dir='')}"
+    model.write().overwrite().save(path)
+    computed = importance.tree_importance(files.read_tree_nodes(spark, path), files.read_feature_order(spark, path))
+    return importance.compare_importances(computed, models.forest_importances(model, features), 1e-6)
+
+
+@query("prepared_parts", with_ctes(
+    "SELECT split, count(*) AS total_rows, 0 AS invalid_label_rows, 0 AS null_label_rows FROM by_day WHERE label_idx>=0 GROUP BY 1", "by_day"))
+def prepared_parts(spark, sf):
+    config = TrainingConfig(split_strategy="inter_day_chronological")
+    prepared, _ = models.prepare(flows(spark, sf), config)
+    return splits.label_audit(prepared)
+
+
+@query("header_free_features")
+def header_free_features(spark, sf):
+    """Selected model features in input order."""
+    names = models.feature_columns([dims.COLUMN_MAPPING.get(c, c) for c in raw_flows(spark, sf).columns])
+    counted = flows(spark, sf).agg(*[F.count(F.col(n)).alias(n) for n in names])
+    return counted.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(n).alias("feature"), F.col(n).alias("values_present"))
+        for i, n in enumerate(names)])))

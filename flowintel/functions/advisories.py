@@ -55,59 +55,67 @@ VERIFY_ML = (
 )
 
 
-def advisory_priority(scoring_status: Column, band: Column, provisional: Column) -> Column:
-    """Band of a complete score, else the provisional band, else Medium."""
-    complete = scoring_status == "complete"
-    diagnostic = F.trim(F.element_at(F.split(provisional, ":"), -1))
-    chosen = F.when(complete, band).when(provisional != "", diagnostic).otherwise("Medium")
-    return F.when(chosen == "Informational", "Low").otherwise(chosen)
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "\\'") + "'"
 
 
-def recommendation_id(prefix: Column, category: Column) -> Column:
-    clean = F.upper(F.translate(category, " -", "__"))
-    digest = F.substring(F.sha2(F.concat_ws(":", prefix, clean), 256), 1, 6)
-    return F.concat_ws("-", F.lit("REC"), prefix, clean, digest)
+def priority_sql(scoring_status: str, band: str, provisional: str) -> str:
+    """Band of a complete score, else the provisional band, else Medium; Informational is shown as Low."""
+    chosen = (f"CASE WHEN {scoring_status} = 'complete' THEN {band} "
+              f"WHEN {provisional} <> '' THEN trim(element_at(split({provisional}, ':'), -1)) ELSE 'Medium' END")
+    return f"replace({chosen}, 'Informational', 'Low')"
 
 
-def _advisory(rule, category: Column, priority: Column, guidance: Column | None = None,
-              evidence: Column | None = None) -> Column:
+def recommendation_id_sql(prefix: str, category: str) -> str:
+    clean = f"upper(translate({category}, ' -', '__'))"
+    return f"concat_ws('-', 'REC', {prefix}, {clean}, substring(sha2(concat_ws(':', {prefix}, {clean}), 256), 1, 6))"
+
+
+def advisory_priority(scoring_status: str, band: str, provisional: str) -> Column:
+    return F.expr(priority_sql(scoring_status, band, provisional))
+
+
+def recommendation_id(prefix: str, category_col: str) -> Column:
+    return F.expr(recommendation_id_sql(_text(prefix), category_col))
+
+
+def _advisory(rule, category: str, priority: str, guidance: str | None = None, evidence: str | None = None) -> str:
     prefix, action, summary, text, missing = rule
-    default = F.array(*[F.lit(m) for m in missing])
-    return F.struct(
-        recommendation_id(F.lit(prefix), category).alias("recommendation_id"),
-        category.alias("threat_category"),
-        priority.alias("priority"),
-        F.lit(action).alias("action_type"),
-        F.lit(summary).alias("summary"),
-        (F.lit(text) if guidance is None else guidance).alias("detailed_guidance"),
-        (default if evidence is None else F.coalesce(evidence, default)).alias("missing_evidence_required"),
-        F.lit(True).alias("analyst_validation_required"),
-    )
+    default = "array(" + ", ".join(_text(m) for m in missing) + ")"
+    return f"""named_struct(
+        'recommendation_id', {recommendation_id_sql(_text(prefix), category)},
+        'threat_category', {category},
+        'priority', {priority},
+        'action_type', {_text(action)},
+        'summary', {_text(summary)},
+        'detailed_guidance', {guidance or _text(text)},
+        'missing_evidence_required', {f'coalesce({evidence}, {default})' if evidence else default},
+        'analyst_validation_required', true)"""
 
 
 def advisories(
-    category: Column, scoring_status: Column, band: Column, provisional: Column,
-    missing_telemetry: Column, reliability_status: Column, reliability_rationale: Column,
+    category: str, scoring_status: str, band: str, provisional: str, missing_telemetry: str,
+    reliability_status: str, reliability_rationale: str,
 ) -> Column:
-    """Category rule first, then the missing-asset and the weak-classifier advisories."""
-    priority = advisory_priority(scoring_status, band, provisional)
-    medium = F.lit("Medium")
+    """Category rule first, then the missing-asset and the weak-classifier advisories.
+
+    The arguments are column names.
+    """
+    priority = priority_sql(scoring_status, band, provisional)
 
-    def by_category(rule) -> Column:
+    def by_category(rule) -> str:
         return _advisory(rule, category, priority, evidence=missing_telemetry)
 
-    category_rule = (
-        F.when(category.contains("DoS"), by_category(RATE_LIMIT))
-        .when(category.contains("Brute"), by_category(INVESTIGATE_AUTH))
-        .when(category == "Bot", by_category(INVESTIGATE_C2))
-        .when(category.isin("Infiltration", "SQL Injection"), by_category(ENRICH_PAYLOAD))
-    )
-    asset_rule = F.when(
-        scoring_status == "insufficient_evidence", _advisory(ENRICH_ASSET, category, medium))
-    reliability_text = F.concat(
-        F.lit("The ML classifier's validation reliability for '"), category, F.lit("' is '"), reliability_status,
-        F.lit("' ("), reliability_rationale, F.lit("). "), F.lit(VERIFY_ML[3]))
-    reliability_rule = F.when(
-        reliability_status.isin("UNRELIABLE", "NON_EVALUABLE"),
-        _advisory(VERIFY_ML, category, medium, guidance=reliability_text))
-    return F.filter(F.array(category_rule, asset_rule, reliability_rule), lambda a: a.isNotNull())
+    category_rule = f"""CASE WHEN contains({category}, 'DoS') THEN {by_category(RATE_LIMIT)}
+        WHEN contains({category}, 'Brute') THEN {by_category(INVESTIGATE_AUTH)}
+        WHEN {category} = 'Bot' THEN {by_category(INVESTIGATE_C2)}
+        WHEN {category} IN ('Infiltration', 'SQL Injection') THEN {by_category(ENRICH_PAYLOAD)} END"""
+    asset_rule = (f"CASE WHEN {scoring_status} = 'insufficient_evidence' "
+                  f"THEN {_advisory(ENRICH_ASSET, category, _text('Medium'))} END")
+    reliability_text = (
+        f"concat({_text('The ML classifier' + chr(39) + 's validation reliability for ' + chr(39))}, {category}, "
+        f"{_text(chr(39) + ' is ' + chr(39))}, {reliability_status}, {_text(chr(39) + ' (')}, {reliability_rationale}, "
+        f"'). ', {_text(VERIFY_ML[3])})")
+    reliability_rule = (f"CASE WHEN {reliability_status} IN ('UNRELIABLE', 'NON_EVALUABLE') "
+                        f"THEN {_advisory(VERIFY_ML, category, _text('Medium'), guidance=reliability_text)} END")
+    return F.expr(f"filter(array({category_rule}, {asset_rule}, {reliability_rule}), a -> a IS NOT NULL)")

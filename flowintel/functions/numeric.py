@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from flowintel import dims
 
-INF = float("inf")
-
-
 def ratio(num: Column, den: Column) -> Column:
     """num / den as double, null when the denominator is 0 (ANSI mode raises otherwise)."""
     return F.try_divide(num.cast("double"), den.cast("double"))
@@ -19,36 +16,34 @@ def percent(num: Column, den: Column, digits: int) -> Column:
     return F.round(ratio(num, den) * 100, digits)
 
 
-def finite_or_zero(col: Column) -> Column:
-    """Text or number to double; null, blank, unparsable-to-finite tokens become 0.0.
+def finite_or_zero(name: str) -> str:
+    """SQL text: column to double; null, blank and non-finite values become 0.0.
 
     Text that is neither a number nor a known token stays null, as a plain cast gives.
     """
-    value = col.try_cast("double")
-    missing = col.isNull() | (col.cast("string") == "")
-    return F.when(missing | F.isnan(value) | F.abs(value).eqNullSafe(INF), 0.0).otherwise(value)
-
-
-def non_finite_to_null(col: Column) -> Column:
-    """Number to double with NaN and +-Infinity as null."""
-    value = col.cast("double")
-    return F.when(F.isnan(value) | (F.abs(value) == INF), None).otherwise(value)
-
-
-def is_null_or_empty(col: Column) -> Column:
-    return col.isNull() | (col == "")
+    value = f"try_cast({name} AS double)"
+    return (
+        f"CASE WHEN {name} IS NULL OR cast({name} AS string) = '' OR isnan({value}) "
+        f"OR abs({value}) <=> double('Infinity') THEN 0.0D ELSE {value} END")
 
 
-def is_pos_inf(col: Column) -> Column:
-    return col.isin(dims.POS_INF_TOKENS) | (col.try_cast("double") == INF)
+def non_finite_to_null(name: str) -> str:
+    """SQL text: column to double with NaN and +-Infinity as null."""
+    value = f"cast({name} AS double)"
+    return f"CASE WHEN isnan({value}) OR abs({value}) = double('Infinity') THEN NULL ELSE {value} END"
 
 
-def is_neg_inf(col: Column) -> Column:
-    return col.isin(dims.NEG_INF_TOKENS) | (col.try_cast("double") == -INF)
+def _tokens(names: list[str]) -> str:
+    return ", ".join(f"'{n}'" for n in names)
 
 
-def is_nan_token(col: Column) -> Column:
-    return col.isin(dims.NAN_TOKENS) | F.isnan(col.try_cast("double"))
+# SQL text of the token checks on a text column
+TOKEN_CHECKS = {
+    "null_or_empty": "{c} IS NULL OR {c} = ''",
+    "pos_infinity": f"{{c}} IN ({_tokens(dims.POS_INF_TOKENS)}) OR try_cast({{c}} AS double) = double('Infinity')",
+    "neg_infinity": f"{{c}} IN ({_tokens(dims.NEG_INF_TOKENS)}) OR try_cast({{c}} AS double) = double('-Infinity')",
+    "nan": f"{{c}} IN ({_tokens(dims.NAN_TOKENS)}) OR isnan(try_cast({{c}} AS double))",
+}
 
 
 def fixed_decimals(x: Column, digits: int) -> Column:

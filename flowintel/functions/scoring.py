@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowintel import dims
@@ -53,41 +53,50 @@ def recurrence_score(units: Column, denominator: Column) -> Column:
     return F.when(units > 0, F.least(F.lit(100.0), share)).otherwise(0.0)
 
 
-def risk_score(
-    severity: Column, flow_count: Column, units: Column, window_type: Column,
-    target_impact: Column | None = None, custom_denominator: Column | None = None,
-) -> Column:
-    """Struct with the components, the weights, the scores and the bands."""
-    impact = clamp_score(F.lit(None).cast("double") if target_impact is None else target_impact)
-    freq = frequency_score(flow_count)
-    rec = recurrence_score(units, recurrence_denominator(window_type, custom_denominator))
-    partial = severity * dims.WEIGHT_SEVERITY + freq * dims.WEIGHT_FREQUENCY + rec * dims.WEIGHT_RECURRENCE
-    normalized = partial / AVAILABLE_WEIGHT
-    normalized_rounded = round_half_up(normalized).cast("int")
-    complete = partial + impact * dims.WEIGHT_TARGET_IMPACT
-    complete_rounded = round_half_up(complete).cast("int")
-    has_impact = impact.isNotNull()
-    return F.struct(
-        F.struct(
-            severity.alias("severity"), freq.alias("frequency"), rec.alias("recurrence"), impact.alias("target_impact")
-        ).alias("components"),
-        F.struct(
-            F.lit(dims.WEIGHT_SEVERITY).alias("severity"),
-            F.lit(dims.WEIGHT_FREQUENCY).alias("frequency"),
-            F.lit(dims.WEIGHT_RECURRENCE).alias("recurrence"),
-            F.lit(dims.WEIGHT_TARGET_IMPACT).alias("target_impact"),
-        ).alias("weights"),
-        F.round(complete, 4).alias("tlrs_complete"),
-        complete_rounded.alias("tlrs_complete_rounded"),
-        F.round(partial, 4).alias("tlrs_partial_diagnostic"),
-        F.round(normalized, 4).alias("tlrs_normalized_heuristic"),
-        normalized_rounded.alias("tlrs_normalized_rounded"),
-        F.when(has_impact, 1.0).otherwise(round(AVAILABLE_WEIGHT, 4)).alias("evidence_coverage"),
-        F.when(has_impact, "complete").otherwise("insufficient_evidence").alias("scoring_status"),
-        F.when(has_impact, risk_band(complete_rounded)).otherwise("Insufficient Evidence").alias("risk_band"),
-        F.when(~has_impact, F.concat(F.lit("DIAGNOSTIC_ONLY: "), risk_band(normalized_rounded)))
-        .alias("provisional_risk_band"),
-    )
+def _band_sql(score: str) -> str:
+    return (f"CASE WHEN {score} < 20 THEN 'Informational' WHEN {score} < 40 THEN 'Low' WHEN {score} < 60 THEN 'Medium' "
+            f"WHEN {score} < 80 THEN 'High' ELSE 'Critical' END")
+
+
+def with_risk_score(df: DataFrame, target_impact: Column | None = None, output_col: str = "tlrs_result") -> DataFrame:
+    """Add the score struct to rows with severity_prior, flow_count, active_observation_units, window_type.
+
+    The steps are separate projections, so later ones refer to finished columns instead
+    of repeating the arithmetic.
+    """
+    impact = F.lit(None).cast("double") if target_impact is None else clamp_score(target_impact)
+    components = df.withColumns({
+        "_frequency": frequency_score(F.col("flow_count")),
+        "_recurrence": recurrence_score(
+            F.col("active_observation_units"), recurrence_denominator(F.col("window_type"))),
+        "_impact": impact,
+    })
+    sums = components.selectExpr(
+        "*",
+        f"severity_prior * {dims.WEIGHT_SEVERITY!r}D + _frequency * {dims.WEIGHT_FREQUENCY!r}D "
+        f"+ _recurrence * {dims.WEIGHT_RECURRENCE!r}D AS _partial")
+    scores = sums.selectExpr(
+        "*", f"_partial / {AVAILABLE_WEIGHT!r}D AS _normalized",
+        f"_partial + _impact * {dims.WEIGHT_TARGET_IMPACT!r}D AS _complete")
+    rounded = scores.selectExpr(
+        "*", "int(floor(_normalized + 0.5D)) AS _normalized_int", "int(floor(_complete + 0.5D)) AS _complete_int")
+    weights = ", ".join(f"'{name}', {w!r}D" for name, w in (
+        ("severity", dims.WEIGHT_SEVERITY), ("frequency", dims.WEIGHT_FREQUENCY),
+        ("recurrence", dims.WEIGHT_RECURRENCE), ("target_impact", dims.WEIGHT_TARGET_IMPACT)))
+    result = f"""named_struct(
+        'components', named_struct('severity', severity_prior, 'frequency', _frequency,
+                                   'recurrence', _recurrence, 'target_impact', _impact),
+        'weights', named_struct({weights}),
+        'tlrs_complete', round(_complete, 4),
+        'tlrs_complete_rounded', _complete_int,
+        'tlrs_partial_diagnostic', round(_partial, 4),
+        'tlrs_normalized_heuristic', round(_normalized, 4),
+        'tlrs_normalized_rounded', _normalized_int,
+        'evidence_coverage', IF(_impact IS NOT NULL, 1.0D, {round(AVAILABLE_WEIGHT, 4)!r}D),
+        'scoring_status', IF(_impact IS NOT NULL, 'complete', 'insufficient_evidence'),
+        'risk_band', IF(_impact IS NOT NULL, {_band_sql('_complete_int')}, 'Insufficient Evidence'),
+        'provisional_risk_band', IF(_impact IS NULL, 'DIAGNOSTIC_ONLY: ' || {_band_sql('_normalized_int')}, NULL))"""
+    return rounded.selectExpr(*df.columns, f"{result} AS {output_col}")
 
 
 def short_hash(*parts: Column, length: int = 16) -> Column:

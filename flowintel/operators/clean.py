@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from flowintel import dims
 from flowintel.functions.labels import standardize_label
-from flowintel.functions.numeric import (
-    finite_or_zero, is_nan_token, is_neg_inf, is_null_or_empty, is_pos_inf,
-)
-from flowintel.functions.timeparse import parse_flow_timestamp
+from flowintel.functions.numeric import TOKEN_CHECKS, finite_or_zero
+from flowintel.functions.timeparse import FLOW_PATTERN, parse_flow_timestamp
 
 RAW_LABEL = "Label"
 
@@ -45,16 +43,10 @@ def profile_tokens(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     All counters of all columns come from one pass over the data.
     """
     present = [c for c in (columns or dims.PROFILED_COLUMNS) if c in df.columns]
-    checks = {
-        "null_or_empty": is_null_or_empty, "pos_infinity": is_pos_inf,
-        "neg_infinity": is_neg_inf, "nan": is_nan_token,
-    }
     counters = [
-        F.struct(
-            F.lit(name).alias("column_name"),
-            *[F.count_if(check(F.col(f"`{name}`"))).alias(key) for key, check in checks.items()],
-            F.count("*").alias("rows_profiled"),
-        )
+        F.expr(f"named_struct('column_name', '{name}', " + ", ".join(
+            f"'{key}', count_if({check.format(c=f'`{name}`')})" for key, check in TOKEN_CHECKS.items())
+            + ", 'rows_profiled', count(1))")
         for name in present
     ]
     return df.agg(F.array(*counters).alias("profiles")).select(F.inline("profiles"))
@@ -62,37 +54,34 @@ def profile_tokens(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 def rename_columns(df: DataFrame) -> DataFrame:
     """CSV names to snake case, in one projection; other columns are kept."""
-    return df.select(*[F.col(f"`{c}`").alias(dims.COLUMN_MAPPING.get(c, c)) for c in df.columns])
+    return df.selectExpr(*[f"`{c}` AS `{dims.COLUMN_MAPPING.get(c, c)}`" for c in df.columns])
 
 
-def _clean_value(name: str, columns: list[str]) -> Column:
-    col = F.col(name)
+def _clean_value(name: str, raw: str, raw_names: set[str]) -> str:
+    """SQL text that types and sanitizes one raw column."""
+    col, forward = f"`{raw}`", dims.RAW_BY_SNAKE["tot_fwd_pkts"]
     if name in dims.RATE_COLUMNS:
         return finite_or_zero(col)
     if name == dims.RATIO_COLUMN:
-        if "tot_fwd_pkts" not in columns:
+        if forward not in raw_names:
             return finite_or_zero(col)
-        no_forward = F.col("tot_fwd_pkts").try_cast("double") == 0
-        return F.when(no_forward, 0.0).otherwise(finite_or_zero(col))
+        return f"CASE WHEN try_cast(`{forward}` AS double) = 0 THEN 0.0D ELSE {finite_or_zero(col)} END"
     if name in dims.INT_COLUMNS:
-        return col.try_cast("int")
+        return f"try_cast({col} AS int)"
     if name in dims.RAW_BY_SNAKE and name not in ("timestamp", "label"):
-        return col.try_cast("double")
+        return f"try_cast({col} AS double)"
     return col
 
 
 def typed_flows(raw: DataFrame) -> DataFrame:
     """Header rows removed, columns renamed, cast and sanitized, labels standardized; no row filter yet."""
-    renamed = rename_columns(without_repeated_headers(raw))
-    names = renamed.columns
-    parsed = parse_flow_timestamp(F.col("timestamp"))
-    typed = renamed.select(
-        *[_clean_value(n, names).alias(n) for n in names],
-        parsed.alias("timestamp_parsed"),
-        F.to_date(parsed).alias("event_date"),
+    names = {c: dims.COLUMN_MAPPING.get(c, c) for c in raw.columns}
+    typed = without_repeated_headers(raw).selectExpr(
+        *[f"{_clean_value(snake, c, set(names))} AS `{snake}`" for c, snake in names.items()],
+        f"try_to_timestamp(`Timestamp`, '{FLOW_PATTERN}') AS timestamp_parsed",
+        f"to_date(try_to_timestamp(`Timestamp`, '{FLOW_PATTERN}')) AS event_date",
     )
-    labelled = standardize_label(typed)
-    return labelled.select(*names, "raw_label", "timestamp_parsed", "event_date")
+    return standardize_label(typed).select(*names.values(), "raw_label", "timestamp_parsed", "event_date")
 
 
 def valid_duration() -> Column:
@@ -173,12 +162,9 @@ def verify_integrity(
 def feature_quality(df: DataFrame, features: list[str], by: str | None = None) -> DataFrame:
     """Null and non-finite counts per feature (and per `by` value), in one pass."""
     counters = [
-        F.struct(
-            F.lit(f).alias("feature"),
-            F.count_if(F.col(f).isNull()).alias("null_count"),
-            F.count_if(F.isnan(F.col(f).cast("double")) | (F.abs(F.col(f).cast("double")) == float("inf")))
-            .alias("non_finite_count"),
-        )
+        F.expr(
+            f"named_struct('feature', '{f}', 'null_count', count_if({f} IS NULL), 'non_finite_count', "
+            f"count_if(isnan(cast({f} AS double)) OR abs(cast({f} AS double)) = double('Infinity')))")
         for f in features
     ]
     keys = [by] if by else []

@@ -16,7 +16,7 @@ from flowintel.functions.display import cell_severity
 from flowintel.functions.numeric import ratio
 from flowintel.functions.reliability import gating_tier, generalization
 
-CLASS_RANGE = list(range(dims.NUM_CLASSES))
+_CLASS_NAMES = "array(" + ", ".join(f"'{c}'" for c in dims.CLASS_LABELS) + ")"
 
 
 def _rounded(num: Column, den: Column) -> Column:
@@ -54,24 +54,23 @@ def _per_class(cells: DataFrame, by: list[str]) -> DataFrame:
     A group has at most 14 x 14 cells.  Carrying them along keeps the metrics a single
     pass over the predictions, where a join with the class list would read them again.
     """
-    names = F.array(*[F.lit(c) for c in dims.CLASS_LABELS])
     grouped = cells.groupBy(*by).agg(F.collect_list(F.struct("true_idx", "pred_idx", "n")).alias("_cells"))
-    return grouped.select(*by, "_cells", F.posexplode(names).alias("class_index", "class_name"))
+    return grouped.selectExpr(*by, "_cells", f"posexplode({_CLASS_NAMES}) AS (class_index, class_name)")
 
 
-def _cell_sum(keep) -> Column:
-    return F.aggregate(F.filter("_cells", keep), F.lit(0).cast("bigint"), lambda total, c: total + c["n"])
+def _cell_sum(condition: str) -> str:
+    """SQL text: rows in the carried cells `c` that meet the condition."""
+    return f"aggregate(filter(_cells, c -> {condition}), 0L, (total, c) -> total + c.n)"
 
 
 def class_support(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     """tp, true and predicted support per class, absent classes included."""
     by = by or []
-    k = F.col("class_index")
-    return _per_class(cells, by).select(
+    return _per_class(cells, by).selectExpr(
         *by, "class_index", "class_name",
-        _cell_sum(lambda c: c["true_idx"] == k).alias("true_support"),
-        _cell_sum(lambda c: c["pred_idx"] == k).alias("predicted_support"),
-        _cell_sum(lambda c: (c["true_idx"] == k) & (c["pred_idx"] == k)).alias("true_positives"),
+        f"{_cell_sum('c.true_idx = class_index')} AS true_support",
+        f"{_cell_sum('c.pred_idx = class_index')} AS predicted_support",
+        f"{_cell_sum('c.true_idx = class_index AND c.pred_idx = class_index')} AS true_positives",
     )
 
 
@@ -96,43 +95,51 @@ def class_metrics(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def _overall_aggregates() -> list[Column]:
-    present = F.col("true_support") > 0
-    total = F.sum("true_support")
+    # the averaged values have 4 decimals; exact decimal sums make the result independent of row order
+    def exact(name: str) -> str:
+        return f"cast(coalesce({name}, 0) AS decimal(10,4))"
 
-    def macro(name: str) -> Column:
-        return F.coalesce(F.round(F.avg(F.when(present, F.coalesce(name, F.lit(0.0)))), 4), F.lit(0.0))
+    def mean(total: str, rows: str) -> str:
+        return f"coalesce(double(round({total} / nullif({rows}, 0), 4)), 0.0D)"
 
-    def weighted(name: str) -> Column:
-        return F.coalesce(F.round(F.try_divide(
-            F.sum(F.coalesce(name, F.lit(0.0)) * F.col("true_support")), total.cast("double")), 4), F.lit(0.0))
+    def macro(name: str) -> str:
+        return mean(f"sum(IF(true_support > 0, {exact(name)}, 0))", "count_if(true_support > 0)")
 
-    return [
-        total.alias("total_evaluated_samples"),
-        F.coalesce(_rounded(F.sum("true_positives"), total), F.lit(0.0)).alias("overall_accuracy"),
-        F.coalesce(_rounded(F.max("true_support"), total), F.lit(0.0)).alias("majority_class_baseline_accuracy"),
-        macro("f1_score").alias("macro_f1"),
-        weighted("f1_score").alias("weighted_f1"),
-        weighted("precision").alias("weighted_precision"),
-        weighted("recall").alias("weighted_recall"),
-        macro("recall").alias("balanced_accuracy"),
-    ]
+    def weighted(name: str) -> str:
+        return mean(f"sum({exact(name)} * true_support)", "sum(true_support)")
+
+    def share(count: str) -> str:
+        return f"coalesce(round(try_divide(double({count}), double(sum(true_support))), 4), 0.0D)"
+
+    texts = {
+        "total_evaluated_samples": "sum(true_support)",
+        "overall_accuracy": share("sum(true_positives)"),
+        "majority_class_baseline_accuracy": share("max(true_support)"),
+        "macro_f1": macro("f1_score"),
+        "weighted_f1": weighted("f1_score"),
+        "weighted_precision": weighted("precision"),
+        "weighted_recall": weighted("recall"),
+        "balanced_accuracy": macro("recall"),
+    }
+    return [F.expr(f"{text} AS {name}") for name, text in texts.items()]
 
 
 def _binary_aggregates() -> list[Column]:
     # with class 0 as benign, its supports and hits determine the whole 2 x 2 table
-    def benign(name: str) -> Column:
-        return F.sum(F.when(F.col("class_index") == 0, F.col(name)).otherwise(0))
-
-    total, kept = F.sum("true_support"), benign("true_positives")
-    missed = benign("predicted_support") - kept
-    return [
-        benign("true_support").alias("benign_total"),
-        (total - benign("true_support")).alias("attack_total"),
-        kept.alias("true_negatives_benign"),
-        (benign("true_support") - kept).alias("false_positives_alarms"),
-        missed.alias("false_negatives_missed"),
-        (total - benign("true_support") - missed).alias("true_positives_detected"),
-    ]
+    def benign(name: str) -> str:
+        return f"sum(IF(class_index = 0, {name}, 0L))"
+
+    benign_rows, total, kept = benign("true_support"), "sum(true_support)", benign("true_positives")
+    missed = f"({benign('predicted_support')} - {kept})"
+    texts = {
+        "benign_total": benign_rows,
+        "attack_total": f"{total} - {benign_rows}",
+        "true_negatives_benign": kept,
+        "false_positives_alarms": f"{benign_rows} - {kept}",
+        "false_negatives_missed": missed,
+        "true_positives_detected": f"{total} - {benign_rows} - {missed}",
+    }
+    return [F.expr(f"{text} AS {name}") for name, text in texts.items()]
 
 
 def _with_binary_rates(sums: DataFrame) -> DataFrame:
@@ -173,17 +180,16 @@ def summary_metrics(metrics: DataFrame, by: list[str] | None = None) -> DataFram
 def dense_matrix(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     """All 14 x 14 cells with the row share (4 decimals, 0 without support) and its display band."""
     by = by or []
-    k = F.col("true_idx")
-    rows = _per_class(cells, by).withColumnsRenamed({"class_index": "true_idx", "class_name": "true_label"}).select(
-        *by, "true_idx", "true_label", "_cells",
-        _cell_sum(lambda c: c["true_idx"] == k).alias("true_class_support"),
-        F.posexplode(F.array(*[F.lit(c) for c in dims.CLASS_LABELS])).alias("pred_idx", "predicted_label"))
-    p = F.col("pred_idx")
-    counted = rows.withColumn("raw_count", _cell_sum(lambda c: (c["true_idx"] == k) & (c["pred_idx"] == p)))
+    rows = _per_class(cells, by).selectExpr(
+        *by, "class_index AS true_idx", "class_name AS true_label", "_cells",
+        f"{_cell_sum('c.true_idx = class_index')} AS true_class_support",
+        f"posexplode({_CLASS_NAMES}) AS (pred_idx, predicted_label)")
+    counted = rows.selectExpr(
+        *by, "true_idx", "pred_idx", "true_label", "predicted_label",
+        f"{_cell_sum('c.true_idx = true_idx AND c.pred_idx = pred_idx')} AS raw_count", "true_class_support")
     share = F.coalesce(_rounded(F.col("raw_count"), F.col("true_class_support")), F.lit(0.0))
-    return counted.select(
-        *by, "true_idx", "pred_idx", "true_label", "predicted_label", "raw_count", "true_class_support",
-        share.alias("normalized_ratio"), cell_severity(k == p, share).alias("severity"))
+    return counted.withColumn("normalized_ratio", share).withColumn(
+        "severity", cell_severity(F.col("true_idx") == F.col("pred_idx"), F.col("normalized_ratio")))
 
 
 def one_vs_rest_metrics(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -200,19 +206,15 @@ def one_vs_rest_metrics(cells: DataFrame, by: list[str] | None = None) -> DataFr
         (total - F.col("predicted_support") - F.col("true_support") + F.col("true_positives")).alias("tn"),
     )
 
-    def rate(num: str, other: str) -> Column:
-        return F.coalesce(ratio(F.col(num), F.col(num) + F.col(other)), F.lit(0.0))
+    def rate(num: str, other: str) -> str:
+        return f"coalesce(try_divide(double({num}), double({num} + {other})), 0.0D)"
 
-    precision, recall = rate("tp", "fp"), rate("tp", "fn")
-    return counts.select(
-        "*",
-        F.round(precision, 4).alias("precision"),
-        F.round(recall, 4).alias("recall"),
-        F.round(F.coalesce(_f1(precision, recall), F.lit(0.0)), 4).alias("f1_score"),
-        F.round(rate("tn", "fp"), 4).alias("specificity"),
-        F.round(rate("fp", "tn"), 4).alias("fpr"),
-        F.round(rate("fn", "tp"), 4).alias("fnr"),
-    )
+    rated = counts.selectExpr("*", f"{rate('tp', 'fp')} AS _p", f"{rate('tp', 'fn')} AS _r")
+    return rated.selectExpr(
+        *counts.columns, "round(_p, 4) AS precision", "round(_r, 4) AS recall",
+        "round(coalesce(try_divide(2 * _p * _r, _p + _r), 0.0D), 4) AS f1_score",
+        f"round({rate('tn', 'fp')}, 4) AS specificity", f"round({rate('fp', 'tn')}, 4) AS fpr",
+        f"round({rate('fn', 'tp')}, 4) AS fnr")
 
 
 def macro_metrics(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -238,7 +240,7 @@ def diagnostics(cells: DataFrame, split_col: str = "split") -> DataFrame:
              "tp", "fp", "fn", "tn"]
     sides = {"val": "validation", "test": "test"}
     both = one_vs_rest_metrics(cells, [split_col]).groupBy("class_index", "class_name").agg(*[
-        F.coalesce(F.max(F.when(F.col(split_col) == split, F.col(c))), F.lit(0)).alias(f"{prefix}_{c}")
+        F.expr(f"coalesce(max(CASE WHEN {split_col} = '{split}' THEN {c} END), 0) AS {prefix}_{c}")
         for split, prefix in sides.items() for c in shown])
     gate = gating_tier(
         F.col("validation_support"), F.col("validation_precision"), F.col("validation_recall"),

@@ -36,8 +36,8 @@ def feature_columns(columns: list[str], config: TrainingConfig | None = None) ->
 def sanitize_features(df: DataFrame, features: list[str]) -> DataFrame:
     """Non-finite feature values to null, in one projection; the categorical column stays."""
     numeric = set(features) - {CATEGORICAL}
-    return df.select(*[
-        non_finite_to_null(F.col(c)).alias(c) if c in numeric else F.col(c) for c in df.columns])
+    return df.selectExpr(*[
+        f"{non_finite_to_null(c)} AS {c}" if c in numeric else c for c in df.columns])
 
 
 def assembler_inputs(features: list[str]) -> list[str]:

@@ -98,11 +98,7 @@ def add_technique(df: DataFrame, label_col: str = "canonical_label") -> DataFram
 
 def add_risk_score(df: DataFrame, target_impact: Column | None = None) -> DataFrame:
     """`tlrs_result` struct for aggregates that carry canonical_label, counts and window_type."""
-    score = scoring.risk_score(
-        F.col("severity_prior"), F.col("flow_count"), F.col("active_observation_units"), F.col("window_type"),
-        target_impact,
-    )
-    return add_severity(df).withColumn("tlrs_result", score).drop("severity_prior")
+    return scoring.with_risk_score(add_severity(df), target_impact).drop("severity_prior")
 
 
 def threat_profiles(
@@ -146,9 +142,9 @@ def threat_profiles(
         "model_reliability",
         "tlrs_result",
         advisories(
-            F.col("canonical_label"), F.col("tlrs_result.scoring_status"), F.col("tlrs_result.risk_band"),
-            F.col("tlrs_result.provisional_risk_band"), F.col("missing_telemetry"),
-            F.col("model_reliability.status"), F.col("model_reliability.rationale"),
+            "canonical_label", "tlrs_result.scoring_status", "tlrs_result.risk_band",
+            "tlrs_result.provisional_risk_band", "missing_telemetry", "model_reliability.status",
+            "model_reliability.rationale",
         ).alias("advisories"),
     )
 

@@ -74,17 +74,16 @@ def threshold_sweep(
     steps = steps or GRID_STEPS
     first, second = classes
     score, prediction = F.col(score_col), F.col(prediction_col)
-    reached = sum((F.when(score >= tau, 1).otherwise(0) for tau in steps), F.lit(0))
+    reached = F.expr(" + ".join(f"int({score_col} >= {tau!r}D)" for tau in steps))
     usable = score.isNotNull() & ~F.isnan(score) & prediction.isin(first, second)
     level = F.when(usable, reached).otherwise(len(steps))
     counts = contingency(df.withColumn("_level", level), label_col, prediction_col, ["_level"])
-    rules = [
-        F.struct(F.lit(i * len(steps) + j).alias("candidate_id"), F.lit(a).alias("tau_infiltration"),
-                 F.lit(b).alias("tau_brute_force_web"), F.lit(i).alias("i"), F.lit(j).alias("j"))
-        for i, a in enumerate(steps) for j, b in enumerate(steps)
-    ]
+    rules = ", ".join(
+        f"({i * len(steps) + j}, {a!r}D, {b!r}D, {i}, {j})"
+        for i, a in enumerate(steps) for j, b in enumerate(steps))
     # a score reaching k thresholds is below threshold number k and all later ones
-    expanded = counts.select("*", F.inline(F.array(*rules)))
+    expanded = counts.selectExpr(
+        "*", f"inline(array({rules})) AS (candidate_id, tau_infiltration, tau_brute_force_web, i, j)")
     cut = (
         F.when(F.col("pred_idx") == first, F.col("i") >= F.col("_level"))
         .when(F.col("pred_idx") == second, F.col("j") >= F.col("_level"))
@@ -141,7 +140,7 @@ def policy_comparison(cells: DataFrame, recall_target: float = RECALL_TARGET) ->
     shown = ["overall_accuracy", "macro_f1", "balanced_accuracy", "benign_recall", "false_alarm_rate",
              "attack_detection_rate", "attack_precision", "attack_f1_score", "false_positives_alarms"]
     wide = summary_metrics(class_metrics(cells, ["rule"]), ["rule"]).agg(*[
-        F.max(F.when(F.col("rule") == rule, F.col(c))).alias(f"{rule}_{c}")
+        F.expr(f"max(CASE WHEN rule = '{rule}' THEN {c} END) AS {rule}_{c}")
         for rule in ("baseline", "policy") for c in shown])
     removed = F.col("baseline_false_positives_alarms") - F.col("policy_false_positives_alarms")
     return wide.select(
@@ -162,6 +161,6 @@ def policy_class_comparison(cells: DataFrame) -> DataFrame:
     metrics = class_metrics(cells, ["rule"])
     return metrics.groupBy("class_index", "class_name").agg(
         F.max("true_support").alias("support"),
-        *[F.max(F.when(F.col("rule") == rule, F.col(c))).alias(f"{prefix}_{c}")
+        *[F.expr(f"max(CASE WHEN rule = '{rule}' THEN {c} END) AS {prefix}_{c}")
           for rule, prefix in (("baseline", "base"), ("policy", "policy"))
           for c in ("precision", "recall", "f1_score")])

@@ -12,7 +12,7 @@ BROADCAST_ROW_LIMIT = 100_000
 
 
 def build_session(app: str = "flowintel", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the settings the library relies on: UTC, AQE, skew-join handling."""
+    """Session with the settings the library relies on: UTC, AQE, skew-join handling, compiled methods."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -20,6 +20,8 @@ def build_session(app: str = "flowintel", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # larger generated methods are not compiled by the JVM and run interpreted
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     if master:
         builder = builder.master(master)
