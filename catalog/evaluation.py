@@ -116,7 +116,7 @@ def model_diagnostics(spark, sf):
     "SELECT CASE WHEN l_partkey%40=0 THEN 'UNKNOWN' ELSE coalesce(k.class_name,'UNKNOWN') END AS inferred_label, count(*) AS flow_count"
     " FROM predictions p LEFT JOIN classes k ON p.prediction=k.class_index GROUP BY 1", "predictions", "classes"))
 def prediction_labels(spark, sf):
-    shifted = F.when(F.col("l_partkey") % 40 == 0, F.col("prediction") + 14).otherwise(F.col("prediction"))
+    shifted = F.when(F.col("l_partkey") % 40 == 0, F.col("prediction") + 20).otherwise(F.col("prediction"))
     return predictions(spark, sf).groupBy(index_to_label(shifted).alias("inferred_label")).agg(
         F.count("*").alias("flow_count"))
 

@@ -1,13 +1,13 @@
 """Model training, classifier comparison, inference and importance queries."""
 
-import tempfile
+import uuid
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.ctes import with_ctes
-from catalog.views import ROW_KEYS, flows, raw_flows, table
+from catalog.ctes import FLOW_COLUMNS, with_ctes
+from catalog.views import ROW_KEYS, flows, table
 from flowintel import dims
 from flowintel.operators import evaluate, importance, models, splits, thresholds
 from flowintel.operators.splits import TrainingConfig
@@ -132,7 +132,7 @@ def saved_model_importance(spark, sf):
 
     prepared, features = models.prepare(flows(spark, sf), FOREST)
     model = models.fit(prepared, features, FOREST)
-    path = f"{ensure_checkpoint_dir(spark)}/{tempfile.mktemp(prefix='model-', dir='')}"
+    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
     computed = importance.tree_importance(files.read_tree_nodes(spark, path), files.read_feature_order(spark, path))
     return importance.compare_importances(computed, models.forest_importances(model, features), 1e-6)
@@ -146,11 +146,15 @@ def prepared_parts(spark, sf):
     return splits.label_audit(prepared)
 
 
-@query("header_free_features")
-def header_free_features(spark, sf):
+_SELECTED = models.feature_columns(FLOW_COLUMNS)
+
+
+@query("selected_features", with_ctes(" UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS feature, count({c}) AS values_present FROM clean" for i, c in enumerate(_SELECTED)), "clean"))
+def selected_features(spark, sf):
     """Selected model features in input order."""
-    names = models.feature_columns([dims.COLUMN_MAPPING.get(c, c) for c in raw_flows(spark, sf).columns])
-    counted = flows(spark, sf).agg(*[F.count(F.col(n)).alias(n) for n in names])
-    return counted.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("position"), F.lit(n).alias("feature"), F.col(n).alias("values_present"))
-        for i, n in enumerate(names)])))
+    df = flows(spark, sf)
+    rows = ", ".join(
+        f"struct({i} AS position, '{n}' AS feature, count({n}) AS values_present)"
+        for i, n in enumerate(models.feature_columns(df.columns)))
+    return df.agg(F.expr(f"array({rows})").alias("f")).select(F.inline("f"))

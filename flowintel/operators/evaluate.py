@@ -277,7 +277,7 @@ def score_histogram(
     counts = df.where(F.col(class_col).isin(list(classes.values()))).groupBy(slot.alias("bin")).agg(
         *[F.count_if(F.col(class_col) == idx).alias(f"{name}_count") for name, idx in classes.items()])
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return every.join(counts, "bin", "left").fillna(0).select(
+    return every.join(F.broadcast(counts), "bin", "left").fillna(0).select(
         "bin", (F.col("bin") / bins).alias("bin_start"), ((F.col("bin") + 1) / bins).alias("bin_end"),
         *[f"{name}_count" for name in classes])
 

@@ -108,18 +108,17 @@ def run_row(
     campaign: tuple[str, str] = (dims.CAMPAIGN_START, dims.CAMPAIGN_END),
 ) -> DataFrame:
     """pipeline_runs row: provenance, governance and summary counts of one run."""
-    counts = status_counts(profiles).withColumn(RUN_KEY, F.lit(run_id))
-    source = manifest.withColumn(RUN_KEY, F.lit(run_id))
-    return counts.join(source, RUN_KEY).select(
-        RUN_KEY,
+    source = manifest.select(F.struct("source_manifest_hash", "files_count", "total_bytes")).scalar()
+    return status_counts(profiles).select(
+        F.lit(run_id).alias(RUN_KEY),
         F.lit("flow-threat-intelligence").alias("report_name"),
         F.lit("1.0.0").alias("pipeline_version"),
         run_timestamp.alias("run_timestamp"),
         F.lit(duration_seconds).cast("decimal(10,2)").alias("execution_duration_seconds"),
         F.lit(dataset_path).alias("dataset_path"),
-        "source_manifest_hash",
-        F.col("files_count").cast("int").alias("manifest_files_count"),
-        F.col("total_bytes").alias("manifest_total_bytes"),
+        source["source_manifest_hash"].alias("source_manifest_hash"),
+        source["files_count"].cast("int").alias("manifest_files_count"),
+        source["total_bytes"].alias("manifest_total_bytes"),
         F.lit("model_inference" if inference else "curated_dataset_flows").alias("provenance_type"),
         F.lit("CSE-CIC-IDS2018 enterprise emulation lab traffic").alias("traffic_source"),
         F.lit(inference).alias("is_model_prediction"),
