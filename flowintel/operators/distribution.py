@@ -75,7 +75,8 @@ def temporal_profile(
         F.count("*").alias("active_days_count"),
         busiest.alias("primary"),
         F.sum("flow_count").alias("total"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_date", "flow_count")))).alias("daily_counts"),
+        F.map_from_entries(F.array_sort(F.collect_list(
+            F.struct(F.col("event_date").cast("string").alias("day"), "flow_count")))).alias("daily_counts"),
     )
     return per_class.select(
         "class_name",
