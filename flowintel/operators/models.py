@@ -81,7 +81,10 @@ def comparison_classifiers(config: TrainingConfig) -> dict:
 
 
 def prepare(df: DataFrame, config: TrainingConfig) -> tuple[DataFrame, list[str]]:
-    """Sampled, indexed, sanitized and split rows with only the columns a model needs."""
+    """Sampled, indexed, sanitized and split rows with only the columns a model needs.
+
+    Rows of an unknown class have no index and cannot be learned, so they are left out.
+    """
     sampled = splits.subsample(
         df, config.subsample_ratio, strategy=config.subsample_strategy, protect_rare=config.protect_rare_classes,
         min_rare=config.min_rare_class_samples, seed=config.seed, keys=list(config.row_keys) or None)

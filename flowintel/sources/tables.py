@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowintel.operators.results import CHILD_TABLES, RUN_KEY, invalid_profiles
@@ -27,23 +27,43 @@ class ReportPersistenceError(Exception):
     """The report cannot be stored."""
 
 
+def _partition_key(col: str) -> Column:
+    # the prefix keeps Spark from reading a digits-only key back as a number
+    return F.concat(F.lit("key-"), F.col(col))
+
+
 def _write(df: DataFrame, path: str, keys: list[str]) -> None:
-    (
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
-    )
+    """Replace the partitions of the rows in `df`; the key columns stay in the files as well."""
+    parts = {f"{k}_part": _partition_key(k) for k in keys}
+    df.withColumns(parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        *parts).parquet(path)
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.parquet(path)
+    return rows.drop(*[c for c in rows.columns if c.endswith("_part")])
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.option("basePath", f"{root}/pipeline_runs").parquet(f"{root}/pipeline_runs")
+    return _read(spark, f"{root}/pipeline_runs")
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Current rows of a result table."""
+def read_table(spark: SparkSession, root: str, name: str, run_id: str | None = None) -> DataFrame:
+    """Current rows of a result table; `run_id` prunes the scan to the partition of one run."""
+    current = read_runs(spark, root)
+    if run_id is not None:
+        current = current.where(F.col(RUN_KEY) == run_id)
     if name == "pipeline_runs":
-        return read_runs(spark, root).drop(LOAD_KEY)
-    current = read_runs(spark, root).select(F.col(RUN_KEY).cast("string").alias(RUN_KEY), LOAD_KEY)
+        return current.drop(LOAD_KEY)
     rows = spark.read.parquet(f"{root}/{name}")
-    return rows.join(current, [RUN_KEY, LOAD_KEY], "left_semi").drop(LOAD_KEY)
+    if run_id is not None:
+        rows = rows.where(F.col(f"{RUN_KEY}_part") == f"key-{run_id}")
+    kept = [c for c in rows.columns if not c.endswith("_part")]
+    return rows.select(kept).join(current.select(RUN_KEY, LOAD_KEY), [RUN_KEY, LOAD_KEY], "left_semi").drop(LOAD_KEY)
+
+
+def read_analytical(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return _read(spark, f"{root}/{name}")
 
 
 def run_is_stored(spark: SparkSession, root: str, run_id: str) -> bool:

@@ -115,6 +115,9 @@ def test_threat_intelligence_job(spark, curated, tmp_path):
     jobs.run_threat_intelligence(spark, curated, root, run_id="run_2", window_type="daily")
     stored = tables.read_table(spark, root, "threat_profiles")
     assert stored.where("run_id = 'run_1'").count() == 15 and stored.where("run_id = 'run_2'").count() > 15
+    one = tables.read_table(spark, root, "threat_profiles", "run_1")
+    assert one.count() == 15 and "PartitionFilters: [isnotnull(run_id_part" in one._jdf.queryExecution().executedPlan().toString()
+    assert tables.run_is_stored(spark, root, "run_2") and not tables.run_is_stored(spark, root, "run_3")
     with pytest.raises(tables.DuplicateRunError):
         jobs.run_threat_intelligence(spark, curated, root, run_id="run_1", if_exists="error")
     before = tables.read_table(spark, root, "advisories").count()
@@ -205,14 +208,14 @@ def test_analytical_tables_replace_by_source(spark, flows, tmp_path):
     root = str(tmp_path / "a")
     for _ in range(2):
         tables.load_analytical(root, conf, port)
-    stored = spark.read.parquet(f"{root}/analytical_confusion_matrix")
+    stored = tables.read_analytical(spark, root, "analytical_confusion_matrix")
     assert stored.count() == 392 and stored.where("run_id IS NOT NULL").isEmpty()
     assert results.matrix_shape(stored).where("complete").count() == 2
     assert {r.violations for r in results.check_rules(stored, results.CONFUSION_RULES).collect()} == {0}
     assert {r.violations for r in results.check_rules(port, results.PORT_RULES).collect()} == {0}
     other = conf.withColumn("source_report_hash", F.lit("0" * 64))
     tables.load_analytical(root, other, port)
-    assert spark.read.parquet(f"{root}/analytical_confusion_matrix").count() == 784
+    assert tables.read_analytical(spark, root, "analytical_confusion_matrix").count() == 784
     keys, values = ["source_report_hash", "evaluated_split", "true_label_idx", "predicted_label_idx"], ["raw_count"]
     assert results.mismatches(stored, conf, keys, values).isEmpty()
 
