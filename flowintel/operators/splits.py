@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from flowintel import dims
 from flowintel.functions.numeric import ratio, uniform_from_keys
-from flowintel.session import join_per_key
+from flowintel.session import checkpointed, join_per_key
 
 SPLITS = ["train", "val", "test"]
 STRATEGIES = ["global_chronological", "chronological_per_class", "inter_day_chronological", "stratified_random"]
@@ -59,13 +59,21 @@ def distinct_timestamps(df: DataFrame, ts_col: str = "timestamp_parsed", by: lis
     return df.where(F.col(ts_col).isNotNull()).select(*(by or []), ts_col).distinct()
 
 
-def _bucketed(df: DataFrame, ts_col: str, by: list[str], bucket: str) -> tuple[DataFrame, DataFrame, Column]:
+def _bucketed(
+    df: DataFrame, ts_col: str, by: list[str], bucket: str, materialize: bool = False,
+) -> tuple[DataFrame, DataFrame, Column]:
     """Distinct timestamps with their time bucket, the buckets with the counts around them, the join condition.
 
     An ordered window over all timestamps would run in one task.  Only the bucket counts
-    pass through such a window here.
+    pass through such a window here.  `materialize` stores the distinct timestamps for a
+    caller that reads them in separate jobs.
     """
-    stamps = distinct_timestamps(df, ts_col, by).withColumn("_bucket", F.date_trunc(bucket, ts_col))
+    # the null filter is stated because Spark would infer it for one of the two uses only
+    # and then not share their exchange
+    stamps = distinct_timestamps(df, ts_col, by).withColumn("_bucket", F.date_trunc(bucket, ts_col)).where(
+        F.col("_bucket").isNotNull())
+    if materialize:
+        stamps = checkpointed(stamps)
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = stamps.groupBy(*by, "_bucket").agg(F.count("*").alias("_n")).select(
         *[F.col(c).alias(f"_{c}") for c in by],
@@ -112,7 +120,7 @@ def split_cutoffs(
     these buckets (at most two per group) are ranked.
     """
     by = by or []
-    stamps, buckets, same = _bucketed(df, ts_col, by, bucket)
+    stamps, buckets, same = _bucketed(df, ts_col, by, bucket, materialize=bool(by))
     k1, k2 = _cut_ranks(F.col("distinct_count"), train_ratio, val_ratio)
 
     def holds(rank: str) -> Column:
