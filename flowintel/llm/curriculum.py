@@ -48,7 +48,7 @@ def source_targets(
 
     Resharing the excess by weight until no source is above its limit ends where the target
     is min(limit, level * weight).  Sorted by limit per weight, the sources at their limit are
-    a prefix, so running sums give the level.
+    a prefix, so running sums give the level: the first below its limit, which is the largest.
     """
     ranked = sources.withColumn("_place", F.row_number().over(Window.orderBy("_src")) - 1).withColumns({
         "_weight": _pick(weights, F.col("_place")), "slope": _pick(slopes, F.col("_place"))})
@@ -62,7 +62,7 @@ def source_targets(
     # the level if this source and all behind it stay below their limits
     level = (F.col("_all") * F.lit(float(share)) - F.col("_full") * max_passes) / F.col("_open")
     below = level * F.col("_weight") < F.col("source_size") * max_passes
-    levelled = running.withColumn("_level", level).withColumn("_level", F.min(F.when(below, F.col("_level"))).over(whole))
+    levelled = running.withColumn("_level", level).withColumn("_level", F.max(F.when(below, F.col("_level"))).over(whole))
     target = F.least(F.col("source_size") * F.lit(float(max_passes)), F.col("_level") * F.col("_weight"))
     return levelled.select("_src", "source_size", F.coalesce(target, F.col("source_size") * float(max_passes)).alias("target"), "slope")
 

@@ -24,8 +24,8 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted "
                     "under the BSD 3-Clause License",
-    "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License CC BY 4.0",
-    "CC-BY-NC-4.0": "Licensed under the Creative Commons Attribution NonCommercial CC BY-NC 4.0",
+    "CC-BY-4.0": "Licensed under CC BY 4.0, Creative Commons Attribution",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "ISC": "Permission to use, copy, modify, and distribute this software is granted under the ISC License",

@@ -1,5 +1,64 @@
-"""SQL counterparts of the queries that SQL can express."""
+"""SQL counterparts of the queries that SQL can express, for DuckDB.
+
+Fingerprints, trained models, trigram-free hashes and greedy packing have none; their queries are
+tested against brute force in tests/llm.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from flowintel.llm.secret_scan import BASE_RULES, RULES
+
+WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+
+MIX_TARGETS = f"""
+WITH sized AS (
+    SELECT doc_id, CASE WHEN source IS NULL THEN 'z' ELSE 's' || source END AS src, {WORDS} AS size FROM documents
+), totals AS (
+    SELECT src, sum(size)::BIGINT AS source_size FROM sized GROUP BY src
+), ranked AS (
+    SELECT *, (row_number() OVER (ORDER BY src) - 1) % 3 AS place FROM totals
+), weighted AS (
+    SELECT *, CASE place WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM ranked
+), running AS (
+    SELECT *, coalesce(sum(source_size) OVER (ORDER BY source_size / weight, src
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS filled,
+        (sum(weight) OVER (ORDER BY source_size / weight, src
+            ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS open_weight,
+        (sum(source_size) OVER ())::BIGINT AS everything
+    FROM weighted
+), levelled AS (
+    SELECT *, (everything * 1.5::DOUBLE - filled * 2) / open_weight AS own_level FROM running
+), settled AS (
+    SELECT *, max(CASE WHEN own_level * weight < source_size * 2 THEN own_level END) OVER () AS level FROM levelled
+), targets AS (
+    SELECT src, source_size,
+        coalesce(least(source_size * 2.0::DOUBLE, level * weight), source_size * 2.0::DOUBLE) AS target FROM settled
+)"""
+
+
+def _span_list(rule, place: int) -> str:
+    """List of (start, place, kind, end) of one rule, from the pieces between its matches."""
+    pattern = rule.pattern.replace("'", "''")
+    value = f"regexp_extract(m[i], '{pattern}', {rule.group})" if rule.group else "m[i]"
+    return f"""
+    SELECT doc_id, unnest(list_filter([{{'s': list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT
+              + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0)::BIGINT, 'p': {place}, 'k': '{rule.kind}',
+              'n': length(m[i]), 'v': length({value})}} FOR i IN range(1, len(m) + 1)], lambda x: x.v >= {rule.least})) AS span
+    FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS m, string_split_regex(t, '{pattern}') AS p FROM texts)"""
+
+
+def _secrets() -> str:
+    parts = " UNION ALL ".join(_span_list(rule, place) for place, rule in enumerate(RULES))
+    joined = "string_agg(k || ':' || s || ':' || e, ',' ORDER BY s, p)"
+    counts = ", ".join(f"coalesce(count(*) FILTER (k = '{r.kind}'), 0) AS n_{r.kind}" for r in BASE_RULES)
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+raw AS ({parts}),
+spans AS (SELECT doc_id, span.s AS s, span.s + span.n AS e, span.p AS p, span.k AS k FROM raw)
+SELECT d.doc_id, {counts},
+    sha256(coalesce(string_agg(k || ':' || s || ':' || e, ',' ORDER BY s, p) FILTER (p < {len(BASE_RULES)}), '')) AS base_sha256,
+    coalesce({joined}, '') AS spans
+FROM documents d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id"""
+
+
+ORACLES: dict[str, str] = {"op6_secret_index": _secrets()}
