@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowintel.llm.text import grams, mix
+from flowintel.session import checkpointed, join_per_key
 
 K = 10
 TUPLE = 2
@@ -122,17 +123,19 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     falling = -F.col(id_col).cast("bigint")
     nameless = F.lit(1 << 60) + F.pmod(F.xxhash64(text_col), F.lit(1024))
     bucket = F.coalesce(F.floor(falling / BUCKET), nameless).cast("bigint")
-    rows = with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), bucket.alias("_bucket"), text.alias("text")),
-                            "text", "fingerprint")
-    dealt = rows.repartition("_bucket").withColumn("_tie", F.xxhash64("text"))
+    plain = docs.select(F.col(id_col).alias("doc_id"), bucket.alias("_bucket"), F.xxhash64(text).alias("_tie"),
+                        text.alias("text"))
+    dealt = with_fingerprint(plain, "text", "fingerprint").repartition("_bucket")
     order = Window.partitionBy("_bucket").orderBy((-F.col("doc_id")).asc(), "_tie")
-    placed = dealt.withColumns({
-        "_next_text": F.lead("text").over(order), "_next_print": F.lead("fingerprint").over(order),
-        "_first": F.lag(F.lit(1)).over(order).isNull()})
-    following = _following(docs.select(bucket.alias("_bucket")).distinct())
-    heads = placed.where("_first").select(F.col("_bucket").alias("_from"), F.col("text").alias("_head_text"),
-                                          F.col("fingerprint").alias("_head_print"))
-    heads = following.join(heads, "_from").select("_bucket", "_head_text", "_head_print")
+    placed = dealt.withColumns({"_next_text": F.lead("text").over(order), "_next_print": F.lead("fingerprint").over(order)})
+    # the first row of each range goes to the range before it; it is found by ids alone, so texts are dealt out once
+    firsts = checkpointed(plain.groupBy("_bucket").agg(F.min(F.struct(-F.col("doc_id"), "_tie")).alias("_top")))
+    wanted = _following(firsts.select("_bucket")).join(firsts.withColumnRenamed("_bucket", "_from"), "_from").select(
+        F.col("_bucket").alias("_to"), F.col("_from"), F.col("_top._tie").alias("_top_tie"),
+        (-F.col("_top").getField(firsts.schema["_top"].dataType.names[0])).alias("_top_id"))
+    same = (F.col("_bucket") == F.col("_from")) & F.col("doc_id").eqNullSafe(F.col("_top_id")) & (F.col("_tie") == F.col("_top_tie"))
+    tops = join_per_key(plain, wanted, same, "inner").select(F.col("_to").alias("_bucket"), "text").dropDuplicates(["_bucket"])
+    heads = with_fingerprint(tops, "text", "_head_print").withColumnRenamed("text", "_head_text")
     whole = placed.join(heads, "_bucket", "left")
     next_text = F.coalesce("_next_text", "_head_text")
     size = F.length("text").cast("bigint")

@@ -286,7 +286,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = docs.join(unclear, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").withColumn("_row", F.struct(*docs.columns))
     described = rows.select("_row", _text(rows, "text")).mapInArrow(
         describe_sets, f"_row {rows.schema['_row'].dataType.simpleString()}, set_id bigint, n_shingles bigint")
-    kept = found.where("doc_id is null or component_id is null or doc_id = component_id").select(
+    # a component belongs here if its smallest id is one of these, or if none of its rows has an id
+    own = found.join(unclear, found["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    kept = own.where("component_id is null or doc_id = component_id").select(
         F.col("set_id").alias("_set"), "component_key").distinct()
     again = described.join(kept, F.col("set_id") == F.col("_set"))
     chosen = again.groupBy("component_key").agg(F.min(F.to_json("_row")).alias("_least"), F.first("_row").alias("_row"))
