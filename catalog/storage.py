@@ -27,9 +27,17 @@ def manifest_entries(spark, sf):
     return manifest.entries_from_content(_documents(spark, sf), "path", "text")
 
 
+def _digest(columns: list[str]) -> str:
+    """SQL aggregate: the content digest of rows with these text columns."""
+    text = " || ".join(f"CASE WHEN {c} IS NULL THEN 'n' ELSE 'v' || length({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in columns)
+    sums = " || ',' || ".join(
+        f"coalesce(sum(CAST('0x' || substr(sha256({text}),{8 * i + 1},8) AS HUGEINT)),0)::HUGEINT::VARCHAR" for i in range(8))
+    return f"sha256(count(*) || ',' || {sums})"
+
+
 @query("manifest_digest",
-       "SELECT substr(sha256('[' || string_agg('{\"path\":\"' || path || '\",\"sha256\":\"' || sha256 || '\",\"size_bytes\":' || size_bytes || '}', ','"
-       f" ORDER BY path) || ']'),1,16) AS source_manifest_hash, count(*) AS files_count, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM ({_ENTRIES})")
+       f"SELECT substr({_digest(['path', 'sha256', 'size_bytes'])},1,16) AS source_manifest_hash, count(*) AS files_count,"
+       f" CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM ({_ENTRIES})")
 def manifest_digest(spark, sf):
     return manifest.manifest(manifest.entries_from_content(_documents(spark, sf), "path", "text"))
 
@@ -238,20 +246,26 @@ def verification_summary(spark, sf):
         source, source, ["class_name", "port"], ["flow_count", "total_flows", "percentage_within_class"])
 
 
-_ROW_TEXT = "concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)"
 
 
-@query("table_hash",
-       f"SELECT count(*) AS row_count, CAST(sum(CAST('0x' || substr(sha256({_ROW_TEXT}),1,15) AS HUGEINT)) AS VARCHAR) AS content_hash FROM orders")
+_ORDERS = "SELECT * REPLACE (o_totalprice::DECIMAL(18,2) AS o_totalprice) FROM orders"
+_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+_SUPPLIERS = "SELECT * REPLACE (s_acctbal::DECIMAL(18,2) AS s_acctbal) FROM supplier"
+_SUPPLIER_COLUMNS = ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]
+
+
+@query("table_hash", f"SELECT count(*) AS row_count, {_digest(_ORDER_COLUMNS)} AS content_hash FROM ({_ORDERS})")
 def table_hash(spark, sf):
-    return results.table_hash(
-        table(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+    """All columns; amounts as decimals, whose text is the same everywhere."""
+    orders = table(spark, sf, "orders")
+    return results.table_hash(orders.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)")), _ORDER_COLUMNS)
 
 
-@query("ordered_table_hash",
-       "SELECT count(*) AS row_count, sha256(string_agg(concat_ws('|', s_suppkey, s_name, s_nationkey), chr(10) ORDER BY s_suppkey::VARCHAR)) AS content_hash FROM supplier")
+@query("ordered_table_hash", f"SELECT count(*) AS row_count, {_digest(_SUPPLIER_COLUMNS)} AS content_hash FROM ({_SUPPLIERS})")
 def ordered_table_hash(spark, sf):
-    return results.ordered_table_hash(table(spark, sf, "supplier"), "s_suppkey", ["s_suppkey", "s_name", "s_nationkey"])
+    suppliers = table(spark, sf, "supplier")
+    return results.ordered_table_hash(
+        suppliers.withColumn("s_acctbal", F.col("s_acctbal").cast("decimal(18,2)")), "s_suppkey", _SUPPLIER_COLUMNS)
 
 
 @query("provenance_link",

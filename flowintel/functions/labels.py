@@ -31,7 +31,8 @@ def normalize_category(df: DataFrame, label_col: str = "label") -> DataFrame:
     spark = df.sparkSession
     mapping = dims.label_map(spark).select(F.col("raw_label").alias("_key"), F.col("canonical_label").alias("_canonical"))
     known = dims.classes(spark).select(F.col("class_name").alias("_key"), F.col("class_name").alias("_canonical"))
-    lookup = mapping.union(known).distinct()
+    named = mapping.join(F.broadcast(known.select("_key")), "_key", "left_anti")  # a class name stands for itself
+    lookup = named.union(known)
     canonical = F.coalesce("_canonical", F.lit(dims.UNKNOWN))
     status = (
         F.when(F.col("_canonical").isNull(), dims.UNKNOWN)

@@ -272,9 +272,13 @@ def benign_false_positives(
 def score_histogram(
     df: DataFrame, score_col: str, class_col: str, classes: dict[str, int], bins: int = 10,
 ) -> DataFrame:
-    """Counts per score bin over [0, 1] for the named classes; empty bins are 0, 1.0 falls in the last bin."""
+    """Counts per score bin over [0, 1] for the named classes; empty bins are 0, 1.0 falls in the last bin.
+
+    Null, NaN and scores outside [0, 1] belong to no bin; `scores_outside` counts them.
+    """
     slot = F.least(F.floor(F.col(score_col) * bins), F.lit(bins - 1)).cast("int")
-    counts = df.where(F.col(class_col).isin(list(classes.values()))).groupBy(slot.alias("bin")).agg(
+    inside = df.where(F.col(class_col).isin(list(classes.values())) & F.col(score_col).between(0.0, 1.0))
+    counts = inside.groupBy(slot.alias("bin")).agg(
         *[F.count_if(F.col(class_col) == idx).alias(f"{name}_count") for name, idx in classes.items()])
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(F.broadcast(counts), "bin", "left").fillna(0).select(
@@ -282,6 +286,13 @@ def score_histogram(
         *[f"{name}_count" for name in classes])
 
 
+def scores_outside(df: DataFrame, score_col: str) -> DataFrame:
+    """One row: null_scores, nan_scores, outside_scores (below 0 or above 1)."""
+    score, nan = F.col(score_col), F.isnan(F.col(score_col).cast("double"))
+    return df.agg(F.count_if(score.isNull()).alias("null_scores"), F.count_if(nan).alias("nan_scores"),
+                  F.count_if(~nan & ~score.between(0.0, 1.0)).alias("outside_scores"))
+
+
 def one_vs_benign_auc(
     df: DataFrame, score_col: str, positive_class: int, label_col: str = "label_idx",
 ) -> float:

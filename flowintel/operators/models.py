@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LogisticRegression, RandomForestClassifier,
 )
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, ImputerModel, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,8 +112,9 @@ def predict(model: PipelineModel, df: DataFrame, config: TrainingConfig) -> Data
 def infer_labels(
     model: PipelineModel, df: DataFrame, taus: dict[int, float] | None = None, output_col: str = "inferred_label",
 ) -> DataFrame:
-    """Batch inference; without `taus` the raw prediction is used."""
-    scored = model.transform(df)
+    """Batch inference; without `taus` the raw prediction is used.  Features are sanitized as in training."""
+    features = [c for stage in model.stages if isinstance(stage, ImputerModel) for c in stage.getInputCols()]
+    scored = model.transform(sanitize_features(df, features))
     if taus is None:
         return scored.withColumn(output_col, index_to_label(F.col("prediction")))
     adjusted = thresholds.apply_threshold_policy(scored, taus)

@@ -108,13 +108,20 @@ def threat_profiles(
     """One nested profile per aggregate row.
 
     `reliability` (class_name, status, rationale, validation metrics) is the fixed class
-    list of a model and is only given when predictions are profiled.
+    list of a model and is only given when predictions are profiled.  Of metrics for several
+    splits those for validation count; a class given twice would multiply its profiles and raises.
     """
     scored = add_technique(add_risk_score(normalize_category(aggregates), target_impact))
     if reliability is None:
         scored = scored.withColumn(
             "model_reliability", F.lit(None).cast("struct<class_name:string,status:string,rationale:string>"))
     else:
+        if "split" in reliability.columns:
+            reliability = reliability.where(F.col("split") == "validation")
+        repeated = F.count("*").over(Window.partitionBy("class_name")) > 1
+        complaint = F.raise_error(F.concat(F.lit("more than one reliability row for "), "class_name"))
+        columns = reliability.columns
+        reliability = reliability.withColumn("_fault", F.when(repeated, complaint)).where("_fault is null").select(columns)
         assessed = reliability.select(
             F.col("class_name").alias("canonical_label"), F.struct(*reliability.columns).alias("model_reliability"))
         scored = scored.join(F.broadcast(assessed), "canonical_label", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowintel.functions.digest import content_digest, row_text
 from flowintel import dims
 from flowintel.functions import scoring
 from flowintel.functions.timeparse import normalized_path, parse_timestamp
@@ -288,43 +289,20 @@ def verification_summary(stored: DataFrame, source: DataFrame, keys: list[str],
 
 
 def table_hash(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Row count and order-independent content hash.
+    """Row count and order-independent content hash over all 256 bits of the row hashes.
 
     Rows are hashed on their own and the hashes are summed, so nothing is sorted or
     gathered; equal rows add up instead of cancelling out.
     """
-    columns = columns or df.columns
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns])
-    row_hash = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(20,0)")
     return df.agg(
         F.count("*").alias("row_count"),
-        F.coalesce(F.sum(row_hash), F.lit(0)).cast("string").alias("content_hash"))
-
+        content_digest(F.sha2(row_text(columns or df.columns), 256)).alias("content_hash"))
 
-def ordered_table_hash(df: DataFrame, order_col: str, columns: list[str] | None = None,
-                       single_document_rows: int = 100_000) -> DataFrame:
-    """SHA-256 over the rows in key order.
 
-    Small tables hash one document.  Larger ones hash per leading key prefix and then
-    over the prefixes, so no task holds the whole table.
-    """
+def ordered_table_hash(df: DataFrame, order_col: str, columns: list[str] | None = None) -> DataFrame:
+    """Content hash of a table whose rows are ordered by a key: the key is part of every row, so its order is."""
     columns = columns or df.columns
-    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns])
-    keyed = df.select(F.col(order_col).cast("string").alias("k"), row.alias("v"))
-
-    def digest(frame: DataFrame, by: list[str]) -> DataFrame:
-        rows = F.array_sort(F.collect_list(F.struct("k", "v")))
-        return frame.groupBy(*by).agg(
-            F.sha2(F.array_join(F.transform(rows, lambda r: r["v"]), "\n"), 256).alias("v"), F.count("*").alias("n"))
-
-    if df.limit(single_document_rows + 1).count() <= single_document_rows:
-        result = digest(keyed, [])
-    else:
-        buckets = digest(keyed.withColumn("b", F.substring(F.sha2("k", 256), 1, 4)), ["b"])
-        rows = F.array_sort(F.collect_list(F.struct("b", "v")))
-        result = buckets.agg(
-            F.sha2(F.array_join(F.transform(rows, lambda r: r["v"]), "\n"), 256).alias("v"), F.sum("n").alias("n"))
-    return result.select(F.col("n").alias("row_count"), F.col("v").alias("content_hash"))
+    return table_hash(df, [order_col, *[c for c in columns if c != order_col]])
 
 
 def provenance_link(runs: DataFrame, reports: DataFrame) -> DataFrame:

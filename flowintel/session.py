@@ -57,7 +57,8 @@ def join_per_key(
 ) -> DataFrame:
     """Join rows with a per-key table that was derived from the data.
 
-    The table is materialized and counted first.  Up to `max_rows` it is broadcast, so
+    The table is materialized and counted first, so jobs run while the plan is built; the
+    bound counts rows, not bytes, and suits tables of narrow rows.  Up to `max_rows` it is broadcast, so
     the wide side is neither shuffled nor sorted, whatever its skew.  A larger table is
     joined with a shuffle, where AQE splits skewed partitions.
     """

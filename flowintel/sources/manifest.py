@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Up to this many files the digest hashes one canonical JSON document.  Larger sets are
-# hashed per bucket first, so no task ever holds the list of all files.
-SINGLE_DOCUMENT_FILES = 100_000
+from flowintel.functions.digest import content_digest, row_text
+
 DIGEST_LENGTH = 16
 
 
@@ -35,44 +34,16 @@ def entries_from_content(df: DataFrame, path_col: str, content_col: str) -> Data
     )
 
 
-def _canonical_digest(entries: DataFrame, keys: list[str]) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("path", "sha256", "size_bytes")))
-    return entries.groupBy(*keys).agg(
-        F.sha2(F.to_json(ordered), 256).alias("digest"),
-        F.count("*").alias("files_count"),
-        F.sum("size_bytes").alias("total_bytes"),
-    )
-
-
-def manifest(entries: DataFrame, single_document_files: int = SINGLE_DOCUMENT_FILES) -> DataFrame:
+def manifest(entries: DataFrame) -> DataFrame:
     """One row: source_manifest_hash, files_count, total_bytes.
 
-    The hash does not depend on the order of the input.  Its short form is that of the
-    compact JSON list of entries sorted by path.  Beyond `single_document_files` the
-    entries are split by a prefix of the path hash, each bucket is digested on its own,
-    and the buckets are digested in the same canonical way.
+    The hash sums the hashes of the entries, so it depends neither on their order nor on
+    their number, and no task holds a list of files.
     """
-    beyond = entries.limit(single_document_files + 1).count() > single_document_files
-    if beyond:
-        bucketed = entries.withColumn("_bucket", F.substring(F.sha2("path", 256), 1, 4))
-        buckets = _canonical_digest(bucketed, ["_bucket"])
-        totals = buckets.select(
-            F.col("_bucket").alias("path"), F.col("digest").alias("sha256"), F.col("total_bytes").alias("size_bytes"),
-            "files_count",
-        )
-        ordered = F.array_sort(F.collect_list(F.struct("path", "sha256", "size_bytes")))
-        result = totals.agg(
-            F.sha2(F.to_json(ordered), 256).alias("digest"),
-            F.sum("files_count").alias("files_count"),
-            F.sum("size_bytes").alias("total_bytes"),
-        )
-    else:
-        result = _canonical_digest(entries, [])
-    return result.select(
-        F.substring("digest", 1, DIGEST_LENGTH).alias("source_manifest_hash"),
-        "files_count",
-        F.coalesce("total_bytes", F.lit(0)).alias("total_bytes"),
-    )
+    row_hash = F.sha2(row_text(["path", "sha256", "size_bytes"]), 256)
+    return entries.agg(
+        F.substring(content_digest(row_hash), 1, DIGEST_LENGTH).alias("source_manifest_hash"),
+        F.count("*").alias("files_count"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_bytes"))
 
 
 def duplicate_files(incoming: DataFrame, known: DataFrame) -> DataFrame:

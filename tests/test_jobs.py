@@ -64,13 +64,14 @@ def test_manifest_matches_plain_python(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     entries = [
         {"path": n, "sha256": hashlib.sha256(c).hexdigest(), "size_bytes": len(c)} for n, c in (("b.bin", b"two"), ("d/a.bin", b"one"))]
-    text = json.dumps(entries, sort_keys=True, separators=(",", ":"))
     found = manifest.file_entries(spark, str(tmp_path))
+    hashes = [hashlib.sha256("".join(f"v{len(str(v))}:{v}" for v in (e["path"], e["sha256"], e["size_bytes"])).encode()).hexdigest()
+              for e in entries]
+    sums = ",".join(str(sum(int(h[8 * i : 8 * i + 8], 16) for h in hashes)) for i in range(8))
     m = manifest.manifest(found).first()
-    assert (m.source_manifest_hash, m.files_count, m.total_bytes) == (hashlib.sha256(text.encode()).hexdigest()[:16], 2, 6)
-    large = manifest.manifest(found, single_document_files=1).first()
-    again = manifest.manifest(found.orderBy(F.desc("path")), single_document_files=1).first()
-    assert large == again and large.files_count == 2 and large.total_bytes == 6
+    want = hashlib.sha256(f"2,{sums}".encode()).hexdigest()[:16]
+    assert (m.source_manifest_hash, m.files_count, m.total_bytes) == (want, 2, 6)
+    assert manifest.manifest(found.orderBy(F.desc("path")).repartition(3)).first() == m
     incoming = spark.createDataFrame([("new.bin", entries[0]["sha256"], 3), ("x", "0" * 64, 1)], found.schema)
     assert [r.path for r in manifest.duplicate_files(incoming, found).collect()] == ["new.bin"]
     assert [r.path for r in manifest.novel_files(incoming, found).collect()] == ["x"]
@@ -241,8 +242,24 @@ def test_hash_is_order_independent(spark):
     assert results.table_hash(df).first() != results.table_hash(df.where("id <> 5")).first()
     doubled = results.table_hash(df.unionByName(df)).first()
     assert doubled.row_count == 200 and doubled.content_hash != "0"
-    small = results.ordered_table_hash(df, "id", single_document_rows=10).first()
-    assert small == results.ordered_table_hash(df.orderBy(F.rand(1)), "id", single_document_rows=10).first()
+    ordered = results.ordered_table_hash(df, "id").first()
+    assert ordered == results.ordered_table_hash(df.orderBy(F.rand(1)).repartition(7), "id").first()
+
+
+def test_hash_is_unambiguous(spark):
+    def digest(*rows):
+        return results.table_hash(spark.createDataFrame(rows, "a string, b string")).first().content_hash
+
+    assert digest(("a|b", "c"), (None, "x")) != digest(("a", "b|c"), ("None", "x"))
+    assert digest((None, "x")) != digest(("None", "x")) and digest(("", "x")) != digest((None, "x"))
+
+
+def test_histogram_leaves_out_scores_beyond_its_range(spark):
+    scores = [None, float("nan"), -0.5, 1.7, 1.0, 0.95, 0.0]
+    df = spark.createDataFrame([(x, 0) for x in scores], "score double, label_idx int")
+    bins = {r.bin: r.benign_count for r in evaluate.score_histogram(df, "score", "label_idx", {"benign": 0}).collect()}
+    assert bins == {**dict.fromkeys(range(10), 0), 0: 1, 9: 2}
+    assert tuple(evaluate.scores_outside(df, "score").first()) == (1, 1, 2)
 
 
 def test_unlink_keeps_rows(spark):
