@@ -117,7 +117,7 @@ def threat_profiles(
             "model_reliability", F.lit(None).cast("struct<class_name:string,status:string,rationale:string>"))
     else:
         if "split" in reliability.columns:
-            reliability = reliability.where(F.col("split") == "validation")
+            reliability = reliability.where(F.col("split").isin("val", "validation"))
         repeated = F.count("*").over(Window.partitionBy("class_name")) > 1
         complaint = F.raise_error(F.concat(F.lit("more than one reliability row for "), "class_name"))
         columns = reliability.columns
@@ -180,7 +180,8 @@ def traffic_composition(profiles: DataFrame) -> DataFrame:
 
 
 def category_share(profiles: DataFrame) -> DataFrame:
-    total = F.sum("flow_count").over(Window.partitionBy())
+    """Share of every profile in all flows; the total is a scalar subquery, so profiles are not brought into one task."""
+    total = profiles.agg(F.sum("flow_count").alias("n")).scalar()
     share = F.coalesce(F.try_divide(F.col("flow_count").cast("double"), total.cast("double")), F.lit(0.0))
     return profiles.select(
         F.col("category.canonical_label").alias("canonical_label"),

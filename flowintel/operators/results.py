@@ -106,10 +106,19 @@ def advisory_rows(profiles: DataFrame) -> DataFrame:
 def run_row(
     profiles: DataFrame, manifest: DataFrame, run_id: str, run_timestamp: Column, dataset_path: str,
     inference: bool = False, model_artifact: str = "", duration_seconds: float = 0.0,
-    campaign: tuple[str, str] = (dims.CAMPAIGN_START, dims.CAMPAIGN_END),
+    campaign: tuple[str, str] = (dims.CAMPAIGN_START, dims.CAMPAIGN_END), window_type: str = "full_campaign",
 ) -> DataFrame:
-    """pipeline_runs row: provenance, governance and summary counts of one run."""
+    """pipeline_runs row: provenance, governance and summary counts of one run.
+
+    A run over daily or hourly windows spans from the first window's start to the last one's
+    end; without any dated window, and for the full campaign, the campaign's bounds stand.
+    """
     source = manifest.select(F.struct("source_manifest_hash", "files_count", "total_bytes")).scalar()
+    start, end = (F.lit(x).cast("timestamp") for x in campaign)
+    if window_type != "full_campaign":
+        spanned = profiles.agg(F.struct(
+            F.min("window_start").cast("timestamp").alias("start"), F.max("window_end").cast("timestamp").alias("end"))).scalar()
+        start, end = F.coalesce(spanned["start"], start), F.coalesce(spanned["end"], end)
     return status_counts(profiles).select(
         F.lit(run_id).alias(RUN_KEY),
         F.lit("flow-threat-intelligence").alias("report_name"),
@@ -125,9 +134,9 @@ def run_row(
         F.lit(inference).alias("is_model_prediction"),
         F.lit(False).alias("is_live_detection"),
         F.lit(False).alias("is_independently_verified"),
-        F.lit("full_campaign").alias("window_type"),
-        F.lit(campaign[0]).cast("timestamp").alias("window_start"),
-        F.lit(campaign[1]).cast("timestamp").alias("window_end"),
+        F.lit(window_type).alias("window_type"),
+        start.alias("window_start"),
+        end.alias("window_end"),
         F.lit("[window_start, window_end) half-open").alias("interval_semantics"),
         F.lit(model_artifact).alias("model_artifact"),
         F.lit("OPERATIONAL_EVALUATED" if inference else "INFERENCE_DISABLED").alias("model_status"),

@@ -255,11 +255,12 @@ def tag_sample(
 ) -> DataFrame:
     """Input plus `_sampled`; a ratio outside (0, 1) keeps every row.
 
-    With `keys` the draw is a hash of these columns, otherwise a seeded generator.
+    The draw is a hash of `keys`, or of all columns without them, so a lost task draws the
+    same rows again.  Rows equal in these columns are kept or dropped together.
     """
     if sample_ratio is None or not 0.0 < sample_ratio < 1.0:
         return df.withColumn("_sampled", F.lit(True))
-    draw = uniform_from_keys(keys, seed, SAMPLE_BUCKETS) / SAMPLE_BUCKETS if keys else F.rand(seed)
+    draw = uniform_from_keys(keys or df.columns, seed, SAMPLE_BUCKETS) / SAMPLE_BUCKETS
     if strategy == "uniform_random" or (strategy == "stratified_per_class" and not protect_rare):
         return df.withColumn("_sampled", draw < sample_ratio)
     if strategy != "stratified_per_class":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from flowintel.sources import files, manifest, tables
 def run_cleaning(spark: SparkSession, raw_dir: str, output: str, raw_files: list[str] | None = None) -> dict[str, DataFrame]:
     """Raw CSV to curated Parquet plus the integrity report.
 
-    Two passes over the raw text: one aggregation for every counter, one for the write.
+    Three passes over the raw text: row accounting, token counters, and the write.
     Counters are aggregated rather than observed during the write, because observed
     metrics can count a task twice when it is retried.
     """
@@ -98,7 +100,9 @@ def train_and_evaluate(df: DataFrame, config: TrainingConfig, model_dir: str | N
 
 
 def reliability_table(metrics: DataFrame) -> DataFrame:
-    """Reliability assessment per class from validation metrics (fixed class list)."""
+    """Reliability assessment per class from validation metrics (fixed class list); of several splits only validation counts."""
+    if "split" in metrics.columns:
+        metrics = metrics.where(F.col("split").isin("val", "validation"))
     judged = metrics.withColumn("_a", assess_reliability(
         F.col("class_name"), F.col("true_support"), F.col("precision"), F.col("recall"), F.col("f1_score")))
     return judged.select(
@@ -116,8 +120,10 @@ def run_threat_intelligence(
     """Curated flows to stored threat profiles.
 
     Without `model_path` flows are grouped by their label.  With it they are grouped by
-    the predicted label, optionally after the threshold policy.
+    the predicted label, optionally after the threshold policy.  The run's duration is the
+    time until its profiles are built; loading them is not part of it.
     """
+    began = time.monotonic()
     df = files.read_curated(spark, curated)
     if run_id is None:
         run_id = spark.range(1).select(new_run_id()).first()[0]
@@ -131,7 +137,8 @@ def run_threat_intelligence(
     aggregates = profiles.flow_aggregates(df, window_type, label_col)
     built = checkpointed(profiles.threat_profiles(aggregates, manifest_hash, run_id, source_type, reliability))
     run = results.run_row(
-        built, source, run_id, F.current_timestamp(), curated, model_path is not None, model_path or "")
+        built, source, run_id, F.current_timestamp(), curated, model_path is not None, model_path or "",
+        round(time.monotonic() - began, 2), window_type=window_type)
     stored = results.result_tables(built, run)
     tables.load_report(spark, root, built, stored, run_id, if_exists)
     return {"profiles": built, **{name: tables.read_table(spark, root, name) for name in results.RESULT_TABLES}}
