@@ -15,10 +15,13 @@ set shows its first D + 1 blocks in an order all sets share.  Blocks whose key (
 parity) occurs once in the corpus come first: they cannot agree with anything, so most texts
 show nothing, also if they share a passage with many.  Then come blocks with many tokens.
 
-Candidates.  Keys that occur more than once are found by packed hash ranges.  Within a key every class is compared with one leader only, so a group of g near
-copies costs g pairs.  Classes that do not link to the leader are then compared with those that
-do, but only where the triangle inequality of the Jaccard distance leaves a chance and both lie
-in different components; last, they are compared among themselves.  Pairs are first tested by
+Candidates.  Keys that occur more than once are found by packed hash ranges.  Within a key every class is compared with one
+leader, so a group of g near copies costs g pairs.  Keys whose classes then lie in different
+components elect further leaders, each compared with the classes outside its component, as
+long as this halves the pairs left.  Last, all pairs left within a key are compared, but only
+those of different components for which the sizes, the sketches and the triangle inequality of
+the Jaccard distance leave a chance; the test is part of the join, so other pairs never become rows.
+Pairs are first tested by
 the Hamming distance of 1024-bit parity sketches, then exactly.
 
 Null text, or text without words: no set, linked with nothing.  Fewer than SHINGLE words: the
@@ -29,6 +32,7 @@ empty result.  A class is known by a 64-bit hash of its set.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 from math import floor
 
 import numpy as np
@@ -45,6 +49,10 @@ SHINGLE = 5
 PERCENT = 80
 SKETCH_WORDS = 16
 SETS_AT_ONCE = 2000
+# Pairs to compare in one go, as a multiple of the members of all keys; beyond it further leaders are tried first.
+PAIRS_PER_MEMBER = 4
+# Leaders that such a key elects in one turn.
+LEADERS = 8
 
 
 def shingle_sets(column: pa.Array, n: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
@@ -181,7 +189,7 @@ def similar(both: Column, a: Column, b: Column, percent: int) -> Column:
 
 
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked, distance) of pairs of classes; the distance of rejected pairs may be a lower bound."""
+    """(a, b, linked, distance, exact) of pairs of classes; a distance that is not exact is a lower bound."""
     sketches = sets.select("set_id", "sketch", F.size("tokens").alias("_n"))
     left = sketches.toDF("a", "_sa", "_na")
     right = sketches.toDF("b", "_sb", "_nb")
@@ -194,12 +202,12 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.least("_na", "_nb") * 100 < F.greatest("_na", "_nb") * percent)
     tested = checkpointed(sized.withColumn("_far", far))
     bound = F.greatest(2 * F.col("_h") / (total + F.col("_h")), 1 - F.least("_na", "_nb") / F.greatest("_na", "_nb"))
-    rejected = tested.where("_far").select("a", "b", F.lit(False).alias("linked"), bound.alias("distance"))
+    rejected = tested.where("_far").select("a", "b", F.lit(False).alias("linked"), bound.alias("distance"), F.lit(False).alias("exact"))
     tokens = sets.select("set_id", "tokens")
     near = tested.where("not _far").join(tokens.toDF("a", "_ta"), "a").join(tokens.toDF("b", "_tb"), "b")
     near = near.select("a", "b", "_na", "_nb", F.size(F.array_intersect("_ta", "_tb")).alias("_both"))
     exact = near.select("a", "b", similar(F.col("_both"), F.col("_na"), F.col("_nb"), percent).alias("linked"),
-                        (1 - F.col("_both") / (F.col("_na") + F.col("_nb") - F.col("_both"))).alias("distance"))
+                        (1 - F.col("_both") / (F.col("_na") + F.col("_nb") - F.col("_both"))).alias("distance"), F.lit(True).alias("exact"))
     return checkpointed(rejected.unionByName(exact))
 
 
@@ -236,39 +244,63 @@ def class_roots(docs: DataFrame, classes: DataFrame, text_col: str, percent: int
     keys = checkpointed(shared_keys(docs, text_col, percent))
     leaders = keys.groupBy("key").agg(F.min("set_id").alias("leader"), F.count("*").alias("_n")).where("_n > 1")
     stars = checkpointed(keys.join(leaders.select("key", "leader"), "key").where("set_id <> leader"))
-    pairs = checkpointed(stars.select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    tried = checkpointed(stars.select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct())
+    ids = tried.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = _details(docs, text_col, classes, ids)
-    star = compare(pairs, sets, percent)
+    star = compare(tried, sets, percent)
     links = star.where("linked").select("a", "b")
     roots = components(links)
-    judged = stars.join(star.select(F.col("a").alias("leader"), F.col("b").alias("set_id"), "linked", "distance"),
-                        ["leader", "set_id"]).select("key", "set_id", "linked", "distance")
-    # only keys in which somebody stayed without a link need more comparisons
-    loose = judged.where("not linked")
-    if loose.isEmpty():
-        return roots
-    tried = pairs
+    judged = checkpointed(stars.join(
+        star.withColumnsRenamed({"a": "leader", "b": "set_id"}), ["leader", "set_id"]).select("key", "set_id", "distance", "exact")
+        .join(sets.select("set_id", F.size("tokens").alias("size")), "set_id"))
+    before = None
+    for turn in count(1):
+        named = checkpointed(judged.join(roots, F.col("set_id") == F.col("node"), "left").select(
+            *judged.columns, F.coalesce("root", "set_id").alias("root")))
+        # only keys whose members lie in several components need more comparisons
+        split = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
+            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("_squares")).where("n * n > _squares")
+        split = checkpointed(split)
+        left = split.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("_squares")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
+        if not left["pairs"]:
+            return roots
+        named = named.join(split.select("key"), "key")
+        if left["pairs"] <= PAIRS_PER_MEMBER * left["n"] or before and 2 * left["pairs"] > before:
+            break
+        before = left["pairs"]
+        draw = F.xxhash64(F.lit(turn), "key", "set_id")
+        chosen = named.groupBy("key", F.pmod(draw, F.lit(LEADERS)).alias("_slot")).agg(
+            F.min_by(F.struct("set_id", "root"), draw).alias("_leader"))
+        more = named.join(chosen, "key").where("root <> _leader.root").select(
+            F.least("set_id", "_leader.set_id").alias("a"), F.greatest("set_id", "_leader.set_id").alias("b"))
+        tried, links, roots = _linked(more, tried, links, roots, sets, percent)
+    words = [f"w{i}" for i in range(SKETCH_WORDS)]
+    named = named.join(sets.select("set_id", *[F.col("sketch")[i].alias(w) for i, w in enumerate(words)]), "set_id")
+    columns = ["set_id", "distance", "exact", "size", "root", *words]
+    sides = [named.select("key", *[F.col(c).alias(f"_{c}_{side}") for c in columns]) for side in "ab"]
     limit = (100 - percent) / 100 + 1e-9
-    joined = judged.where("linked").select("key", F.col("set_id").alias("a"), F.col("distance").alias("_da"))
-    for others, chance in ((joined, F.col("_db") - F.col("_da") <= limit),
-                           (loose.select("key", F.col("set_id").alias("a"), F.col("distance").alias("_da")),
-                            F.col("a") < F.col("b"))):
-        own = lambda side: F.coalesce(F.col(f"_r{side}"), F.col(side))
-        right = loose.select("key", F.col("set_id").alias("b"), F.col("distance").alias("_db"))
-        for side in ("a", "b"):
-            named = roots.toDF(f"_i{side}", f"_r{side}")
-            frame = others if side == "a" else right
-            frame = frame.join(named, F.col(side) == F.col(f"_i{side}"), "left").withColumn(f"_o{side}", own(side))
-            others, right = (frame, right) if side == "a" else (others, frame)
-        more = others.join(right, "key").where(chance).where("_oa <> _ob").select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = checkpointed(more.join(tried, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            tried = tried.unionByName(more)
-            links = links.unionByName(compare(more, sets, percent).where("linked").select("a", "b"))
-            roots = components(links)
-    return roots
+    both = sides[0].join(sides[1], "key").where("_set_id_a < _set_id_b and _root_a <> _root_b").where(
+        F.least("_size_a", "_size_b") * 100 >= F.greatest("_size_a", "_size_b") * percent)
+    for x, y in ("ab", "ba"):  # a rejected pair's distance may be too small, never too large
+        both = both.where(f"not (_exact_{x} and _distance_{y} - _distance_{x} > {limit})")
+    # tested while joining, so that only pairs the sketches cannot rule out become rows
+    flips = " + ".join(f"bit_count(_{w}_a ^ _{w}_b)" for w in words)
+    both = both.where(f"({flips}) * {100 + percent} <= (_size_a + _size_b) * {100 - percent}")
+    more = both.select(F.col("_set_id_a").alias("a"), F.col("_set_id_b").alias("b"))
+    return _linked(more, tried, links, roots, sets, percent)[2]
+
+
+def _linked(
+    more: DataFrame, tried: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, percent: int,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tried, links, roots) after the pairs `more` that were not tried before are compared."""
+    more = checkpointed(more.distinct().join(
+        tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    if more.isEmpty():
+        return tried, links, roots
+    found = compare(more, sets, percent).where("linked").select("a", "b")
+    tried, links = tried.unionByName(more), links.unionByName(found)
+    return tried, links, roots if found.isEmpty() else components(links)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

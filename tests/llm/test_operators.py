@@ -82,8 +82,10 @@ def test_parity_join(docs, found):
     assert len(kept) == len({r for r, s in zip(root, sets) if s}) + sum(not s for s in sets)
 
 
-def test_parity_join_near_limit(spark):
-    """Chains and hubs of sets around the limit, against all pairs."""
+@pytest.mark.parametrize("pairs_per_member", [parity.PAIRS_PER_MEMBER, 0])
+def test_parity_join_near_limit(spark, monkeypatch, pairs_per_member):
+    """Chains and hubs of sets around the limit, against all pairs; without spare pairs further leaders are elected first."""
+    monkeypatch.setattr(parity, "PAIRS_PER_MEMBER", pairs_per_member)
     rng = np.random.default_rng(5)
     base = [f"b{i}" for i in range(120)]
     rows = []
