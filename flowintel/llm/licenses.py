@@ -1,8 +1,10 @@
 """Licence scan: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-The header of a file is made of its lines that hold a licence cue, wherever they stand.  Their
-words are compared with the templates by TF-IDF cosine; idf counts the headers of all files.
-A file whose best template reaches MIN_SCORE has that licence.  A licence file passes it on to
+The templates are one-sentence notices, standard headers and full licence texts.  Of a licence
+file, and of any other file with a licence cue, these parts are compared with them by TF-IDF
+cosine: the whole text, each sentence with a cue, and each tile of words with a cue, the tiles
+overlapping at sizes from a notice to a full text.  idf counts those files; a term of no template
+weighs 1.  A part much shorter than a template is not compared with it.  A file whose best part reaches MIN_SCORE has the licence of that template.  A licence file passes it on to
 its directory; a file without a licence of its own takes that of the nearest directory above
 it that has one.  Inheritance is resolved once per directory, by joining the directory's
 ancestors with the directories that hold a licence file, and then reaches the files.
@@ -14,6 +16,9 @@ path.  Repeated rows get equal results.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,37 +38,68 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0",
     "Unlicense": "This is free and unencumbered software released into the public domain under the Unlicense",
 }
+# Standard headers and full texts: <license>.<header or full>.txt
+LONG_TEXTS = [(p.name.rsplit(".", 2)[0], p.read_text()) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
 CUE = r"(?i)licen[sc]e|copyright|redistribution and use|public domain|creative commons"
 TERM = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
+SENTENCE_END = r"[.!?;:]+[ \t\r]+|\n"
+TILES = ((12, 4), (40, 20), (160, 80), (640, 320))
 MIN_SCORE = 0.5
+# A part of fewer words than half a template, or than half the largest tile, shares little but common words with it.
+MOST_LEAST_WORDS = TILES[-1][0] // 2
+
+
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+
 
+def tiles(words: Column, size: int, step: int) -> Column:
+    """Overlapping runs of `size` words that hold a cue."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0)) + step - 1, F.lit(step))
+    return F.filter(F.transform(starts, lambda i: F.slice(words, i + 1, size)), lambda x: F.array_join(x, " ").rlike(CUE))
 
-def header_terms(files: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(key, term, tf) of the header of every file that has one."""
+
+def part_terms(files: DataFrame, key: str, text_col: str, whole: Column) -> DataFrame:
+    """(key, part, term, tf) of the parts of every file with a cue or `whole`; part 0 is the whole text."""
     text = F.col(text_col).cast("string")
-    cued = files.where(text.rlike(CUE)).select(key, F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE)).alias("_lines"))
-    words = F.flatten(F.transform("_lines", lambda x: F.regexp_extract_all(F.lower(x), F.lit(TERM), F.lit(0))))
-    return cued.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    held = files.where(text.rlike(CUE) | whole).select(
+        key, F.filter(F.split(text, SENTENCE_END), lambda x: x.rlike(CUE)).alias("_sentences"), words_of(text).alias("_words"))
+    parts = F.array_distinct(F.concat(
+        F.array("_words"), F.transform("_sentences", words_of), *(tiles(F.col("_words"), *t) for t in TILES)))
+    rows = held.select(key, F.posexplode(parts).alias("part", "_part")).select(key, "part", F.explode("_part").alias("term"))
+    return rows.groupBy(key, "part", "term").agg(F.count("*").alias("tf"))
+
+
+def damped(tf: str) -> Column:
+    """1 + ln tf: texts are not alike by repeating common words."""
+    return F.log(F.col(tf)) + 1
 
 
 def best_templates(terms: DataFrame, key: str, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(key, license, score): the most similar template of each header that reaches MIN_SCORE."""
+    """(key, license, score): the template most similar to a part of each file, if it reaches MIN_SCORE."""
     spark = terms.sparkSession
-    headers = terms.agg(F.count_distinct(key).alias("_headers"))
-    counts = terms.groupBy("term").agg(F.count("*").alias("_df"))
-    notices = spark.createDataFrame(list(templates.items()), "license string, notice string")
-    template = notices.select("license", F.explode(F.regexp_extract_all(F.lower("notice"), F.lit(TERM), F.lit(0))).alias("term"))
-    template = template.groupBy("license", "term").agg(F.count("*").alias("_tf"))
-    idf = F.log((F.col("_headers") + 1) / (F.coalesce("_df", F.lit(0)) + 1)) + 1
-    weights = template.join(counts, "term", "left").crossJoin(F.broadcast(headers)).withColumn("_w", F.col("_tf") * idf)
-    norms = Window.partitionBy("license")
-    weights = checkpointed(weights.select("license", "term", (F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(norms))).alias("_w")))
-    weighed = join_per_key(terms, counts, "term", "inner").crossJoin(F.broadcast(headers)).select(
-        key, "term", (F.col("tf") * idf).alias("_v"))
-    length = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_length"))
-    dots = weighed.join(F.broadcast(weights), "term").groupBy(key, "license").agg(F.sum(F.col("_v") * F.col("_w")).alias("_dot"))
-    scored = dots.join(length, key).withColumn("score", F.round(F.col("_dot") / F.col("_length"), 9))
-    best = scored.groupBy(key).agg(F.max(F.struct("score", "license")).alias("_best"))
+    texts = [*templates.items(), *LONG_TEXTS]
+    rows = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(texts)], "_t int, text string")
+    template = rows.select("_t", F.explode(words_of(F.col("text"))).alias("term")).groupBy("_t", "term").agg(F.count("*").alias("_tf"))
+    whole = terms.where("part = 0")
+    counts = whole.join(F.broadcast(template.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("_df"))
+    files = whole.agg(F.count_distinct(key).alias("_files"))
+    idf = F.log((F.col("_files") + 1) / (F.coalesce("_df", F.lit(0)) + 1)) + 1
+    weights = template.join(counts, "term", "left").crossJoin(F.broadcast(files)).select("_t", "term", "_tf", idf.alias("_idf"))
+    weights = weights.withColumn("_w", damped("_tf") * F.col("_idf"))
+    weights = weights.withColumn("_w", F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_t"))))
+    # one row per term, one column per template: a sum per template instead of a row per term and template
+    wide = checkpointed(weights.groupBy("term").agg(
+        F.max("_idf").alias("_idf"), *(F.sum(F.when(F.col("_t") == i, F.col("_w")).otherwise(0.0)).alias(f"_w{i}") for i in range(len(texts)))))
+    weighed = terms.join(F.broadcast(wide), "term", "left").withColumn("_v", damped("tf") * F.coalesce("_idf", F.lit(1.0)))
+    sums = weighed.groupBy(key, "part").agg(
+        F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_length"), F.sum("tf").alias("_n"),
+        *(F.sum(F.col("_v") * F.coalesce(f"_w{i}", F.lit(0.0))).alias(f"_d{i}") for i in range(len(texts))))
+    least = [min(len(re.findall(TERM, text.lower())) // 2, MOST_LEAST_WORDS) for _, text in texts]
+    scored = F.greatest(*(
+        F.struct(F.when(F.col("_n") >= least[i], F.round(F.col(f"_d{i}") / F.col("_length"), 9)).otherwise(0.0).alias("score"),
+                 F.lit(name).alias("license")) for i, (name, _) in enumerate(texts)))
+    best = sums.groupBy(key).agg(F.max(scored).alias("_best"))
     return best.select(key, F.col("_best.license").alias("license"), F.col("_best.score").alias("score")).where(F.col("score") >= MIN_SCORE)
 
 
@@ -83,10 +119,10 @@ def scan_licenses(files: DataFrame, is_license_file: Column, id_col: str = "doc_
     """id, path, own_license, own_score, license, inherited_from (directory; null if own or none)."""
     rows = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"),
                         is_license_file.alias("_file"))
-    # a file is known by path and text: repeated rows share their header
+    # a file is known by path and text: repeated rows share their parts
     keyed = rows.withColumn("_key", F.xxhash64("path", "text"))
     terms = checkpointed(
-        header_terms(keyed.where(F.col("text").rlike(CUE)).dropDuplicates(["_key"]), "_key", "text"))
+        part_terms(keyed.where(F.col("text").rlike(CUE) | F.col("_file")).dropDuplicates(["_key"]), "_key", "text", F.col("_file")))
     own = checkpointed(best_templates(terms, "_key")).withColumnsRenamed({"license": "own_license", "score": "own_score"})
     slim = checkpointed(join_per_key(keyed.select("doc_id", "path", "_file", "_key"), own, "_key")
                         .withColumn("_folder", directory(F.col("path"))))

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -341,6 +342,24 @@ def test_licenses(spark):
                    (5, None, "GPL-3.0", ""), (6, "MIT", "MIT", None), (7, "GPL-3.0", "GPL-3.0", None)}
 
 
+def test_licenses_whole_texts(spark):
+    texts = Path(licenses.__file__).parent / "license_texts"
+    filler = " ".join(f"word{i % 37} and other{i} of the" for i in range(12))
+    code = "\n".join(f"x{i} = call(y{i}, {i})" for i in range(120))
+    want, rows = {}, []
+    for i, path in enumerate(sorted(texts.glob("*.txt"))):
+        name = path.name.rsplit(".", 2)[0]
+        body = "Copyright (c) 2019 Some Body and others\n\n" + path.read_text()
+        rows += [(i, f"p{i}/LICENSE", body), (100 + i, f"q{i}.py", "\n".join("# " + x for x in body.split("\n")) + "\n" + code)]
+        want |= {i: name, 100 + i: name}
+    rows += [(200, "r.txt", f"{filler} Released under the MIT License {filler}"), (201, "s.txt", f"{filler} the license of a driver {filler}"),
+             (202, "t.txt", f"{filler}. Released under the MIT License. {filler}"), (203, "u/LICENSE", filler)]
+    want |= {200: "MIT", 201: None, 202: "MIT", 203: None}
+    files = spark.createDataFrame(rows, "doc_id int, path string, text string")
+    got = {r.doc_id: r.own_license for r in licenses.scan_licenses(files, F.col("path").rlike("LICENSE$")).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("run", [
     order_minhash.edited_pairs, parity.near_duplicates, parity.one_of_each, personal_data.find_personal_data, curriculum.curriculum_mix,
     curriculum.mixed_documents, lambda d: quality.judge(d, ["doc_id"]), quality.keep_good, secret_scan.find_secrets, secret_scan.mask_secrets,
