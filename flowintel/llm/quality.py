@@ -2,9 +2,10 @@
 
 Two histograms describe a text: its character classes, and the share of a few frequent
 function words among all words.  The reference of a language is the sum over all its
-documents.  A text is rejected when its Jensen-Shannon distance (base 2, 0 to 1) to the
-reference of its own language exceeds a limit.  Guards: texts with few words, and languages
-with little text, are not judged by divergence.
+documents.  A text is rejected when the Jensen-Shannon distance (base 2, 0 to 1) of either to the
+reference of its own language exceeds a limit.  The limit holds for the squared distance and
+grows with what a text of as many words drawn from the reference itself is expected to have, so
+that short texts are judged too.  Guard: languages with little text are not judged by divergence.
 
 Null text counts as empty: no words, rejected by the minimum of words.  A null or rare
 language falls under the guard.  Repeated rows are judged alike; an empty table gives none.
@@ -12,6 +13,7 @@ language falls under the guard.  Repeated rows are judged alike; an empty table
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +37,10 @@ CLASSES = ["lower", "upper", "digit", "blank", "point", "quote", "symbol", "othe
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-DIVERGENCE_MIN_WORDS = 80
 LANGUAGE_MIN_WORDS = 20_000
-MAX_CLASS_DISTANCE = 0.24
-# A longer text may also fail by both distances together.
-JOINT_MIN_WORDS = 200
-JOINT_CLASS_DISTANCE = 0.147
-JOINT_COMMON_DISTANCE = 0.30
+# A squared distance may reach the first value and the second times its expected sampling noise.
+CLASS_LIMIT = (0.015, 5.0)
+COMMON_LIMIT = (0.015, 2.75)
 
 
 def _byte_classes() -> np.ndarray:
@@ -137,6 +136,16 @@ def js_distance(counts: Column, reference: Column) -> Column:
     return F.when((total > 0) & (base > 0), F.sqrt(F.greatest(divergence, F.lit(0.0)))).otherwise(0.0)
 
 
+def sampling_noise(reference: Column, words: Column) -> Column:
+    """Expected squared distance to the reference of as many draws from it.
+
+    A bin that a sample holds often adds (1 - q) / (8 n ln 2); one that it rarely holds adds q / 2, as when absent.
+    """
+    base = F.aggregate(reference, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    bins = F.transform(reference, lambda x: F.least(x / base / 2, (1 - x / base) / (8 * math.log(2) * words)))
+    return F.when((base > 0) & (words > 0), F.aggregate(bins, F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
+
+
 def quality_features(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """`keys`, the five counts and the two histograms of every row."""
     rows = docs.select(*keys, F.col(text_col).cast("string").alias("_text"))
@@ -161,13 +170,16 @@ def language_references(features: DataFrame, lang_col: str = "lang") -> DataFram
 
 
 def verdict(class_distance: Column, common_distance: Column) -> tuple[Column, Column]:
-    """(base_failed, kept) from the counts of a row and its two distances."""
+    """(base_failed, kept) from the counts of a row, its references and its two distances."""
     words = F.col("n_words")
     failed = (words < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * words)
-    diverges = (words >= DIVERGENCE_MIN_WORDS) & (class_distance > MAX_CLASS_DISTANCE)
-    jointly = ((words >= JOINT_MIN_WORDS) & (class_distance > JOINT_CLASS_DISTANCE)
-               & (common_distance > JOINT_COMMON_DISTANCE))
-    return failed, ~failed & ~diverges & ~jointly
+
+    def diverges(distance: Column, reference: str, limit: tuple[float, float]) -> Column:
+        noise = F.coalesce(sampling_noise(F.col(reference), words), F.lit(0.0))
+        return distance * distance > limit[0] + limit[1] * noise
+
+    return failed, (~failed & ~diverges(class_distance, "ref_classes", CLASS_LIMIT)
+                    & ~diverges(common_distance, "ref_common", COMMON_LIMIT))
 
 
 def judge(docs: DataFrame, keys: list[str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:

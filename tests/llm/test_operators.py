@@ -227,6 +227,19 @@ def test_quality_keeps_good_and_drops_junk(spark):
     assert rows[0, False] > rows.get((0, True), 0)
 
 
+def test_quality_drops_short_junk(spark):
+    """By length, on labelled documents with odd ids: the limits were chosen on even ones."""
+    verdicts = quality.judge(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), ["doc_id"])
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = verdicts.where("not base_failed").join(labels, "doc_id").where("doc_id % 2 = 1").selectExpr(
+        "quality", "kept", "case when n_words < 120 then 50 when n_words < 200 then 120 else 200 end as words")
+    n = {(r.quality, r.words, r.kept): r["count"] for r in rows.groupBy("quality", "words", "kept").count().collect()}
+    print(n)
+    for words, share in ((50, 0.5), (120, 0.1), (200, 0.02)):
+        assert n.get((0, words, True), 0) <= share * (n.get((0, words, True), 0) + n[0, words, False])
+        assert n.get((1, words, False), 0) <= 0.005 * n[1, words, True]
+
+
 def test_js_distance(spark):
     frame = spark.createDataFrame([([1, 3], [3, 1]), ([1, 0], [0, 1]), ([2, 2], [1, 1]), ([0, 0], [1, 1])], "a array<bigint>, b array<bigint>")
     got = [r[0] for r in frame.select(quality.js_distance(F.col("a"), F.col("b"))).collect()]
