@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators over whole tables, with SQL where SQL can say it."""
+"""The registered queries of the operators over whole tables, with SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -8,17 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowintel.llm import (
-    curriculum, debruijn, kneser_ney, licenses, order_minhash, packing, parity, personal_data, quality, secret_scan)
+    curriculum, debruijn, hard_negatives, kneser_ney, licenses, merkle, order_minhash, packing, parity, personal_data, quality,
+    secret_scan, simhash)
 from flowintel.llm.oracles import ORACLES  # noqa: F401
 from flowintel.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def _query(fn: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+def _query(fn: Callable[[DataFrame], DataFrame], table: str = "documents") -> Callable[[DataFrame], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
-        return fn(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+        return fn(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
     QUERIES[fn.__name__] = run
     return fn
@@ -74,3 +75,20 @@ def op9_debruijn_dedup(docs: DataFrame) -> DataFrame:
 @_query
 def op10_license_scan(docs: DataFrame) -> DataFrame:
     return licenses.scan_licenses(licenses.document_paths(docs), F.col("path").rlike("/LICENSE[^/]*$"))
+
+
+@_query
+def op11_simhash_trie(docs: DataFrame) -> DataFrame:
+    return simhash.near_duplicates(docs)
+
+
+@_query
+def op12_merkle_manifest(docs: DataFrame) -> DataFrame:
+    return merkle.verified_documents(docs)
+
+
+def op13_hard_negatives(embeddings: DataFrame) -> DataFrame:
+    return hard_negatives.hard_negatives(embeddings)
+
+
+_query(op13_hard_negatives, "embeddings")
