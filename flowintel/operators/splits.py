@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from flowintel import dims
 from flowintel.functions.numeric import ratio, uniform_from_keys
-from flowintel.session import checkpointed, join_per_key
+from flowintel.operators import ranks
+from flowintel.session import join_per_key
 
 SPLITS = ["train", "val", "test"]
 STRATEGIES = ["global_chronological", "chronological_per_class", "inter_day_chronological", "stratified_random"]
@@ -59,48 +60,11 @@ def distinct_timestamps(df: DataFrame, ts_col: str = "timestamp_parsed", by: lis
     return df.where(F.col(ts_col).isNotNull()).select(*(by or []), ts_col).distinct()
 
 
-def _bucketed(
-    df: DataFrame, ts_col: str, by: list[str], bucket: str, materialize: bool = False,
-) -> tuple[DataFrame, DataFrame, Column]:
-    """Distinct timestamps with their time bucket, the buckets with the counts around them, the join condition.
-
-    An ordered window over all timestamps would run in one task.  Only the bucket counts
-    pass through such a window here.  `materialize` stores the distinct timestamps for a
-    caller that reads them in separate jobs.
-    """
-    # the null filter is stated because Spark would infer it for one of the two uses only
-    # and then not share their exchange
-    stamps = distinct_timestamps(df, ts_col, by).withColumn("_bucket", F.date_trunc(bucket, ts_col)).where(
-        F.col("_bucket").isNotNull())
-    if materialize:
-        stamps = checkpointed(stamps)
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = stamps.groupBy(*by, "_bucket").agg(F.count("*").alias("_n")).select(
-        *[F.col(c).alias(f"_{c}") for c in by],
-        F.col("_bucket").alias("_start"), "_n",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*by)).alias("distinct_count"),
-    )
-    same = F.col("_bucket") == F.col("_start")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return stamps, buckets, same
-
-
 def timestamp_ranks(
-    df: DataFrame, ts_col: str = "timestamp_parsed", by: list[str] | None = None, bucket: str = "hour",
+    df: DataFrame, ts_col: str = "timestamp_parsed", by: list[str] | None = None, limit: int = ranks.STAMPS_PER_RANGE,
 ) -> DataFrame:
-    """Chronological dense rank of the distinct timestamps (per `by`) with their number.
-
-    Timestamps are ranked inside time buckets, and each bucket is shifted by the count of
-    all earlier ones.
-    """
-    by = by or []
-    stamps, buckets, same = _bucketed(df, ts_col, by, bucket)
-    within = Window.partitionBy(*by, "_bucket").orderBy(ts_col)
-    ranked = stamps.withColumn("_rank", F.dense_rank().over(within))
-    return ranked.join(buckets, same).select(
-        *by, ts_col, (F.col("_before") + F.col("_rank")).alias("d_rank"), "distinct_count")
+    """Chronological dense rank of the distinct timestamps (per `by`) with their number; at most `limit` are sorted together."""
+    return ranks.ranked(df, ts_col, by or [], limit)
 
 
 def _cut_ranks(n: Column, train_ratio: float, val_ratio: float) -> tuple[Column, Column]:
@@ -112,28 +76,23 @@ def _cut_ranks(n: Column, train_ratio: float, val_ratio: float) -> tuple[Column,
 
 def split_cutoffs(
     df: DataFrame, ts_col: str = "timestamp_parsed", by: list[str] | None = None,
-    train_ratio: float = 0.70, val_ratio: float = 0.15, bucket: str = "hour",
+    train_ratio: float = 0.70, val_ratio: float = 0.15, limit: int = ranks.STAMPS_PER_RANGE,
 ) -> DataFrame:
     """Last train and last val timestamp, over everything or per `by` group.
 
-    The bucket counts tell which buckets hold the two cut ranks; only the timestamps of
-    these buckets (at most two per group) are ranked.
+    Only the ranges of time that hold one of the two cut ranks are narrowed, and only the
+    timestamps of the last such ranges are sorted.
     """
     by = by or []
-    stamps, buckets, same = _bucketed(df, ts_col, by, bucket, materialize=bool(by))
     k1, k2 = _cut_ranks(F.col("distinct_count"), train_ratio, val_ratio)
 
-    def holds(rank: str) -> Column:
-        return (F.col("_before") < F.col(rank)) & (F.col(rank) <= F.col("_before") + F.col("_n"))
+    def holds() -> Column:
+        return F.exists(F.array(k1, k2), lambda k: (F.col("_before") < k) & (k <= F.col("_before") + F.col("_n")))
 
-    wanted = buckets.withColumns({"_k1": k1, "_k2": k2}).where(holds("_k1") | holds("_k2"))
-    picked = join_per_key(stamps, wanted, same, "inner") if by else stamps.join(F.broadcast(wanted), same)
-    within = Window.partitionBy(*by, "_bucket").orderBy(ts_col)
-    rank = F.col("_before") + F.col("_rank")
-    return picked.withColumn("_rank", F.dense_rank().over(within)).groupBy(*by).agg(
-        F.max(F.when(rank <= F.col("_k1"), F.col(ts_col))).alias("train_until"),
-        F.max(F.when(rank <= F.col("_k2"), F.col(ts_col))).alias("val_until"),
-    )
+    picked = ranks.ranked(df, ts_col, by, limit, holds)
+    return picked.groupBy(*by).agg(
+        F.max(F.when(F.col("d_rank") == k1, F.col(ts_col))).alias("train_until"),
+        F.max(F.when(F.col("d_rank") == k2, F.col(ts_col))).alias("val_until"))
 
 
 def _split_by_time(ts: Column, train_until: Column, val_until: Column) -> Column:

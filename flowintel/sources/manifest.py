@@ -6,23 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowintel.functions.digest import content_digest, row_text
+from flowintel.sources.digests import file_digests
 
 DIGEST_LENGTH = 16
 
 
-def file_entries(spark: SparkSession, path: str) -> DataFrame:
-    """path (relative), sha256, size_bytes of every data file below `path`."""
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    absolute = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
-    root = path.split(":", 1)[-1].rstrip("/")
-    root = "/" + root.lstrip("/")
-    relative = F.when(
-        absolute.startswith(root + "/"), F.substring(absolute, len(root) + 2, 1 << 20)
-    ).otherwise(F.element_at(F.split(absolute, "/"), -1))
-    name = F.element_at(F.split(absolute, "/"), -1)
-    return scan.where(~name.rlike("^[._]")).select(
-        relative.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes")
-    )
+def file_entries(spark: SparkSession, paths: str | list[str], base: str | None = None, **options: int) -> DataFrame:
+    """path (relative to `base` or the folder), sha256, size_bytes of every data file at or below `paths`.
+
+    Files are streamed in chunks, whatever their size; folders are searched recursively, without names that begin
+    with a dot or an underscore.  A path listed twice gives two entries.
+    """
+    return file_digests(spark, paths, base, **options)
 
 
 def entries_from_content(df: DataFrame, path_col: str, content_col: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from flowintel.operators import models, splits
+from flowintel.operators import models, ranks, splits
 from flowintel.operators.splits import TrainingConfig
 
 BASE = datetime(2018, 2, 14, 8, 0, 0)
@@ -58,15 +58,56 @@ def test_global_split_coverage(spark):
     assert cover["SQL Injection"].temporal_coverage == "zero_dataset_support"
 
 
-@pytest.mark.parametrize("bucket", ["hour", "day"])
-def test_bucketed_rank_equals_plain_rank(flows, bucket):
+@pytest.mark.parametrize("limit", [5, 10_000])
+def test_narrowed_rank_equals_plain_rank(flows, limit):
     plain = flows.select("timestamp_parsed").distinct().withColumn(
         "want", F.dense_rank().over(Window.orderBy("timestamp_parsed")))
-    ranked = splits.timestamp_ranks(flows, bucket=bucket).join(plain, "timestamp_parsed")
+    ranked = splits.timestamp_ranks(flows, limit=limit).join(plain, "timestamp_parsed")
     assert ranked.where(F.col("d_rank") != F.col("want")).isEmpty()
     assert ranked.count() == plain.count()
 
 
+@pytest.fixture(scope="module")
+def dense_hour(spark):
+    """Two labels (one null) with all stamps in one hour, most of them in one second, some repeated, some missing."""
+    second = "make_timestamp(2018, 2, 14, 9, 30, 0)"
+    close = spark.range(9000).selectExpr(
+        "IF(id % 5 = 0, NULL, 'a') AS label", f"{second} + make_interval(0, 0, 0, 0, 0, 0, (id * 7919 % 6000) / 1000000) AS ts")
+    wide = spark.range(600).selectExpr("'a' AS label", f"{second} + make_interval(0, 0, 0, 0, 0, id % 25, (id * 37 % 50)) AS ts")
+    none = spark.range(3).selectExpr("'a' AS label", "CAST(NULL AS timestamp) AS ts")
+    return close.unionByName(wide).unionByName(none).repartition(5).cache()
+
+
+@pytest.mark.parametrize("by", [[], ["label"]])
+def test_no_range_of_a_dense_hour_is_sorted_whole(dense_hour, by):
+    limit = 200
+    found = ranks.narrowed(ranks.distinct_values(dense_hour, "ts", by), limit)
+    sizes = found.groupBy("_by", "_width", "_range").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= max(limit, ranks.WIDTHS[-1]) and sizes[1] > 5
+    window = Window.partitionBy(*by).orderBy("ts")
+    plain = dense_hour.where("ts IS NOT NULL").select(*by, "ts").distinct().select(
+        *by, "ts", F.dense_rank().over(window).cast("bigint").alias("d_rank"), F.count("*").over(Window.partitionBy(*by)).alias("distinct_count"))
+    got = splits.timestamp_ranks(dense_hour, "ts", by, limit)
+    assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
+
+
+@pytest.mark.parametrize("by", [[], ["label"]])
+def test_cutoffs_of_a_dense_hour(dense_hour, by):
+    """Only the ranges that hold a cut rank are followed, and the cutoffs are those of a plain sort."""
+    cuts = {r[0] if by else None: (r["train_until"], r["val_until"]) for r in splits.split_cutoffs(dense_hour, "ts", by, limit=100).collect()}
+    stamps = {}
+    for r in dense_hour.where("ts IS NOT NULL").distinct().collect():
+        stamps.setdefault(r.label if by else None, set()).add(r.ts)
+    assert set(cuts) == set(stamps)
+    for group, values in stamps.items():
+        values, n = sorted(values), len(values)
+        k1 = max(1, min(int(n * 0.70), n - 2))
+        k2 = max(k1 + 1, min(int(n * (0.70 + 0.15)), n - 1))
+        assert cuts[group] == (values[k1 - 1], values[k2 - 1])
+    tagged = splits.split_per_class(dense_hour, ts_col="ts") if by else splits.split_global(dense_hour, ts_col="ts")
+    assert splits.overlap(tagged, "ts").isEmpty() if not by else tagged.count() == dense_hour.where("ts IS NOT NULL").count()
+
+
 def test_inter_day_and_hashed(spark, flows):
     df = spark.createDataFrame([(1, "2018-02-14"), (2, "2018-02-16"), (3, "2018-02-22"), (4, "2018-03-02")],
                                "id int, event_date string")
