@@ -2,15 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from catalog import query
+from catalog import ORACLES, query
 from catalog.ctes import FLOW_COLUMNS, finite, with_ctes
-from catalog.views import flows, raw_flows, table
+from catalog.views import TABLES, flows, raw_flows, table
 from flowintel import dims
 from flowintel.functions import timeparse
 from flowintel.functions.labels import normalize_category, standardize_label
 from flowintel.functions.numeric import finite_or_zero
-from flowintel.operators import clean
-from flowintel.sources import files
+from flowintel.operators import clean, distribution
+from flowintel.sources import files, manifest
 
 _METRICS = """count(*) AS input_rows, count(*) FILTER (WHERE label='Label') AS repeated_header_rows,
  count(*) FILTER (WHERE label IS NULL) AS null_label_rows,
@@ -136,6 +136,30 @@ def integrity(spark, sf):
         "partition_dates", F.array_join("partition_dates", ","))
 
 
+@query("audited_metrics", with_ctes(f"SELECT {_METRICS} FROM {_FLAGS}", "raw"))
+def audited_metrics(spark, sf):
+    """Row accounting as the cleaning job derives it, from its one aggregate per file."""
+    return clean.audited_totals(clean.cleaning_audit(raw_flows(spark, sf)))
+
+
+@query("audited_headers", ORACLES["header_audit"])
+def audited_headers(spark, sf):
+    return clean.audited_headers(clean.cleaning_audit(raw_flows(spark, sf)))
+
+
+@query("audited_tokens", ORACLES["profile_tokens"])
+def audited_tokens(spark, sf):
+    return clean.audited_tokens(clean.cleaning_audit(raw_flows(spark, sf)))
+
+
+@query("integrity_from_cells", ORACLES["integrity"])
+def integrity_from_cells(spark, sf):
+    rows = flows(spark, sf)
+    cells = distribution.flow_cells(rows, dims.INTEGRITY_COLUMNS)
+    return clean.verify_integrity(rows, expected_dates=8, cells=cells).withColumn(
+        "partition_dates", F.array_join("partition_dates", ","))
+
+
 @query("parsed_timestamps", """WITH t AS (SELECT event_id, ts, CASE event_id%5
  WHEN 0 THEN strftime(ts,'%Y-%m-%dT%H:%M:%S') WHEN 1 THEN strftime(ts,'%Y-%m-%d %H:%M:%S')
  WHEN 2 THEN strftime(ts,'%d/%m/%Y %H:%M:%S') WHEN 3 THEN strftime(ts,'%Y-%m-%d') ELSE 'at ' || strftime(ts,'%H:%M') END AS txt FROM events)
@@ -173,13 +197,16 @@ def event_value_sanitizing(spark, sf):
         F.count("*").alias("n"), F.sum(F.expr(finite_or_zero("v"))).alias("clean_sum"))
 
 
-@query("table_files")
+@query("table_files", "SELECT name AS table_name, CAST(1 AS BIGINT) AS files_count, true AS size_matches FROM ("
+       + " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES) + ") WHERE n >= 0")
 def table_files(spark, sf):
-    """Files and bytes per table folder entry, read from the listing."""
+    """Files per table from the listing, and whether its bytes equal those read when the files are digested."""
     listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(sf)
-    name = F.regexp_extract("path", r"([^/]+)\.parquet", 1)
-    return listing.groupBy(name.alias("table_name")).agg(
-        F.count("*").alias("files_count"), F.sum("length").alias("total_bytes"))
+    name = F.regexp_extract("path", r"([^/]+)\.parquet", 1).alias("table_name")
+    listed = listing.groupBy(name).agg(F.count("*").alias("files_count"), F.sum("length").alias("total_bytes"))
+    read = manifest.file_entries(spark, sf).groupBy(name).agg(F.sum("size_bytes").alias("bytes_read"))
+    return listed.join(read, "table_name").select(
+        "table_name", "files_count", (F.col("total_bytes") == F.col("bytes_read")).alias("size_matches"))
 
 
 @query("scanned_file_lineage", "SELECT 'lineitem.parquet' AS file_name, count(*) AS rows_read FROM lineitem")

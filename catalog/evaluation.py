@@ -10,6 +10,7 @@ from catalog.views import predictions, table
 from flowintel import dims
 from flowintel.functions.labels import index_to_label
 from flowintel.operators import evaluate, thresholds
+from flowintel.plans import jobs
 
 SWEEP = thresholds.GRID_STEPS
 
@@ -169,7 +170,7 @@ def policy_class_comparison(spark, sf):
 def _sweep_sql() -> str:
     rules = values((i * len(SWEEP) + j, float(a), float(b)) for i, a in enumerate(SWEEP) for j, b in enumerate(SWEEP))
     grouped = "SELECT label_idx::INTEGER AS t, prediction::INTEGER AS p, score AS s, count(*) AS c FROM predictions" \
-              " WHERE label_idx BETWEEN 0 AND 13 AND prediction BETWEEN 0 AND 13 GROUP BY 1,2,3"
+              " WHERE split='val' AND label_idx BETWEEN 0 AND 13 AND prediction BETWEEN 0 AND 13 GROUP BY 1,2,3"
     ruled = (f"SELECT g.candidate_id, g.tau_infiltration, g.tau_brute_force_web, t AS true_idx, CASE WHEN (p=11 AND s<tau_infiltration) OR"
              f" (p=2 AND s<tau_brute_force_web) THEN 0 ELSE p END AS pred_idx, CAST(sum(c) AS BIGINT) AS n FROM ({grouped}) x"
              f" CROSS JOIN (VALUES {rules}) g(candidate_id, tau_infiltration, tau_brute_force_web) GROUP BY ALL")
@@ -191,7 +192,8 @@ def _sweep_ctes(body: str) -> str:
 
 @query("threshold_sweep", _sweep_ctes("SELECT * FROM sweep"))
 def threshold_sweep(spark, sf):
-    return thresholds.threshold_sweep(predictions(spark, sf), "score")
+    """All rules on the validation rows."""
+    return thresholds.threshold_sweep(predictions(spark, sf).where("split = 'val'"), "score")
 
 
 @query("threshold_selection", _sweep_ctes(
@@ -199,7 +201,25 @@ def threshold_sweep(spark, sf):
     " AS eligible_candidates_count, s.* FROM sweep s WHERE true_positives_detected::DOUBLE/attack_total>=0.9"
     " ORDER BY false_positives_alarms, true_positives_detected DESC, candidate_id LIMIT 1"))
 def threshold_selection(spark, sf):
-    return thresholds.select_thresholds(thresholds.threshold_sweep(predictions(spark, sf), "score"), 0.9)
+    return jobs.threshold_report(predictions(spark, sf), "score", 0.9)["selection"]
+
+
+_CHOSEN = """chosen AS (SELECT tau_infiltration AS a, tau_brute_force_web AS b FROM sweep
+ WHERE true_positives_detected::DOUBLE/attack_total>=0.9 ORDER BY false_positives_alarms, true_positives_detected DESC, candidate_id LIMIT 1),
+judged AS (SELECT label_idx::INTEGER AS true_idx, prediction::INTEGER AS p, score FROM predictions WHERE split='test'
+ AND label_idx BETWEEN 0 AND 13 AND prediction BETWEEN 0 AND 13),
+study_cells AS (SELECT 'baseline' AS rule, true_idx, p AS pred_idx, count(*) AS n FROM judged GROUP BY ALL UNION ALL
+ SELECT 'policy', true_idx, CASE WHEN (p=11 AND score<a) OR (p=2 AND score<b) THEN 0 ELSE p END AS pred_idx, count(*)
+ FROM judged LEFT JOIN chosen ON true GROUP BY ALL)"""
+
+
+@query("threshold_study", _sweep_ctes("").rstrip() + f", {_CHOSEN},\nstudy_classes AS ({class_metrics('study_cells', 'rule')}) "
+       "SELECT class_index, class_name, max(true_support) AS support, " + ", ".join(
+           f"max({c}) FILTER (WHERE rule='{r}') AS {p}_{c}" for r, p in (("baseline", "base"), ("policy", "policy"))
+           for c in ("precision", "recall", "f1_score")) + " FROM study_classes GROUP BY 1,2")
+def threshold_study(spark, sf):
+    """The rule chosen on validation rows beside the plain predictions, per class of the test rows."""
+    return jobs.threshold_report(predictions(spark, sf), "score", 0.9)["classes"]
 
 
 @query("benign_fp_by_date", with_ctes(
@@ -221,14 +241,26 @@ def score_histogram(spark, sf):
     return evaluate.score_histogram(predictions(spark, sf), "score", "label_idx", {"benign": 0, "infil": 11})
 
 
-@query("one_vs_benign_auc", with_ctes(
-    "SELECT round(sum(pos*(below+neg/2.0::DOUBLE))/(sum(pos)::DOUBLE*sum(neg)),6) AS auc FROM (SELECT pos, neg,"
-    " coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)::DOUBLE AS below FROM"
-    " (SELECT score, count(*) FILTER (WHERE label_idx=11) AS pos, count(*) FILTER (WHERE label_idx=0) AS neg FROM predictions"
-    " WHERE label_idx IN (0,11) GROUP BY 1))", "predictions"))
+_AUC = ("SELECT {by}CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg,"
+        " round(sum(pos*(below+neg/2.0::DOUBLE))/(sum(pos)::DOUBLE*sum(neg)),6) AS auc FROM (SELECT *,"
+        " coalesce(sum(neg) OVER ({part}ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)::DOUBLE AS below FROM ({counts})){group}")
+
+
+@query("one_vs_benign_auc", with_ctes(_AUC.format(by="", part="", group="", counts=(
+    "SELECT score, count(*) FILTER (WHERE label_idx=11) AS pos, count(*) FILTER (WHERE label_idx=0) AS neg FROM predictions"
+    " WHERE label_idx IN (0,11) GROUP BY 1")), "predictions"))
 def one_vs_benign_auc(spark, sf):
-    auc = evaluate.one_vs_benign_auc(predictions(spark, sf), "score", dims.CLASS_INDEX["Infiltration"])
-    return spark.range(1).select(F.round(F.lit(auc), 6).alias("auc"))
+    found = evaluate.one_vs_benign_auc(predictions(spark, sf), "score", dims.CLASS_INDEX["Infiltration"])
+    return found.withColumn("auc", F.round("auc", 6))
+
+
+@query("event_value_auc", _AUC.format(by="event_type, ", part="PARTITION BY event_type ", group=" GROUP BY 1", counts=(
+    "SELECT event_type, value::DOUBLE AS score, count(*) FILTER (WHERE user_id%3=0) AS pos, count(*) FILTER (WHERE user_id%3<>0) AS neg"
+    " FROM events WHERE value IS NOT NULL AND NOT isnan(value::DOUBLE) GROUP BY 1,2")))
+def event_value_auc(spark, sf):
+    """How well an event's value tells the users apart, per event type; scores far outside [0, 1]."""
+    found = evaluate.rank_sum_auc(table(spark, sf, "events"), "value", F.col("user_id") % 3 == 0, ["event_type"])
+    return found.withColumn("auc", F.round("auc", 6))
 
 
 @query("quality_contingency",

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.ctes import FLOW_COLUMNS, with_ctes
-from catalog.views import ROW_KEYS, flows, table
+from catalog.views import ROW_KEYS, flows, predictions, table
 from flowintel import dims
-from flowintel.operators import evaluate, importance, models, splits, thresholds
+from flowintel.operators import evaluate, importance, models, sampling, splits, thresholds
 from flowintel.operators.splits import TrainingConfig
 from flowintel.plans import jobs
 
@@ -45,12 +45,101 @@ def inferred_aggregates(spark, sf):
         F.count("*").alias("flow_count"))
 
 
-@query("evaluator_metrics",
-       "SELECT round(avg((toxic=quality)::INTEGER),6) AS accuracy FROM labels")
+_MLLIB = """WITH c AS (SELECT {by}{t} AS t, {p} AS p, count(*) AS n FROM {source} GROUP BY ALL), k AS (
+ SELECT {by}x, sum(t)::DOUBLE AS t, sum(p)::DOUBLE AS p, sum(h)::DOUBLE AS h FROM (
+  SELECT {by}t AS x, n AS t, 0 AS p, CASE WHEN t=p THEN n ELSE 0 END AS h FROM c UNION ALL SELECT {by}p, 0, n, 0 FROM c) GROUP BY ALL)
+ SELECT {by}round(sum(h)/sum(t),6) AS accuracy, round(sum(t*CASE WHEN p=0 THEN 0 ELSE h/p END)/sum(t),6) AS weighted_precision,
+ round(sum(h)/sum(t),6) AS weighted_recall, round(sum(t*CASE WHEN t+p=0 THEN 0 ELSE 2*h/(t+p) END)/sum(t),6) AS weighted_f1 FROM k {group}"""
+
+
+def _rounded(metrics):
+    names = ["accuracy", "weighted_precision", "weighted_recall", "weighted_f1"]
+    return metrics.withColumns({n: F.round(n, 6) for n in names})
+
+
+@query("evaluator_metrics", _MLLIB.format(by="", group="", t="toxic", p="quality", source="labels"))
 def evaluator_metrics(spark, sf):
-    pairs = table(spark, sf, "labels").select(
-        F.col("toxic").cast("double").alias("label_idx"), F.col("quality").cast("double").alias("prediction"))
-    return spark.range(1).select(F.round(F.lit(evaluate.evaluator_metrics(pairs)["accuracy"]), 6).alias("accuracy"))
+    return _rounded(evaluate.evaluator_metrics(table(spark, sf, "labels"), "toxic", "quality"))
+
+
+@query("evaluator_metrics_by_split", with_ctes("SELECT * FROM (" + _MLLIB.format(
+    by="split, ", group="GROUP BY 1", t="label_idx", p="prediction", source="predictions") + ")", "predictions"))
+def evaluator_metrics_by_split(spark, sf):
+    return _rounded(evaluate.evaluator_metrics(predictions(spark, sf), by=["split"]))
+
+
+@query("fit_rows_per_class", with_ctes(
+    "SELECT label, count(*) AS rows_seen, least(count(*), 300) AS rows_kept FROM clean GROUP BY 1", "clean"))
+def fit_rows_per_class(spark, sf):
+    """Rows per class before and after the bound; the rows' keys are unique, so it is met exactly."""
+    rows = flows(spark, sf, ROW_KEYS)
+    kept = sampling.bottom_k(rows, 300, "label", ROW_KEYS).groupBy("label").agg(F.count("*").alias("rows_kept"))
+    return rows.groupBy("label").agg(F.count("*").alias("rows_seen")).join(kept, "label")
+
+
+_PER_CLASS_PARTS = """tagged AS (SELECT *, CASE WHEN n<=1 THEN 'train' WHEN n=2 THEN CASE WHEN r=1 THEN 'train' ELSE 'test' END
+ WHEN r<=k1 THEN 'train' WHEN r<=greatest(k1+1, least(floor(n*0.85::DOUBLE), n-1)) THEN 'val' ELSE 'test' END AS split FROM (
+ SELECT *, greatest(1, least(floor(n*0.70::DOUBLE), n-2)) AS k1 FROM (SELECT *, max(r) OVER (PARTITION BY label) AS n FROM (
+ SELECT *, dense_rank() OVER (PARTITION BY label ORDER BY timestamp_parsed) AS r FROM clean))))"""
+
+
+def _facts(body: str) -> str:
+    return with_ctes("", "clean", "classes").rstrip() + f",\n{_PER_CLASS_PARTS}\n{body}"
+
+
+_KNOWN = "label IN (SELECT class_name FROM classes)"
+
+
+@query("model_evaluation_facts", _facts(
+    "SELECT split, count(*) AS total_evaluated_samples, true AS rates_in_range, true AS recall_is_accuracy"
+    f" FROM tagged WHERE split<>'train' AND {_KNOWN} GROUP BY 1"))
+def model_evaluation_facts(spark, sf):
+    """What SQL can say about the evaluation of a trained forest: rows judged per part, bounds and identities of its rates."""
+    overall = jobs.train_and_evaluate(flows(spark, sf), FOREST)["overall"]
+    rates = ["overall_accuracy", "macro_f1", "weighted_precision", "weighted_recall", "weighted_f1"]
+    inside = F.forall(F.array(*rates), lambda x: (x >= 0) & (x <= 1))
+    return overall.select("split", "total_evaluated_samples", inside.alias("rates_in_range"),
+                          (F.col("weighted_recall") == F.col("overall_accuracy")).alias("recall_is_accuracy"))
+
+
+@query("classifier_comparison_facts", _facts(
+    f"SELECT c AS classifier, count(*) AS total_evaluated_samples, true AS rates_in_range FROM tagged CROSS JOIN (VALUES"
+    f" ('decision_tree'), ('logistic_regression'), ('random_forest')) v(c) WHERE split='test' AND {_KNOWN} GROUP BY 1"))
+def classifier_comparison_facts(spark, sf):
+    config = TrainingConfig(split_strategy="chronological_per_class", num_trees=5, use_class_weights=False)
+    prepared, features = models.prepare(flows(spark, sf), config)
+    found = models.compare_classifiers(prepared, features, config)
+    inside = F.forall(F.array("overall_accuracy", "weighted_precision", "weighted_recall", "weighted_f1"), lambda x: (x >= 0) & (x <= 1))
+    return found.select("classifier", "total_evaluated_samples", inside.alias("rates_in_range"))
+
+
+@query("inferred_aggregates_facts", with_ctes(
+    f"SELECT label, count(*) AS flow_count, true AS inferred_known FROM clean WHERE {_KNOWN} GROUP BY 1", "clean", "classes"))
+def inferred_aggregates_facts(spark, sf):
+    """Every flow of a known label gets one inferred label, which is one of the classes."""
+    found = inferred_aggregates(spark, sf).where(F.col("label").isin(dims.CLASS_LABELS))
+    return found.groupBy("label").agg(
+        F.sum("flow_count").alias("flow_count"), F.bool_and(F.col("inferred_label").isin(dims.CLASS_LABELS)).alias("inferred_known"))
+
+
+@query("model_importance_facts", "SELECT v.feature_name, true AS ranked_once, true AS own_value, true AS in_range FROM (VALUES " + ", ".join(
+    f"('{f}')" for f in models.assembler_inputs(models.feature_columns(FLOW_COLUMNS))) + ") v(feature_name) WHERE (SELECT count(*) FROM lineitem) > 0")
+def model_importance_facts(spark, sf):
+    """Names, ranks and range of a stored forest's importances, and that its node table gives the model's own values."""
+    from flowintel.session import ensure_checkpoint_dir
+    from flowintel.sources import files
+
+    prepared, features = models.prepare(flows(spark, sf), FOREST)
+    model = models.fit(prepared, features, FOREST)
+    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    model.write().overwrite().save(path)
+    own = importance.rank_importances(models.forest_importances(model, features), 6)
+    computed = importance.tree_importance(files.read_tree_nodes(spark, path), files.read_feature_order(spark, path))
+    same = importance.compare_importances(computed, models.forest_importances(model, features), 1e-6).select("feature_name", "matches")
+    ranks = own.agg((F.count_distinct("rank") == F.count("*")) & (F.max("rank") == F.count("*"))).scalar()
+    return own.join(same, "feature_name", "left").select(
+        "feature_name", ranks.alias("ranked_once"), F.coalesce("matches", F.col("importance") == 0).alias("own_value"),
+        F.col("importance").between(0, 1).alias("in_range"))
 
 
 @query("vector_policy",

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.ctes import MANIFEST, RUN_ID, values, with_ctes
-from catalog.views import campaign_profiles, flows, predictions, table
+from catalog.views import TABLES, campaign_profiles, flows, predictions, table
 from flowintel import dims
 from flowintel.functions import timeparse
 from flowintel.operators import distribution, evaluate, lookups, ports, redundancy, results
@@ -42,19 +42,15 @@ def manifest_digest(spark, sf):
     return manifest.manifest(manifest.entries_from_content(_documents(spark, sf), "path", "text"))
 
 
-_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
-           "conversations").split()
-
-
 @query("table_manifest", "SELECT name || '.parquet' AS path, true AS same_digest, true AS same_size, true AS same_manifest FROM ("
-       + " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in _TABLES) + ") WHERE n >= 0")
+       + " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES) + ") WHERE n >= 0")
 def table_manifest(spark, sf):
     """Streamed digests of the tables' files beside those of the files read whole, and whether the manifest of a
     shuffled list of the files equals that of the folder."""
     streamed = manifest.file_entries(spark, sf)
     whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(sf).select(
         F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), F.sha2("content", 256).alias("whole_sha256"), "length")
-    shuffled = manifest.file_entries(spark, [f"{sf}/{t}.parquet" for t in reversed(_TABLES)], base=sf)
+    shuffled = manifest.file_entries(spark, [f"{sf}/{t}.parquet" for t in reversed(TABLES)], base=sf)
     hashes = [manifest.manifest(e).select("source_manifest_hash").scalar() for e in (streamed, shuffled)]
     return streamed.join(whole, "path").select(
         "path", (F.col("sha256") == F.col("whole_sha256")).alias("same_digest"),

@@ -37,19 +37,23 @@ def audit_repeated_headers(df: DataFrame, label_col: str = RAW_LABEL, file_col:
     )
 
 
+def token_counters(columns: list[str], where: str = "true") -> Column:
+    """Aggregate: an array of structs with the token counts of each text column, over the rows that meet `where`."""
+    return F.array(*[
+        F.expr(f"named_struct('column_name', '{name}', " + ", ".join(
+            f"'{key}', count_if({where} AND ({check.format(c=f'`{name}`')}))" for key, check in TOKEN_CHECKS.items())
+            + f", 'rows_profiled', count_if({where}))")
+        for name in columns
+    ])
+
+
 def profile_tokens(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Null/blank, +inf, -inf and NaN counts of text columns, one row per column.
 
     All counters of all columns come from one pass over the data.
     """
     present = [c for c in (columns or dims.PROFILED_COLUMNS) if c in df.columns]
-    counters = [
-        F.expr(f"named_struct('column_name', '{name}', " + ", ".join(
-            f"'{key}', count_if({check.format(c=f'`{name}`')})" for key, check in TOKEN_CHECKS.items())
-            + ", 'rows_profiled', count(1))")
-        for name in present
-    ]
-    return df.agg(F.array(*counters).alias("profiles")).select(F.inline("profiles"))
+    return df.agg(token_counters(present).alias("profiles")).select(F.inline("profiles"))
 
 
 def rename_columns(df: DataFrame) -> DataFrame:
@@ -119,6 +123,34 @@ def cleaning_metrics(raw: DataFrame, by: list[str] | None = None) -> DataFrame:
     return raw.groupBy(*(by or [])).agg(*cleaning_counters())
 
 
+def cleaning_audit(raw: DataFrame, file_col: str = "source_file", columns: list[str] | None = None) -> DataFrame:
+    """Everything the cleaning report counts, one row per file, from one pass over the raw text.
+
+    The row accounting of cleaning_metrics() and, as `profiles`, the token counts of the flow rows (no repeated header,
+    no null label) per column.  Header audit, token profile and totals are sums over these few rows.
+    """
+    present = [c for c in (columns or dims.PROFILED_COLUMNS) if c in raw.columns]
+    is_flow = f"coalesce(`{RAW_LABEL}` <> '{RAW_LABEL}', false)"
+    return raw.groupBy(file_col).agg(*cleaning_counters(), token_counters(present, is_flow).alias("profiles"))
+
+
+def audited_totals(audit: DataFrame, file_col: str = "source_file") -> DataFrame:
+    """Row accounting over all files of a cleaning_audit()."""
+    return audit.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in audit.columns if c not in (file_col, "profiles")])
+
+
+def audited_headers(audit: DataFrame, file_col: str = "source_file") -> DataFrame:
+    """Repeated header rows per file that has some."""
+    return audit.where(F.col("repeated_header_rows") > 0).select(
+        F.col(file_col).alias("file"), F.col("repeated_header_rows").alias("repeated_headers_count"))
+
+
+def audited_tokens(audit: DataFrame) -> DataFrame:
+    """Token profile over all files, one row per column."""
+    counts = [*TOKEN_CHECKS, "rows_profiled"]
+    return audit.select(F.inline("profiles")).groupBy("column_name").agg(*[F.sum(c).alias(c) for c in counts])
+
+
 def clean_and_transform(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Curated flows and their row accounting; both lazy, neither collects."""
     return clean_flows(raw), cleaning_metrics(raw)
@@ -126,17 +158,22 @@ def clean_and_transform(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def verify_integrity(
     df: DataFrame, expected_rows: int | None = None, expected_dates: int | None = None,
-    date_col: str = "event_date", audited: list[str] | None = None,
+    date_col: str = "event_date", audited: list[str] | None = None, cells: DataFrame | None = None,
 ) -> DataFrame:
     """One row: rows, columns, sorted dates, null/NaN counts and the pass flag.
 
-    Counted per date first, so that the final row only merges one row per date.
+    Counted per date first, so that the final row only merges one row per date; from `cells`
+    (distribution.flow_cells) when they are given, so that the rows are not read again.
     """
     audited = audited or dims.INTEGRITY_COLUMNS
-    per_date = df.groupBy(F.col(date_col).cast("string").alias("_date")).agg(
-        F.count("*").alias("_rows"),
-        *[F.count_if(F.col(c).isNull() | F.isnan(c)).alias(f"{c}_null_or_nan") for c in audited],
-    )
+    date = F.col(date_col).cast("string").alias("_date")
+    if cells is not None:
+        per_date = cells.groupBy(date).agg(
+            F.sum("flow_count").alias("_rows"), *[F.sum(f"{c}_null_or_nan").alias(f"{c}_null_or_nan") for c in audited])
+    else:
+        per_date = df.groupBy(date).agg(
+            F.count("*").alias("_rows"),
+            *[F.count_if(F.col(c).isNull() | F.isnan(c)).alias(f"{c}_null_or_nan") for c in audited])
     summary = per_date.agg(
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("verified_rows"),
         F.array_sort(F.collect_list("_date")).alias("partition_dates"),

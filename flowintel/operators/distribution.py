@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowintel import dims
@@ -10,17 +10,37 @@ from flowintel.functions.display import day_label
 from flowintel.functions.numeric import percent, ratio
 
 
+def flow_cells(
+    df: DataFrame, audited: list[str], label_col: str = "label", date_col: str = "event_date", port_col: str = "dst_port",
+) -> DataFrame:
+    """Rows per (label, date, port) with the null or NaN counts of the audited columns, from one scan.
+
+    Every distribution by label, date or port, and the integrity check, is a sum over these cells (pass
+    weight="flow_count").  There are at most classes x dates x ports of them, whatever the number of flows.
+    """
+    return df.groupBy(label_col, date_col, port_col).agg(
+        F.count("*").alias("flow_count"),
+        *[F.count_if(F.col(c).isNull() | F.isnan(c)).alias(f"{c}_null_or_nan") for c in audited])
+
+
+def rows_in(weight: str | None) -> Column:
+    """Number of rows, or the sum of a column that says how many rows each row stands for."""
+    return F.sum(weight) if weight else F.count("*")
+
+
 def class_counts(df: DataFrame, label_col: str = "label") -> DataFrame:
     """Rows per class, largest first."""
     return df.groupBy(label_col).agg(F.count("*").alias("count")).orderBy(F.desc("count"), label_col)
 
 
-def class_distribution(df: DataFrame, label_col: str = "label", reference_label: str = dims.BENIGN) -> DataFrame:
+def class_distribution(
+    df: DataFrame, label_col: str = "label", reference_label: str = dims.BENIGN, weight: str | None = None,
+) -> DataFrame:
     """Support, share, ratio to the reference class and rarity flags per class.
 
     Totals come from a window over the counts (one row per class), not from a second scan.
     """
-    counts = df.groupBy(F.col(label_col).alias("class_name")).agg(F.count("*").alias("support"))
+    counts = df.groupBy(F.col(label_col).alias("class_name")).agg(rows_in(weight).alias("support"))
     everything = Window.partitionBy()
     reference = F.sum(F.when(F.col("class_name") == reference_label, F.col("support")).otherwise(0)).over(everything)
     return counts.select(
@@ -45,15 +65,19 @@ def imbalance(df: DataFrame, label_col: str = "label") -> DataFrame:
     ).orderBy(F.desc("count"), label_col)
 
 
-def label_date_counts(df: DataFrame, label_col: str = "label", date_col: str = "event_date") -> DataFrame:
+def label_date_counts(
+    df: DataFrame, label_col: str = "label", date_col: str = "event_date", weight: str | None = None,
+) -> DataFrame:
     return df.groupBy(
         F.col(label_col).alias("class_name"), F.col(date_col).cast("date").alias("event_date")
-    ).agg(F.count("*").alias("flow_count"))
+    ).agg(rows_in(weight).alias("flow_count"))
 
 
-def date_totals(df: DataFrame, label_col: str = "label", date_col: str = "event_date") -> DataFrame:
+def date_totals(
+    df: DataFrame, label_col: str = "label", date_col: str = "event_date", weight: str | None = None,
+) -> DataFrame:
     """Chronological totals per date with the axis label and the horizon (number of dates)."""
-    totals = df.groupBy(F.col(date_col).cast("date").alias("event_date")).agg(F.count("*").alias("total_flows"))
+    totals = df.groupBy(F.col(date_col).cast("date").alias("event_date")).agg(rows_in(weight).alias("total_flows"))
     return totals.select(
         "event_date",
         "total_flows",
@@ -64,9 +88,10 @@ def date_totals(df: DataFrame, label_col: str = "label", date_col: str = "event_
 
 def temporal_profile(
     df: DataFrame, label_col: str = "label", date_col: str = "event_date", baseline: str = dims.BENIGN,
+    weight: str | None = None,
 ) -> DataFrame:
     """Active days, primary date and daily counts per class.  Ties go to the earliest date."""
-    cells = label_date_counts(df, label_col, date_col)
+    cells = label_date_counts(df, label_col, date_col, weight)
     busiest = F.max_by(
         F.struct("event_date", "flow_count"),
         F.struct("flow_count", (-F.unix_date("event_date")).alias("earlier")),

@@ -7,7 +7,6 @@ aggregation over the predictions feeds all metrics.  `by` names extra group colu
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from flowintel import dims
 from flowintel.functions.display import cell_severity
 from flowintel.functions.numeric import ratio
 from flowintel.functions.reliability import gating_tier, generalization
+from flowintel.operators.distribution import rows_in
 
 _CLASS_NAMES = "array(" + ", ".join(f"'{c}'" for c in dims.CLASS_LABELS) + ")"
 
@@ -29,12 +29,16 @@ def _f1(p: Column, r: Column) -> Column:
 
 def contingency(
     df: DataFrame, label_col: str = "label_idx", prediction_col: str = "prediction", by: list[str] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """true_idx, pred_idx, n for indices inside the class range; other rows are left out."""
+    """true_idx, pred_idx, n for indices inside the class range; other rows are left out.
+
+    A row counts once, or as often as its `weight` column says.
+    """
     inside = F.col(label_col).between(0, dims.NUM_CLASSES - 1) & F.col(prediction_col).between(0, dims.NUM_CLASSES - 1)
     return df.where(inside).groupBy(
         *(by or []), F.col(label_col).cast("int").alias("true_idx"), F.col(prediction_col).cast("int").alias("pred_idx")
-    ).agg(F.count("*").alias("n"))
+    ).agg(rows_in(weight).alias("n"))
 
 
 def outside_matrix(df: DataFrame, label_col: str = "label_idx", prediction_col: str = "prediction") -> DataFrame:
@@ -293,23 +297,90 @@ def scores_outside(df: DataFrame, score_col: str) -> DataFrame:
                   F.count_if(~nan & ~score.between(0.0, 1.0)).alias("outside_scores"))
 
 
-def one_vs_benign_auc(
-    df: DataFrame, score_col: str, positive_class: int, label_col: str = "label_idx",
-) -> float:
-    """Exact area under the ROC curve of one class against benign (no score binning)."""
-    pairs = df.where(F.col(label_col).isin([0, positive_class])).select(
-        (F.col(label_col) == positive_class).cast("double").alias("label"),
-        F.col(score_col).cast("double").alias("rawPrediction"))
-    return BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0).evaluate(pairs)
+def matrix_document(cells: DataFrame) -> DataFrame:
+    """One row: validation_metrics and test_metrics, each with its confusion_matrix (class_labels, raw_matrix, normalized_matrix)."""
+    dense = dense_matrix(cells, ["split"])
+
+    def in_order(key: str, value: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
+
+    lines = dense.groupBy("split", "true_idx").agg(
+        in_order("pred_idx", "raw_count").alias("raw"), in_order("pred_idx", "normalized_ratio").alias("normalized"))
+    matrix = lines.groupBy("split").agg(F.struct(F.struct(
+        F.expr(_CLASS_NAMES).alias("class_labels"), in_order("true_idx", "raw").alias("raw_matrix"),
+        in_order("true_idx", "normalized").alias("normalized_matrix")).alias("confusion_matrix")).alias("_part"))
+    return matrix.agg(*[F.max_by("_part", F.when(F.col("split") == split, 1)).alias(name)
+                        for name, split in (("validation_metrics", "val"), ("test_metrics", "test"))])
+
 
+SCORE_CELLS = 4096
 
-EVALUATOR_METRICS = {
-    "accuracy": "accuracy", "weighted_precision": "weightedPrecision",
-    "weighted_recall": "weightedRecall", "weighted_f1": "f1",
-}
 
+def _below(parts: DataFrame, within: list[str], order: str) -> DataFrame:
+    """Parts (n_pos, n_neg, _part) summed per `within`; each part's positives also pass the negatives of earlier parts."""
+    earlier = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("n_neg").over(earlier), F.lit(0)).cast("decimal(19,0)")
+    passed = parts.withColumn("_part", F.col("_part") + (F.col("n_pos").cast("decimal(18,0)") * below * 2).cast("decimal(38,0)"))
+    return passed.groupBy(*within).agg(
+        F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"), F.sum("_part").cast("decimal(38,0)").alias("_part"))
 
-def evaluator_metrics(predictions: DataFrame, label_col: str = "label_idx") -> dict[str, float]:
-    """Metrics as MLlib defines them."""
-    evaluator = MulticlassClassificationEvaluator(labelCol=label_col, predictionCol="prediction")
-    return {name: evaluator.setMetricName(metric).evaluate(predictions) for name, metric in EVALUATOR_METRICS.items()}
+
+def rank_sum_auc(
+    df: DataFrame, score_col: str, positive: Column, by: list[str] | None = None,
+) -> DataFrame:
+    """n_pos, n_neg and auc: the exact area under the ROC curve (per `by`), ties counted half.  Stays lazy.
+
+    Rows are reduced to counts per distinct score.  The pairs (positive above negative) are counted as
+    a rank sum in three levels: inside fine cells of the score, between those of one coarse cell, and
+    between the coarse cells.  Every level passes on sums, so no window holds more than
+    SCORE_CELLS rows or the distinct scores of one fine cell, and no prefix sum is joined back.
+    Null and NaN scores are left out; scores outside [0, 1] fall into the first or last cell.
+    """
+    by = by or []
+    score = F.col(score_col).cast("double")
+    counts = df.where(score.isNotNull() & ~F.isnan(score) & positive.isNotNull()).groupBy(*by, score.alias("_score")).agg(
+        F.count_if(positive).alias("n_pos"), F.count_if(~positive).alias("n_neg"))
+    inside = F.least(F.greatest(F.col("_score"), F.lit(0.0)), F.lit(1.0))
+    halves = (F.col("n_pos").cast("decimal(18,0)") * F.col("n_neg").cast("decimal(18,0)")).cast("decimal(38,0)")
+    scores = counts.select(*by, "_score", "n_pos", "n_neg", halves.alias("_part"),
+                           F.floor(inside * SCORE_CELLS).alias("_coarse"), F.floor(inside * SCORE_CELLS * SCORE_CELLS).alias("_fine"))
+    fine = _below(scores, [*by, "_coarse", "_fine"], "_score")
+    coarse = _below(fine, [*by, "_coarse"], "_fine")
+    total = _below(coarse, by, "_coarse")
+    pairs = F.col("n_pos").cast("double") * F.col("n_neg").cast("double") * 2
+    return total.select(*by, "n_pos", "n_neg", F.try_divide(F.col("_part").cast("double"), pairs).alias("auc"))
+
+
+def one_vs_benign_auc(
+    df: DataFrame, score_col: str, positive_class: int, label_col: str = "label_idx", by: list[str] | None = None,
+) -> DataFrame:
+    """n_pos, n_neg, auc of one class against benign (no score binning)."""
+    label = F.col(label_col)
+    return rank_sum_auc(df.where(label.isin([0, positive_class])), score_col, label == positive_class, by)
+
+
+def evaluator_metrics(
+    predictions: DataFrame, label_col: str = "label_idx", prediction_col: str = "prediction", by: list[str] | None = None,
+) -> DataFrame:
+    """accuracy, weighted_precision, weighted_recall and weighted_f1 (per `by`) as MLlib defines them, in one lazy pass.
+
+    Any label values are classes.  A class never predicted has precision 0, its F1 is 0; rows with a null are left out.
+    """
+    by = by or []
+    label, prediction = F.col(label_col).cast("double"), F.col(prediction_col).cast("double")
+    cells = predictions.where(label.isNotNull() & prediction.isNotNull()).groupBy(
+        *by, label.alias("_t"), prediction.alias("_p")).agg(F.count("*").alias("_n"))
+    sides = cells.selectExpr(*by, "inline(array(struct(_t AS c, _n AS t, 0L AS p, IF(_t = _p, _n, 0L) AS hit), struct(_p AS c, 0L AS t, _n AS p, 0L AS hit)))")
+    per_class = sides.groupBy(*by, "c").agg(*[F.sum(x).alias(x) for x in ("t", "p", "hit")])
+    share = "coalesce(try_divide(CAST(hit AS double), {}), 0.0D)"
+    shares = per_class.selectExpr(*by, "t", "hit", f"{share.format('p')} AS precision", f"{share.format('(t + p) / 2D')} AS f1")
+    total = F.sum("t")
+
+    def weighted(column: str) -> Column:
+        return F.try_divide(F.sum(F.col(column) * F.col("t")), total)
+
+    hits = F.try_divide(F.sum("hit").cast("double"), total.cast("double"))
+    # recall weighted by support is the share of hits
+    metrics = shares.groupBy(*by) if by else shares
+    return metrics.agg(hits.alias("accuracy"), weighted("precision").alias("weighted_precision"), hits.alias("weighted_recall"),
+                       weighted("f1").alias("weighted_f1"))

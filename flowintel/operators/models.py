@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from flowintel import dims
 from flowintel.functions.labels import add_label_index, index_to_label
 from flowintel.functions.numeric import non_finite_to_null
-from flowintel.operators import evaluate, splits, thresholds
+from flowintel.operators import evaluate, sampling, splits, thresholds
 from flowintel.operators.importance import rank_importances
 from flowintel.operators.splits import TrainingConfig
 from flowintel.session import checkpointed
@@ -80,14 +80,19 @@ def comparison_classifiers(config: TrainingConfig) -> dict:
     }
 
 
+def tag_training_sample(df: DataFrame, config: TrainingConfig) -> DataFrame:
+    """Input plus `_sampled` by the sampling settings of the configuration."""
+    return splits.tag_sample(
+        df, config.subsample_ratio, strategy=config.subsample_strategy, protect_rare=config.protect_rare_classes,
+        min_rare=config.min_rare_class_samples, seed=config.seed, keys=list(config.row_keys) or None)
+
+
 def prepare(df: DataFrame, config: TrainingConfig) -> tuple[DataFrame, list[str]]:
     """Sampled, indexed, sanitized and split rows with only the columns a model needs.
 
     Rows of an unknown class have no index and cannot be learned, so they are left out.
     """
-    sampled = splits.subsample(
-        df, config.subsample_ratio, strategy=config.subsample_strategy, protect_rare=config.protect_rare_classes,
-        min_rare=config.min_rare_class_samples, seed=config.seed, keys=list(config.row_keys) or None)
+    sampled = tag_training_sample(df, config).where("_sampled").drop("_sampled")
     features = feature_columns(df.columns, config)
     tagged = splits.split_dataset(sampled, config)
     needed = [c for c in ("label", "event_date") if c in df.columns]
@@ -96,11 +101,24 @@ def prepare(df: DataFrame, config: TrainingConfig) -> tuple[DataFrame, list[str]
     return sanitize_features(indexed, features), features
 
 
-def fit(prepared: DataFrame, features: list[str], config: TrainingConfig) -> PipelineModel:
+def fit_rows(prepared: DataFrame, config: TrainingConfig) -> DataFrame:
+    """Stored training rows: of each class at most `fit_rows_per_class`, the ones with the smallest hashes, with weights.
+
+    Imputer, indexer and classifiers read them repeatedly; their number is bounded, the prepared rows themselves
+    are never cached.
+    """
     train = prepared.where(F.col("split") == "train")
+    if config.fit_rows_per_class is not None:
+        train = sampling.bottom_k(train, config.fit_rows_per_class, "label_idx", seed=config.seed)
+    train = checkpointed(train)
     if config.use_class_weights:
         train = splits.add_class_weights(train, splits.class_weights(train, config.max_class_weight))
-    return build_training_pipeline(features, config).fit(train)
+    return train
+
+
+def fit(prepared: DataFrame, features: list[str], config: TrainingConfig, rows: DataFrame | None = None) -> PipelineModel:
+    """Model fitted on fit_rows(), or on `rows` where the caller has them already."""
+    return build_training_pipeline(features, config).fit(fit_rows(prepared, config) if rows is None else rows)
 
 
 def predict(model: PipelineModel, df: DataFrame, config: TrainingConfig) -> DataFrame:
@@ -131,17 +149,25 @@ def forest_importances(model: PipelineModel, features: list[str]) -> DataFrame:
 
 
 def compare_classifiers(prepared: DataFrame, features: list[str], config: TrainingConfig) -> DataFrame:
-    """One row per classifier: MLlib metrics and macro / security metrics on the test part."""
-    train, _, test = splits.parts(prepared)
+    """One row per classifier: MLlib metrics and macro / security metrics on the test part.
+
+    All classifiers are fitted on the same stored rows and score the test rows in one scan, which leaves only counts.
+    """
+    train = fit_rows(prepared, config)
     stages = Pipeline(stages=preprocessing_stages(features)).fit(train)
-    columns = ["label_idx", "features"]
-    # three fits read the training rows repeatedly
-    ready = stages.transform(train).select(columns).persist()
-    held_out = stages.transform(test).select(columns).persist()
+    ready = checkpointed(stages.transform(train).select("label_idx", "features"))
+    scored = stages.transform(prepared.where(F.col("split") == "test")).select("label_idx", "features")
+    classifiers = comparison_classifiers(config)
+    for name, classifier in classifiers.items():
+        model = classifier.fit(ready)
+        for column in ("prediction", "rawPrediction", "probability"):
+            model.set(model.getParam(f"{column}Col"), f"{name}_{column}")
+        scored = model.transform(scored)
+    predicted = [f"{name}_prediction" for name in classifiers]
+    counts = checkpointed(scored.groupBy("label_idx", *predicted).agg(F.count("*").alias("n")))
     result = None
-    for name, classifier in comparison_classifiers(config).items():
-        predictions = classifier.fit(ready).transform(held_out).select("label_idx", "prediction")
-        cells = checkpointed(evaluate.contingency(predictions))
+    for name in classifiers:
+        cells = evaluate.contingency(counts, prediction_col=f"{name}_prediction", weight="n")
         overall = evaluate.overall_metrics(evaluate.class_metrics(cells)).select(
             "total_evaluated_samples", "overall_accuracy", "weighted_precision", "weighted_recall", "weighted_f1",
             F.lit(name).alias("classifier"))
@@ -151,10 +177,10 @@ def compare_classifiers(prepared: DataFrame, features: list[str], config: Traini
 
 
 def save_model(
-    model: PipelineModel, features: list[str], config: TrainingConfig, tagged: DataFrame, evaluation: DataFrame,
-    model_dir: str,
+    model: PipelineModel, features: list[str], config: TrainingConfig, coverage: DataFrame, evaluation: DataFrame,
+    model_dir: str, extra: dict[str, DataFrame] | None = None,
 ) -> None:
-    """Model plus feature order, class map, configuration, split coverage and evaluation as JSON next to it."""
+    """Model plus feature order, class map, configuration, split coverage, evaluation and `extra` tables as JSON next to it."""
     spark = evaluation.sparkSession
     model.write().overwrite().save(f"{model_dir}/model")
     settings = {k: str(v) for k, v in vars(config).items()}
@@ -164,8 +190,9 @@ def save_model(
         "top_10_feature_importances": ranked.where(F.col("rank") <= 10),
         "label_mapping": dims.classes(spark),
         "training_config": spark.createDataFrame(list(settings.items()), "parameter string, value string"),
-        "split_summary": splits.split_coverage(tagged),
+        "split_summary": coverage,
         "evaluation": evaluation,
+        **(extra or {}),
     }
     for name, table in tables.items():
         table.coalesce(1).write.mode("overwrite").json(f"{model_dir}/{name}")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowintel import dims
 from flowintel.functions.display import heat_level
 from flowintel.functions.numeric import percent
+from flowintel.operators.distribution import rows_in
 
 
 def add_port_service(df: DataFrame, port_col: str = "port") -> DataFrame:
@@ -31,24 +32,26 @@ def add_port_criticality(df: DataFrame, port_col: str = "port") -> DataFrame:
     )
 
 
-def port_counts(df: DataFrame, label_col: str = "label", port_col: str = "dst_port") -> DataFrame:
+def port_counts(
+    df: DataFrame, label_col: str = "label", port_col: str = "dst_port", weight: str | None = None,
+) -> DataFrame:
     """Flows per (class, port) with the class total.
 
     The class total is a sum over the port counts, so the data is read and shuffled once.
     """
     counts = df.groupBy(
         F.col(label_col).alias("class_name"), F.col(port_col).alias("port")
-    ).agg(F.count("*").alias("flow_count"))
+    ).agg(rows_in(weight).alias("flow_count"))
     return counts.withColumn("total_flows", F.sum("flow_count").over(Window.partitionBy("class_name")))
 
 
 def top_ports(
-    df: DataFrame, top_n: int = 5, label_col: str = "label", port_col: str = "dst_port",
+    df: DataFrame, top_n: int = 5, label_col: str = "label", port_col: str = "dst_port", weight: str | None = None,
 ) -> DataFrame:
     """The top-N ports of each class with share, service and criticality; ties by port number."""
     order = Window.partitionBy("class_name").orderBy(F.desc("flow_count"), "port")
     ranked = (
-        port_counts(df, label_col, port_col)
+        port_counts(df, label_col, port_col, weight)
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= top_n)
     )
@@ -60,7 +63,7 @@ def top_ports(
 
 
 def port_concentration(
-    df: DataFrame, top_n: int = 5, label_col: str = "label", port_col: str = "dst_port",
+    df: DataFrame, top_n: int = 5, label_col: str = "label", port_col: str = "dst_port", weight: str | None = None,
 ) -> DataFrame:
     """Per class: the top ports as an array, top-1 and top-3 share, extreme-concentration flag."""
     item = F.struct(
@@ -68,7 +71,7 @@ def port_concentration(
     )
     share = F.col("percentage_within_class")
     return (
-        top_ports(df, top_n, label_col, port_col)
+        top_ports(df, top_n, label_col, port_col, weight)
         .groupBy("class_name", "total_flows")
         .agg(
             F.array_sort(F.collect_list(item)).alias("top_ports"),
@@ -81,13 +84,13 @@ def port_concentration(
 
 
 def port_matrix(
-    df: DataFrame, top_n: int = 5, label_col: str = "label", port_col: str = "dst_port",
+    df: DataFrame, top_n: int = 5, label_col: str = "label", port_col: str = "dst_port", weight: str | None = None,
 ) -> DataFrame:
     """Class x fixed-port matrix of the top-port shares; absent cells are 0.
 
     Each class row carries its few top ports, so a cell is looked up in that array and no join is needed.
     """
-    cells = port_concentration(df, top_n, label_col, port_col).select(
+    cells = port_concentration(df, top_n, label_col, port_col, weight).select(
         "class_name", "total_flows", "top_ports",
         F.explode(F.array(*[F.lit(p) for p in dims.MATRIX_PORTS])).alias("port"),
     )

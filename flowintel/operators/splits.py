@@ -43,6 +43,8 @@ class TrainingConfig:
     taus: dict[int, float] = field(default_factory=lambda: dict(dims.TAU_BY_CLASS))
     # columns that identify a row for hashed splits and samples
     row_keys: tuple[str, ...] = ()
+    # most rows of a class that a model is fitted on; None for all
+    fit_rows_per_class: int | None = 1_000_000
 
     def __post_init__(self):
         ranges = {

@@ -61,34 +61,46 @@ def apply_score_policy(
     return df.withColumn(output_col, F.when(unsure, 0.0).otherwise(F.col(prediction_col)))
 
 
-def threshold_sweep(
-    df: DataFrame, score_col: str, steps: list[float] | None = None,
-    classes: tuple[int, int] = (11, 2), prediction_col: str = "prediction", label_col: str = "label_idx",
+def predicted_score(df: DataFrame, prediction_col: str = "prediction", probability_col: str = "probability") -> Column:
+    """Probability of the predicted class, from the vector or array; null where there is none."""
+    p = probability_array(df, probability_col)
+    value = F.get(p, F.col(prediction_col).cast("int"))
+    return F.when((F.size(p) >= dims.NUM_CLASSES) & (F.col(prediction_col) >= 0) & ~F.isnan(value), value)
+
+
+def level_counts(
+    df: DataFrame, score: Column, steps: list[float] | None = None, classes: tuple[int, int] = (11, 2),
+    prediction_col: str = "prediction", label_col: str = "label_idx", by: list[str] | None = None,
 ) -> DataFrame:
-    """Metrics of every pair of thresholds.
+    """by, _level, true_idx, pred_idx, n: all that any rule of the grid needs to know about the rows.
 
-    Rows are reduced once to (label, prediction, number of thresholds not above the
-    score): at most 14 x 14 x 10 counts.  Only these counts are expanded to the candidate
-    rules, so the cost of the data pass does not depend on the number of rules.
+    _level is the number of thresholds not above the score, or all of them where the prediction is
+    none of the two classes or the score is missing: at most 14 x 14 x 10 counts per group.
     """
     steps = steps or GRID_STEPS
-    first, second = classes
-    score, prediction = F.col(score_col), F.col(prediction_col)
-    reached = F.expr(" + ".join(f"int({score_col} >= {tau!r}D)" for tau in steps))
-    usable = score.isNotNull() & ~F.isnan(score) & prediction.isin(first, second)
-    level = F.when(usable, reached).otherwise(len(steps))
-    counts = contingency(df.withColumn("_level", level), label_col, prediction_col, ["_level"])
+    reached = sum((F.coalesce(F.col("_score") >= tau, F.lit(False)).cast("int") for tau in steps), F.lit(0))
+    usable = F.col("_score").isNotNull() & ~F.isnan("_score") & F.col(prediction_col).isin(*classes)
+    levels = df.withColumn("_score", score.cast("double")).withColumn("_level", F.when(usable, reached).otherwise(len(steps)))
+    return contingency(levels, label_col, prediction_col, [*(by or []), "_level"])
+
+
+def _is_cut(first_step: Column, second_step: Column, classes: tuple[int, int]) -> Column:
+    """Whether a count falls below the thresholds with these numbers: a score reaching k of them is below number k."""
+    return (F.when(F.col("pred_idx") == classes[0], first_step >= F.col("_level"))
+            .when(F.col("pred_idx") == classes[1], second_step >= F.col("_level")).otherwise(False))
+
+
+def sweep_counts(
+    counts: DataFrame, steps: list[float] | None = None, classes: tuple[int, int] = (11, 2),
+) -> DataFrame:
+    """Metrics of every pair of thresholds, from level_counts()."""
+    steps = steps or GRID_STEPS
     rules = ", ".join(
         f"({i * len(steps) + j}, {a!r}D, {b!r}D, {i}, {j})"
         for i, a in enumerate(steps) for j, b in enumerate(steps))
-    # a score reaching k thresholds is below threshold number k and all later ones
     expanded = counts.selectExpr(
         "*", f"inline(array({rules})) AS (candidate_id, tau_infiltration, tau_brute_force_web, i, j)")
-    cut = (
-        F.when(F.col("pred_idx") == first, F.col("i") >= F.col("_level"))
-        .when(F.col("pred_idx") == second, F.col("j") >= F.col("_level"))
-        .otherwise(False)
-    )
+    cut = _is_cut(F.col("i"), F.col("j"), classes)
     keys = ["candidate_id", "tau_infiltration", "tau_brute_force_web"]
     cells = expanded.withColumn("pred_idx", F.when(cut, 0).otherwise(F.col("pred_idx"))).groupBy(
         *keys, "true_idx", "pred_idx").agg(F.sum("n").alias("n"))
@@ -100,6 +112,18 @@ def threshold_sweep(
     )
 
 
+def threshold_sweep(
+    df: DataFrame, score_col: str, steps: list[float] | None = None,
+    classes: tuple[int, int] = (11, 2), prediction_col: str = "prediction", label_col: str = "label_idx",
+) -> DataFrame:
+    """Metrics of every pair of thresholds.
+
+    Rows are reduced once to counts; only these are expanded to the candidate rules, so the cost
+    of the data pass does not depend on the number of rules.
+    """
+    return sweep_counts(level_counts(df, F.col(score_col), steps, classes, prediction_col, label_col), steps, classes)
+
+
 def select_thresholds(sweep: DataFrame, recall_target: float = RECALL_TARGET) -> DataFrame:
     """Eligible rule with the lowest false-positive count.
 
@@ -164,3 +188,26 @@ def policy_class_comparison(cells: DataFrame) -> DataFrame:
         *[F.expr(f"max(CASE WHEN rule = '{rule}' THEN {c} END) AS {prefix}_{c}")
           for rule, prefix in (("baseline", "base"), ("policy", "policy"))
           for c in ("precision", "recall", "f1_score")])
+
+
+def threshold_study(
+    counts: DataFrame, recall_target: float = RECALL_TARGET, steps: list[float] | None = None,
+    classes: tuple[int, int] = (11, 2), search: str = "val", judge: str = "test",
+) -> dict[str, DataFrame]:
+    """Rules searched on one part and judged on another, from level_counts() by `split`; stays lazy.
+
+    sweep and selection read the counts of `search`.  comparison and classes put the selected rule beside the
+    plain predictions on `judge`; without an eligible rule both are equal.
+    """
+    steps = steps or GRID_STEPS
+    sweep = sweep_counts(counts.where(F.col("split") == search).drop("split"), steps, classes)
+    selection = select_thresholds(sweep, recall_target)
+    chosen = selection.select("candidate_id").scalar()
+    cut = F.coalesce(_is_cut(F.floor(chosen / len(steps)), chosen % len(steps), classes), F.lit(False))
+    judged = counts.where(F.col("split") == judge)
+    cells = judged.select("true_idx", "n", F.inline(F.array(
+        F.struct(F.lit("baseline").alias("rule"), F.col("pred_idx")),
+        F.struct(F.lit("policy").alias("rule"), F.when(cut, 0).otherwise(F.col("pred_idx")).alias("pred_idx")))))
+    cells = cells.groupBy("rule", "true_idx", "pred_idx").agg(F.sum("n").alias("n"))
+    return {"sweep": sweep, "selection": selection, "comparison": policy_comparison(cells, recall_target),
+            "classes": policy_class_comparison(cells)}

@@ -22,21 +22,18 @@ from flowintel.sources import files, manifest, tables
 def run_cleaning(spark: SparkSession, raw_dir: str, output: str, raw_files: list[str] | None = None) -> dict[str, DataFrame]:
     """Raw CSV to curated Parquet plus the integrity report.
 
-    Three passes over the raw text: row accounting, token counters, and the write.
+    Two passes over the raw text: one aggregate per file with all counters, and the write.
     Counters are aggregated rather than observed during the write, because observed
     metrics can count a task twice when it is retried.
     """
     raw = files.read_raw_flows(spark, raw_dir, raw_files)
-    accounting = checkpointed(clean.cleaning_metrics(raw, ["source_file"]))
-    tokens = checkpointed(clean.profile_tokens(clean.without_repeated_headers(raw)))
+    audit = checkpointed(clean.cleaning_audit(raw))
     tables.write_curated(clean.clean_flows(raw), output)
     curated = files.read_curated(spark, output)
-    counters = [c for c in accounting.columns if c != "source_file"]
     return {
-        "row_accounting": accounting.agg(*[F.sum(c).alias(c) for c in counters]),
-        "repeated_headers_by_file": accounting.where(F.col("repeated_header_rows") > 0).select(
-            F.col("source_file").alias("file"), F.col("repeated_header_rows").alias("repeated_headers_count")),
-        "token_profile": tokens,
+        "row_accounting": clean.audited_totals(audit),
+        "repeated_headers_by_file": clean.audited_headers(audit),
+        "token_profile": clean.audited_tokens(audit),
         "class_distribution": distribution.class_counts(curated),
         "storage_layout": files.storage_layout(spark, output),
     }
@@ -45,14 +42,19 @@ def run_cleaning(spark: SparkSession, raw_dir: str, output: str, raw_files: list
 def analytics_sections(
     df: DataFrame, expected_rows: int | None = None, expected_dates: int | None = None, top_n: int = 5,
 ) -> dict[str, DataFrame]:
-    """Sections of the analytics report; each reads only its own columns of `df`."""
+    """Sections of the analytics report, from three scans of `df`.
+
+    The first counts the cells of (label, date, port), which are stored; five sections are sums over them.  Traffic
+    statistics and correlations read their own columns.
+    """
+    cells, weight = checkpointed(distribution.flow_cells(df, dims.INTEGRITY_COLUMNS)), "flow_count"
     return {
-        "data_integrity": clean.verify_integrity(df, expected_rows, expected_dates),
-        "class_distribution": distribution.class_distribution(df),
-        "date_totals": distribution.date_totals(df),
-        "temporal_profiles": distribution.temporal_profile(df),
+        "data_integrity": clean.verify_integrity(df, expected_rows, expected_dates, cells=cells),
+        "class_distribution": distribution.class_distribution(cells, weight=weight),
+        "date_totals": distribution.date_totals(cells, weight=weight),
+        "temporal_profiles": distribution.temporal_profile(cells, weight=weight),
         "traffic_characteristics": traffic.traffic_statistics(df),
-        "destination_port_analysis": ports.port_concentration(df, top_n),
+        "destination_port_analysis": ports.port_concentration(cells, top_n, weight=weight),
         "feature_redundancy": redundancy.feature_correlations(df),
     }
 
@@ -77,25 +79,37 @@ def run_analytics(
 
 
 def train_and_evaluate(df: DataFrame, config: TrainingConfig, model_dir: str | None = None) -> dict[str, object]:
-    """Sample, split, fit, predict, evaluate; optionally store the model and its reports."""
+    """Sample, split, fit, predict, evaluate; optionally store the model and its reports.
+
+    Only the bounded training rows are stored for the fit.  Held-out rows are scored in one scan that leaves counts of
+    (split, label, prediction, adjusted prediction, threshold level); evaluation, confusion matrices and the threshold
+    study derive from them.
+    """
     prepared, features = models.prepare(df, config)
-    # read by the imputer, the indexer, the forest and both evaluations
-    prepared = prepared.persist()
-    model = models.fit(prepared, features, config)
-    held_out = prepared.where(F.col("split").isin("val", "test"))
-    column = "adjusted_prediction" if config.apply_threshold_policy else "prediction"
-    cells = checkpointed(evaluate.contingency(
-        models.predict(model, held_out, config), prediction_col=column, by=["split"]))
+    rows = models.fit_rows(prepared, config)
+    model = models.fit(prepared, features, config, rows)
+    scored = models.predict(model, prepared.where(F.col("split").isin("val", "test")), config)
+    counts = checkpointed(thresholds.level_counts(
+        scored, thresholds.predicted_score(scored), by=["split", "adjusted_prediction"]))
+    column = "adjusted_prediction" if config.apply_threshold_policy else "pred_idx"
+    cells = evaluate.contingency(counts, "true_idx", column, ["split"], "n")
     metrics = evaluate.class_metrics(cells, ["split"])
     overall = evaluate.summary_metrics(metrics, ["split"])
+    coverage = checkpointed(splits.split_coverage(prepared))
+    matrices = evaluate.matrix_document(cells)
     if model_dir is not None:
-        models.save_model(model, features, config, prepared, overall, model_dir)
+        extra = {"evaluation_report": matrices, "class_weights": splits.class_weights(rows, config.max_class_weight)}
+        if config.subsample_ratio is not None:
+            by_class = checkpointed(splits.sampling_by_class(models.tag_training_sample(df, config), config.protect_rare_classes,
+                                                             config.min_rare_class_samples))
+            extra |= {"sampling_by_class": by_class, "sampling_summary": splits.sampling_summary(by_class, config.subsample_ratio)}
+        models.save_model(model, features, config, coverage, overall, model_dir, extra)
         metrics.write.mode("overwrite").json(f"{model_dir}/class_metrics")
-    coverage = checkpointed(splits.split_coverage(prepared))
-    prepared.unpersist()
+    plain = counts.groupBy("split", "_level", "true_idx", "pred_idx").agg(F.sum("n").alias("n"))
     return {
         "model": model, "features": features, "cells": cells, "class_metrics": metrics, "overall": overall,
-        "coverage": coverage, "importances": importance.rank_importances(models.forest_importances(model, features), 6),
+        "coverage": coverage, "matrices": matrices, "thresholds": thresholds.threshold_study(plain),
+        "importances": importance.rank_importances(models.forest_importances(model, features), 6),
     }
 
 
@@ -144,14 +158,15 @@ def run_threat_intelligence(
     return {"profiles": built, **{name: tables.read_table(spark, root, name) for name in results.RESULT_TABLES}}
 
 
-def threshold_report(predictions: DataFrame, score_col: str, taus: dict[int, float] | None = None) -> dict[str, DataFrame]:
-    """Sweep and selection on validation rows, comparison of both rules on test rows."""
-    sweep = thresholds.threshold_sweep(predictions.where(F.col("split") == "val"), score_col)
-    adjusted = thresholds.apply_score_policy(predictions.where(F.col("split") == "test"), score_col, taus)
-    cells = thresholds.policy_cells(adjusted)
-    return {
-        "sweep": sweep, "selection": thresholds.select_thresholds(sweep),
-        "comparison": thresholds.policy_comparison(cells), "classes": thresholds.policy_class_comparison(cells)}
+def threshold_report(
+    predictions: DataFrame, score_col: str | None = None, recall_target: float = thresholds.RECALL_TARGET,
+) -> dict[str, DataFrame]:
+    """Sweep and selection on validation rows, the selected rule beside the plain predictions on test rows.
+
+    Without `score_col` the score is the probability of the predicted class.  One scan leaves the counts that all parts share.
+    """
+    score = thresholds.predicted_score(predictions) if score_col is None else F.col(score_col)
+    return thresholds.threshold_study(thresholds.level_counts(predictions, score, by=["split"]), recall_target)
 
 
 def analytical_tables(

@@ -7,10 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowintel import dims
-from flowintel.operators import evaluate, importance, lookups, models, ports, profiles, results, splits
+from flowintel.operators import (
+    clean, distribution, evaluate, importance, lookups, models, ports, profiles, results, splits)
 from flowintel.operators.splits import TrainingConfig
 from flowintel.plans import jobs
+from flowintel.session import checkpointed
 from flowintel.sources import files, manifest, tables
+from flowintel.sources.tables import write_curated
 
 
 @pytest.fixture(scope="module")
@@ -44,12 +47,39 @@ def test_cleaning_job_from_csv(spark, tmp_path):
     assert [(r.label, r["count"]) for r in report["class_distribution"].collect()] == [("Bot", 3)]
     layout = report["storage_layout"].collect()
     assert [r.event_date for r in layout] == ["2018-03-02"] and layout[0].total_bytes > 0
+    tokens = {r.column_name: r for r in report["token_profile"].collect()}
+    assert set(tokens) == set(dims.PROFILED_COLUMNS) and all(r.rows_profiled == 4 for r in tokens.values())
     with pytest.raises(FileNotFoundError):
         files.read_raw_flows(spark, str(raw), ["missing.csv"])
     with pytest.raises(FileNotFoundError):
         files.read_curated(spark, str(tmp_path / "nothing"))
 
 
+def test_cleaning_reads_the_text_twice(spark, tmp_path, monkeypatch):
+    """Once for all counters, once for the write; the counters equal those of the single audits."""
+    raw_dir = tmp_path / "raw"
+    raw_dir.mkdir()
+    values = {c: ["1", "inf", "", "NaN", "-Infinity", "x"] for c in dims.RAW_COLUMNS}
+    lines = [",".join(dims.RAW_COLUMNS)]
+    for i in range(60):
+        row = {c: v[(i + k) % 6] for k, (c, v) in enumerate(values.items())}
+        row |= {"Label": ["Bot", "Label", "", "Benign"][i % 4], "Timestamp": ["02/03/2018 08:00:00", "no"][i % 5 == 0], "Flow Duration": str(i - 5)}
+        lines.append(",".join(row[c] for c in dims.RAW_COLUMNS))
+    (raw_dir / "a.csv").write_text("\n".join(lines[:40]) + "\n")
+    (raw_dir / "b.csv").write_text("\n".join(lines[:1] + lines[40:]) + "\n")
+    written = []
+    monkeypatch.setattr(tables, "write_curated", lambda df, path, **k: written.append(plan_of(df)) or write_curated(df, path, **k))
+    stored = []
+    monkeypatch.setattr(jobs, "checkpointed", lambda df: stored.append(plan_of(df)) or checkpointed(df))
+    report = jobs.run_cleaning(spark, str(raw_dir), str(tmp_path / "out"), ["a.csv", "b.csv"])
+    assert [p.count("FileScan csv") for p in [*written, *stored]] == [1, 1]
+    raw = files.read_raw_flows(spark, str(raw_dir), ["a.csv", "b.csv"])
+    for got, want in ((report["row_accounting"], clean.cleaning_metrics(raw)),
+                      (report["token_profile"], clean.profile_tokens(clean.without_repeated_headers(raw)).select(report["token_profile"].columns)),
+                      (report["repeated_headers_by_file"], clean.audit_repeated_headers(raw))):
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_curated_round_trip(spark, flows, curated):
     back = files.read_curated(spark, curated)
     assert back.count() == flows.count()
@@ -87,6 +117,30 @@ def test_analytics_report(spark, curated, tmp_path):
         jobs.report_tables({"date_totals": report["date_totals"]})
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def scans_of(monkeypatch, module, build):
+    """Result of a function and the file scans in the plans it stores and returns."""
+    stored = []
+    monkeypatch.setattr(module, "checkpointed", lambda df: stored.append(plan_of(df)) or checkpointed(df))
+    result = build()
+    return result, sum(plan.count("FileScan") for plan in [*stored, *map(plan_of, result.values())])
+
+
+def test_analytics_reads_the_flows_three_times(spark, curated, monkeypatch):
+    flows = files.read_curated(spark, curated)
+    sections, scans = scans_of(monkeypatch, jobs, lambda: jobs.analytics_sections(flows, expected_dates=8))
+    assert scans == 3
+    plain = {
+        "data_integrity": clean.verify_integrity(flows, None, 8), "class_distribution": distribution.class_distribution(flows),
+        "date_totals": distribution.date_totals(flows), "temporal_profiles": distribution.temporal_profile(flows),
+        "destination_port_analysis": ports.port_concentration(flows, 5)}
+    for name, want in plain.items():
+        assert sorted(map(str, sections[name].collect())) == sorted(map(str, want.collect())), name
+
+
 def test_report_sections(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"a": {"x": 1}, "b": None}))
     report = files.read_json_report(spark, [str(tmp_path / "no.json"), str(tmp_path / "r.json")], "a struct<x:int>, b struct<y:int>")
@@ -173,6 +227,26 @@ def test_training_outputs(spark, trained):
     assert sum(r.importance for r in ranked) == pytest.approx(1.0, abs=1e-4)
     assert spark.read.json(f"{model_dir}/split_summary").count() == 14
     assert spark.read.json(f"{model_dir}/top_10_feature_importances").count() == 10
+    weights = spark.read.json(f"{model_dir}/class_weights")
+    assert weights.count() > 1 and weights.where("weight <= 0").isEmpty()
+    stored = spark.read.json(f"{model_dir}/evaluation_report")
+    cells = results.confusion_rows_from_matrix(stored, "test_metrics")
+    assert cells.agg(F.sum("raw_count")).first()[0] == overall["test"].total_evaluated_samples
+
+
+def test_thresholds_after_training(trained):
+    """From a fitted model to the comparison: the rule is searched on validation rows and judged on test rows."""
+    result, *_ = trained
+    overall, study = {r.split: r.total_evaluated_samples for r in result["overall"].collect()}, result["thresholds"]
+    sweep = study["sweep"].collect()
+    assert len(sweep) == 81 and all(r.benign_total + r.attack_total == overall["val"] for r in sweep)
+    selection = study["selection"].first()
+    assert selection.total_candidates == 81
+    assert study["classes"].agg(F.sum("support")).first()[0] == overall["test"]
+    comparison = study["comparison"].first()
+    if not selection.eligible_candidates_count:
+        assert comparison.false_alarms_removed == 0
+    assert comparison.policy_false_positives_alarms <= comparison.baseline_false_positives_alarms
 
 
 def test_saved_model_and_tree_table(spark, flows, trained):
