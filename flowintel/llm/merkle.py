@@ -146,7 +146,7 @@ def manifest(leaves: DataFrame, order: list[str]) -> DataFrame:
 
     proof is an array of (left, right) from the leaf up: the joined digests of the siblings on either side.
     """
-    kept = ranked(leaves, [*order, "digest"])
+    kept = ranked(checkpointed(leaves), [*order, "digest"])  # the range sort would hash the texts once more for its sample
     levels = forward(kept.select("grp", "place", "n", F.struct("digest", "payload").alias("kid")))
     subroots = checkpointed(tops(levels))
     upper = ranked(subroots.select(F.lit(0).alias("grp"), F.col("grp").alias("name"), F.col("subroot").alias("digest"), "top_level"), ["name"])
