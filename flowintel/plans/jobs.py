@@ -129,9 +129,9 @@ def reliability_table(metrics: DataFrame) -> DataFrame:
 def run_threat_intelligence(
     spark: SparkSession, curated: str, root: str, run_id: str | None = None, model_path: str | None = None,
     validation_metrics: DataFrame | None = None, taus: dict[int, float] | None = None,
-    window_type: str = "full_campaign", if_exists: str = "replace",
+    window_type: str = "full_campaign", if_exists: str = "replace", report_path: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Curated flows to stored threat profiles.
+    """Curated flows to stored threat profiles, and to a report document where `report_path` is given.
 
     Without `model_path` flows are grouped by their label.  With it they are grouped by
     the predicted label, optionally after the threshold policy.  The run's duration is the
@@ -153,11 +153,24 @@ def run_threat_intelligence(
     run = results.run_row(
         built, source, run_id, F.current_timestamp(), curated, model_path is not None, model_path or "",
         round(time.monotonic() - began, 2), window_type=window_type)
+    run = checkpointed(run)  # one timestamp for the tables and the document
+    if report_path is not None:
+        tables.write_report(report_path, run, built)
     stored = results.result_tables(built, run)
     tables.load_report(spark, root, built, stored, run_id, if_exists)
     return {"profiles": built, **{name: tables.read_table(spark, root, name) for name in results.RESULT_TABLES}}
 
 
+def load_stored_report(spark: SparkSession, report_path: str, root: str, if_exists: str = "replace") -> str:
+    """Result tables from a stored report document; returns stored, replaced or skipped."""
+    run, built = tables.read_report(spark, report_path)
+    run, built = checkpointed(run), checkpointed(built)
+    found = run.select("run_id").take(2)
+    if len(found) != 1 or not found[0]["run_id"]:
+        raise tables.ReportPersistenceError("report needs one header with a run_id")
+    return tables.load_report(spark, root, built, results.result_tables(built, run), found[0]["run_id"], if_exists)
+
+
 def threshold_report(
     predictions: DataFrame, score_col: str | None = None, recall_target: float = thresholds.RECALL_TARGET,
 ) -> dict[str, DataFrame]:

@@ -2,20 +2,25 @@
 
 A load writes its children below a fresh `load_id` and then replaces the one row of the
 run in `pipeline_runs`.  Readers follow the load named there, so a run switches from the
-old to the new content in one step and a failed load stays invisible.
+old to the new content in one step and a failed load stays invisible.  While a load is being written, an
+empty file named after it in `_loading` keeps retention away from its folders.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowintel.operators import report
 from flowintel.operators.results import CHILD_TABLES, RUN_KEY, invalid_profiles
 from flowintel.sources.files import path_exists
 
 LOAD_KEY = "load_id"
+LOADING = "_loading"
 IF_EXISTS = ("replace", "skip", "error")
 
 
@@ -72,6 +77,30 @@ def run_is_stored(spark: SparkSession, root: str, run_id: str) -> bool:
     return not read_runs(spark, root).where(F.col(RUN_KEY) == run_id).isEmpty()
 
 
+def _path(spark: SparkSession, path: str) -> tuple:
+    """File system and path as Spark's own store classes see them."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def loads_in_progress(spark: SparkSession, root: str, abandoned_hours: float) -> list[str]:
+    """Ids of the marked loads; marks older than `abandoned_hours` are left by loads that died."""
+    store, folder = _path(spark, f"{root}/{LOADING}")
+    if not store.exists(folder):
+        return []
+    oldest = (time.time() - abandoned_hours * 3600) * 1000
+    return [f.getPath().getName() for f in store.listStatus(folder) if f.getModificationTime() >= oldest]
+
+
+def remove_folder(spark: SparkSession, table: str, run_key: str, load_id: str) -> None:
+    """Remove one load of a table, given the run's key as its folder shows it in a URI, and the run's folder once it is empty."""
+    store, run = _path(spark, f"{table}/{RUN_KEY}_part=key-{unquote(run_key)}")
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store.delete(jvm_path(run, f"{LOAD_KEY}_part=key-{load_id}"), True)
+    if store.exists(run) and not store.listStatus(run):
+        store.delete(run, False)
+
+
 def load_report(
     spark: SparkSession, root: str, profiles: DataFrame, tables: dict[str, DataFrame], run_id: str,
     if_exists: str = "replace",
@@ -92,9 +121,14 @@ def load_report(
     if not foreign.isEmpty():
         raise ReportPersistenceError(f"profiles of another run in the report of '{run_id}'")
     load_id = uuid.uuid4().hex
-    for name in CHILD_TABLES:
-        _write(tables[name].withColumn(LOAD_KEY, F.lit(load_id)), f"{root}/{name}", [RUN_KEY, LOAD_KEY])
-    _write(tables["pipeline_runs"].withColumn(LOAD_KEY, F.lit(load_id)), f"{root}/pipeline_runs", [RUN_KEY])
+    store, mark = _path(spark, f"{root}/{LOADING}/{load_id}")
+    store.create(mark).close()
+    try:
+        for name in CHILD_TABLES:
+            _write(tables[name].withColumn(LOAD_KEY, F.lit(load_id)), f"{root}/{name}", [RUN_KEY, LOAD_KEY])
+        _write(tables["pipeline_runs"].withColumn(LOAD_KEY, F.lit(load_id)), f"{root}/pipeline_runs", [RUN_KEY])
+    finally:
+        store.delete(mark, False)
     return "replaced" if exists else "stored"
 
 
@@ -119,3 +153,24 @@ def write_json_sections(sections: dict[str, DataFrame], path: str) -> None:
     """Report as one JSON-lines folder per section."""
     for name, section in sections.items():
         section.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def write_report(path: str, run: DataFrame, profiles: DataFrame) -> None:
+    """The report document as a folder: one header line, the profiles as lines beside it."""
+    report.header_lines(run).write.mode("overwrite").text(f"{path}/header")
+    report.profile_lines(profiles).write.mode("overwrite").text(f"{path}/profiles")
+
+
+def write_single_report(path: str, run: DataFrame, profiles: DataFrame) -> None:
+    """The report as one JSON document in one file of the folder."""
+    report.single_document(run, profiles).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """pipeline_runs row and profiles of a stored report: a folder by write_report(), or one document (file or folder)."""
+    if not path_exists(spark, path):
+        raise FileNotFoundError(f"report not found at {path}")
+    if path_exists(spark, f"{path}/header"):
+        return report.parsed_headers(spark.read.text(f"{path}/header")), report.parsed_profiles(spark.read.text(f"{path}/profiles"))
+    document = spark.read.option("wholetext", True).text(path)
+    return report.parsed_headers(document), report.document_profiles(document)
