@@ -263,7 +263,9 @@ def mined(
         """Every anchor block beside every row block of every group; anchors are the streamed side."""
         sent = side.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")).alias("group"),
                            F.pmod("block", F.lit(shares)).cast("int").alias("share"))
-        return sent.hint("merge").join(dealt.hint("merge"), ["group", "share"]).drop("group", "share")
+        # a number of its own keeps these few heavy cells apart, which are small in bytes
+        parts = [df.repartition(2 * groups * shares, "group", "share").hint("merge") for df in (sent, dealt)]
+        return parts[0].join(parts[1], ["group", "share"]).drop("group", "share")
 
     first = _merged(met(packed), width, primes, False, positives, window)
     per_anchor = Window.partitionBy("block", "anchor").orderBy(F.desc("score"), "id")
