@@ -125,7 +125,7 @@ def rejected_flows(spark, sf):
 
 
 @query("integrity", with_ctes(
-    "SELECT count(*) AS verified_rows, 30 AS verified_columns, CAST(count(DISTINCT event_date) AS INTEGER) AS partitions_count,"
+    f"SELECT count(*) AS verified_rows, {len(FLOW_COLUMNS) + 3} AS verified_columns, CAST(count(DISTINCT event_date) AS INTEGER) AS partitions_count,"
     " string_agg(DISTINCT event_date::VARCHAR, ',' ORDER BY event_date::VARCHAR) AS partition_dates, "
     + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL OR isnan({c})) AS {c}_null_or_nan" for c in dims.INTEGRITY_COLUMNS)
     + ", count(*)=(SELECT count(*) FROM clean) AND count(DISTINCT event_date)=8 AND "

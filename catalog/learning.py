@@ -1,17 +1,16 @@
 """Model training, classifier comparison, inference and importance queries."""
 
-import uuid
-
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.ctes import FLOW_COLUMNS, with_ctes
-from catalog.views import ROW_KEYS, flows, predictions, table
+from catalog.views import ROW_KEYS, discarded, flows, predictions, scratch, table
 from flowintel import dims
-from flowintel.operators import evaluate, importance, models, sampling, splits, thresholds
+from flowintel.operators import evaluate, importance, models, results, sampling, splits, thresholds
 from flowintel.operators.splits import TrainingConfig
 from flowintel.plans import jobs
+from flowintel.sources import files
 
 FOREST = TrainingConfig(
     split_strategy="chronological_per_class", num_trees=10, max_depth=6, row_keys=tuple(ROW_KEYS))
@@ -91,15 +90,23 @@ _KNOWN = "label IN (SELECT class_name FROM classes)"
 
 
 @query("model_evaluation_facts", _facts(
-    "SELECT split, count(*) AS total_evaluated_samples, true AS rates_in_range, true AS recall_is_accuracy"
+    "SELECT split, count(*) AS total_evaluated_samples, true AS rates_in_range, true AS recall_is_accuracy, true AS matrix_is_whole"
     f" FROM tagged WHERE split<>'train' AND {_KNOWN} GROUP BY 1"))
 def model_evaluation_facts(spark, sf):
-    """What SQL can say about the evaluation of a trained forest: rows judged per part, bounds and identities of its rates."""
-    overall = jobs.train_and_evaluate(flows(spark, sf), FOREST)["overall"]
+    """What SQL can say about a training job, from what it stored: rows judged per part, bounds and identities of its rates,
+    and that the stored confusion matrices hold all rows."""
+    path = scratch(spark, "model")
+    jobs.train_and_evaluate(flows(spark, sf), FOREST, path)
+    stored = spark.read.json(f"{path}/evaluation")
     rates = ["overall_accuracy", "macro_f1", "weighted_precision", "weighted_recall", "weighted_f1"]
     inside = F.forall(F.array(*rates), lambda x: (x >= 0) & (x <= 1))
-    return overall.select("split", "total_evaluated_samples", inside.alias("rates_in_range"),
-                          (F.col("weighted_recall") == F.col("overall_accuracy")).alias("recall_is_accuracy"))
+    document = spark.read.json(f"{path}/evaluation_report")
+    cells = [results.confusion_rows_from_matrix(document, f"{part}_metrics") for part in ("validation", "test")]
+    counted = cells[0].unionByName(cells[1]).groupBy("split").agg(F.sum("raw_count").alias("_cells"))
+    return discarded(spark, path, stored.join(counted, "split").select(
+        "split", "total_evaluated_samples", inside.alias("rates_in_range"),
+        (F.abs(F.col("weighted_recall") - F.col("overall_accuracy")) < 0.001).alias("recall_is_accuracy"),
+        (F.col("_cells") == F.col("total_evaluated_samples")).alias("matrix_is_whole")))
 
 
 @query("classifier_comparison_facts", _facts(
@@ -116,30 +123,31 @@ def classifier_comparison_facts(spark, sf):
 @query("inferred_aggregates_facts", with_ctes(
     f"SELECT label, count(*) AS flow_count, true AS inferred_known FROM clean WHERE {_KNOWN} GROUP BY 1", "clean", "classes"))
 def inferred_aggregates_facts(spark, sf):
-    """Every flow of a known label gets one inferred label, which is one of the classes."""
-    found = inferred_aggregates(spark, sf).where(F.col("label").isin(dims.CLASS_LABELS))
-    return found.groupBy("label").agg(
-        F.sum("flow_count").alias("flow_count"), F.bool_and(F.col("inferred_label").isin(dims.CLASS_LABELS)).alias("inferred_known"))
+    """Every flow of a known label gets one inferred label, one of the classes, from a stored model."""
+    df, path = flows(spark, sf), scratch(spark, "model")
+    prepared, features = models.prepare(df, FOREST)
+    models.fit(prepared, features, FOREST).write().save(path)
+    inferred = models.infer_labels(files.read_model(spark, path), df.where(F.col("label").isin(dims.CLASS_LABELS)), dims.TAU_BY_CLASS)
+    found = inferred.groupBy("label", "inferred_label").agg(F.count("*").alias("flow_count"))
+    return discarded(spark, path, found.groupBy("label").agg(
+        F.sum("flow_count").alias("flow_count"), F.bool_and(F.col("inferred_label").isin(dims.CLASS_LABELS)).alias("inferred_known")))
 
 
 @query("model_importance_facts", "SELECT v.feature_name, true AS ranked_once, true AS own_value, true AS in_range FROM (VALUES " + ", ".join(
     f"('{f}')" for f in models.assembler_inputs(models.feature_columns(FLOW_COLUMNS))) + ") v(feature_name) WHERE (SELECT count(*) FROM lineitem) > 0")
 def model_importance_facts(spark, sf):
     """Names, ranks and range of a stored forest's importances, and that its node table gives the model's own values."""
-    from flowintel.session import ensure_checkpoint_dir
-    from flowintel.sources import files
-
     prepared, features = models.prepare(flows(spark, sf), FOREST)
     model = models.fit(prepared, features, FOREST)
-    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
-    model.write().overwrite().save(path)
+    path = scratch(spark, "model")
+    model.write().save(path)
     own = importance.rank_importances(models.forest_importances(model, features), 6)
     computed = importance.tree_importance(files.read_tree_nodes(spark, path), files.read_feature_order(spark, path))
     same = importance.compare_importances(computed, models.forest_importances(model, features), 1e-6).select("feature_name", "matches")
     ranks = own.agg((F.count_distinct("rank") == F.count("*")) & (F.max("rank") == F.count("*"))).scalar()
-    return own.join(same, "feature_name", "left").select(
+    return discarded(spark, path, own.join(same, "feature_name", "left").select(
         "feature_name", ranks.alias("ranked_once"), F.coalesce("matches", F.col("importance") == 0).alias("own_value"),
-        F.col("importance").between(0, 1).alias("in_range"))
+        F.col("importance").between(0, 1).alias("in_range")))
 
 
 @query("vector_policy",
@@ -216,15 +224,12 @@ def importance_comparison(spark, sf):
 @query("saved_model_importance")
 def saved_model_importance(spark, sf):
     """Importances recomputed from the node table of a saved forest, next to the model's own."""
-    from flowintel.session import ensure_checkpoint_dir
-    from flowintel.sources import files
-
     prepared, features = models.prepare(flows(spark, sf), FOREST)
     model = models.fit(prepared, features, FOREST)
-    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
-    model.write().overwrite().save(path)
+    path = scratch(spark, "model")
+    model.write().save(path)
     computed = importance.tree_importance(files.read_tree_nodes(spark, path), files.read_feature_order(spark, path))
-    return importance.compare_importances(computed, models.forest_importances(model, features), 1e-6)
+    return discarded(spark, path, importance.compare_importances(computed, models.forest_importances(model, features), 1e-6))
 
 
 @query("prepared_parts", with_ctes(

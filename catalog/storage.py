@@ -1,16 +1,19 @@
 """Manifest, result-table, verification and provenance queries."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog import query
+from catalog import ORACLES, query
 from catalog.ctes import MANIFEST, RUN_ID, values, with_ctes
-from catalog.views import TABLES, campaign_profiles, flows, predictions, table
+from catalog.views import TABLES, campaign_profiles, discarded, flows, predictions, raw_flows, scratch, table
 from flowintel import dims
 from flowintel.functions import timeparse
-from flowintel.operators import distribution, evaluate, lookups, ports, redundancy, results
+from flowintel.operators import evaluate, lookups, ports, report, results
 from flowintel.plans import jobs
 from flowintel.session import checkpointed
-from flowintel.sources import manifest
+from flowintel.sources import files, manifest, tables
 
 
 def _documents(spark, sf):
@@ -247,14 +250,15 @@ def cell_verification(spark, sf):
 
 
 @query("verification_summary", with_ctes(
-    "SELECT 'stored_rows' AS measure, count(*) AS n FROM top_ports UNION ALL SELECT 'source_rows', count(*) FROM top_ports"
-    " UNION ALL SELECT 'mismatches', 0", "top_ports"))
+    "SELECT 'stored_rows' AS measure, count(*) AS n FROM top_ports WHERE rank<>4 UNION ALL SELECT 'source_rows', count(*) FROM top_ports"
+    " UNION ALL SELECT 'mismatches', count(*) FROM top_ports WHERE rank=4 OR port%2=1", "top_ports"))
 def verification_summary(spark, sf):
+    """Stored ports with the fourth of each class lost and counts of odd ports altered, against their source."""
     source = checkpointed(ports.top_ports(flows(spark, sf)))
+    altered = F.col("flow_count") + F.col("port") % 2
+    stored = source.where(F.col("rank") != 4).withColumn("flow_count", altered)
     return results.verification_summary(
-        source, source, ["class_name", "port"], ["flow_count", "total_flows", "percentage_within_class"])
-
-
+        stored, source, ["class_name", "port"], ["flow_count", "total_flows", "percentage_within_class"])
 
 
 _ORDERS = "SELECT * REPLACE (o_totalprice::DECIMAL(18,2) AS o_totalprice) FROM orders"
@@ -297,18 +301,93 @@ def normalized_paths(spark, sf):
 
 
 @query("report_tables", with_ctes(
-    "SELECT 'dates' AS section, count(DISTINCT event_date) AS n FROM clean UNION ALL SELECT 'temporal', count(*) FROM label_dates"
-    f" UNION ALL SELECT 'ports', count(*) FROM top_ports UNION ALL SELECT 'pairs', {len(dims.FEATURE_PAIRS)}", "clean", "label_dates", "top_ports"))
+    "SELECT 'dates' AS section, event_date::VARCHAR AS name, '' AS part, count(*)::DOUBLE AS value FROM clean GROUP BY ALL UNION ALL"
+    " SELECT 'temporal', class_name, event_date::VARCHAR, flow_count FROM label_dates UNION ALL"
+    " SELECT 'ports', class_name, port::VARCHAR, percentage_within_class FROM top_ports UNION ALL "
+    + " UNION ALL ".join(f"SELECT 'pairs', '{a}', '{b}', coalesce(round(corr({a},{b}),6),0) FROM clean" for a, b, _ in dims.FEATURE_PAIRS),
+    "clean", "label_dates", "top_ports"))
 def report_tables(spark, sf):
-    df = flows(spark, sf)
-    flat = jobs.report_tables({
-        "date_totals": distribution.date_totals(df), "temporal_profiles": distribution.temporal_profile(df),
-        "destination_port_analysis": ports.port_concentration(df), "feature_redundancy": redundancy.feature_correlations(df)})
-    counts = [t.agg(F.lit(n).alias("section"), F.count("*").alias("n")) for n, t in flat.items()]
-    result = counts[0]
-    for c in counts[1:]:
-        result = result.unionByName(c)
-    return result
+    """All rows of the flat report tables, read from the sections of the analytics job."""
+    flat = jobs.report_tables(jobs.analytics_sections(flows(spark, sf)))
+    shown = {"dates": ("event_date", "''", "total_flows"), "temporal": ("class_name", "event_date", "flow_count"),
+             "ports": ("class_name", "port", "percentage_within_class"), "pairs": ("feature_1", "feature_2", "pearson_correlation")}
+    parts = [flat[section].selectExpr(
+        f"'{section}' AS section", f"string({name}) AS name", f"string({part}) AS part", f"double({value}) AS value")
+        for section, (name, part, value) in shown.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("cleaning_job", ORACLES["clean_metrics"])
+def cleaning_job(spark, sf):
+    """Row accounting of the whole cleaning job, from CSV files of the flows to stored Parquet."""
+    path = scratch(spark, "cleaning")
+    raw_flows(spark, sf).drop("source_file").write.option("header", True).csv(f"{path}/raw")
+    return discarded(spark, path, jobs.run_cleaning(spark, f"{path}/raw", f"{path}/flows")["row_accounting"])
+
+
+@query("curated_by_date", with_ctes(
+    "SELECT event_date::VARCHAR AS event_date, count(*) AS rows_stored, true AS has_files FROM clean GROUP BY 1", "clean"))
+def curated_by_date(spark, sf):
+    """Rows per date of the stored flows, beside the listing of their partitions."""
+    path = scratch(spark, "curated")
+    tables.write_curated(flows(spark, sf), path, rebalance=True)
+    counted = files.read_curated(spark, path).groupBy(F.col("event_date").cast("string").alias("event_date")).agg(F.count("*").alias("rows_stored"))
+    return discarded(spark, path, counted.join(files.storage_layout(spark, path), "event_date").select(
+        "event_date", "rows_stored", ((F.col("files_count") > 0) & (F.col("total_bytes") > 0)).alias("has_files")))
+
+
+@query("analytics_job", ORACLES["class_distribution"])
+def analytics_job(spark, sf):
+    """Class distribution out of the stored report of the analytics job."""
+    path = scratch(spark, "analytics")
+    tables.write_curated(flows(spark, sf), f"{path}/flows", rebalance=True)
+    return discarded(spark, path, jobs.run_analytics(spark, f"{path}/flows", f"{path}/report")["class_distribution"])
+
+
+@query("threat_job", with_ctes(
+    "SELECT profile_id, canonical_label, is_attack, flow_count, total_bytes, total_packets, active_observation_units FROM daily_profiles",
+    "daily_profiles"))
+def threat_job(spark, sf):
+    """Daily profiles as the threat job stored them, through its report document into a second store."""
+    path = scratch(spark, "threats")
+    tables.write_curated(flows(spark, sf), f"{path}/flows", rebalance=True)
+    jobs.run_threat_intelligence(spark, f"{path}/flows", f"{path}/store", RUN_ID, window_type="daily", report_path=f"{path}/report")
+    jobs.load_stored_report(spark, f"{path}/report", f"{path}/second")
+    return discarded(spark, path, tables.read_table(spark, f"{path}/second", "threat_profiles", RUN_ID).select(
+        "profile_id", "canonical_label", "is_attack", "flow_count", "total_bytes", "total_packets", "active_observation_units"))
+
+
+@query("report_run", ORACLES["run_summary"])
+def report_run(spark, sf):
+    """The run's row after a way through the JSON header of its report."""
+    source = spark.range(1).select(
+        F.lit(MANIFEST).alias("source_manifest_hash"), F.lit(1).alias("files_count"), F.lit(1).cast("bigint").alias("total_bytes"))
+    run = results.run_row(campaign_profiles(spark, sf), source, RUN_ID, F.current_timestamp(), sf)
+    return report.parsed_headers(report.header_lines(run)).select(
+        "run_id", "source_manifest_hash", "total_profiles", "attack_categories_count", "benign_categories_count",
+        "unknown_categories_count", "provenance_type", F.date_format("window_end", "yyyy-MM-dd HH:mm:ss").alias("window_end"))
+
+
+@query("report_profiles", ORACLES["result_profiles"])
+def report_profiles(spark, sf):
+    """Hourly profiles after a way through the JSON lines of their report."""
+    read = report.parsed_profiles(report.profile_lines(campaign_profiles(spark, sf, "hourly")))
+    return results.profile_rows(read).select(
+        "snapshot_id", "profile_id", "canonical_label", "is_attack", "flow_count", "total_bytes", "total_packets",
+        "active_observation_units", F.col("recurrence_ratio").cast("double").alias("recurrence_ratio"))
+
+
+@query("report_mappings", ORACLES["result_mappings"])
+def report_mappings(spark, sf):
+    """Technique mappings of daily profiles out of one JSON document."""
+    profiles = campaign_profiles(spark, sf, "daily")
+    source = spark.range(1).select(
+        F.lit(MANIFEST).alias("source_manifest_hash"), F.lit(1).alias("files_count"), F.lit(1).cast("bigint").alias("total_bytes"))
+    run = results.run_row(profiles, source, RUN_ID, F.current_timestamp(), sf)
+    read = report.document_profiles(report.single_document(run, profiles))
+    return results.mapping_rows(read).select(
+        "snapshot_id", "canonical_label", "technique_id", "mapping_status", "is_confirmed",
+        F.size("missing_telemetry").alias("telemetry_gaps"))
 
 
 @query("dimension_coverage",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from catalog.ctes import MANIFEST, RUN_ID
 from flowintel import dims
 from flowintel.functions.labels import add_label_index
 from flowintel.operators import clean, profiles, splits
+from flowintel.session import checkpointed, ensure_checkpoint_dir
+from flowintel.sources import tables
 from flowintel.sources.flowview import lineitem_flows
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -16,6 +20,18 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 ROW_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for what a job stores; discarded() removes it."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discarded(spark: SparkSession, path: str, result: DataFrame) -> DataFrame:
+    """The stored result of a query, after what it was read from is removed."""
+    result = checkpointed(result)
+    tables.remove_path(spark, path)
+    return result
+
+
 def raw_flows(spark: SparkSession, sf: str, keep: list[str] | None = None) -> DataFrame:
     return lineitem_flows(spark, sf, keep)
 

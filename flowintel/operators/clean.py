@@ -83,8 +83,7 @@ def typed_flows(raw: DataFrame) -> DataFrame:
     typed = without_repeated_headers(raw).selectExpr(
         *[f"{_clean_value(snake, c, set(names))} AS `{snake}`" for c, snake in names.items()],
         f"try_to_timestamp(`Timestamp`, '{FLOW_PATTERN}') AS timestamp_parsed",
-        f"to_date(try_to_timestamp(`Timestamp`, '{FLOW_PATTERN}')) AS event_date",
-    )
+    ).withColumn("event_date", F.to_date("timestamp_parsed"))
     return standardize_label(typed).select(*names.values(), "raw_label", "timestamp_parsed", "event_date")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowintel import dims
 from flowintel.functions.reliability import resolve_tier
 
 MAX_PAGE = 100
@@ -99,7 +100,8 @@ def with_reliability_tier(profiles: DataFrame, diagnostics: DataFrame | None) ->
     if diagnostics is None:
         joined = profiles.withColumn("_tier", F.lit(None).cast("string"))
     else:
-        tiers = diagnostics.select(
+        # only the fixed classes can match, so at most that many rows are broadcast
+        tiers = diagnostics.where(F.col("class_name").isin(dims.CLASS_LABELS)).select(
             F.col("class_name").alias("canonical_label"), F.col("official_reliability_tier").alias("_tier"))
         joined = profiles.join(F.broadcast(tiers), "canonical_label", "left")
     tier = resolve_tier(

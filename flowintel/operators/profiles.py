@@ -122,7 +122,8 @@ def threat_profiles(
         complaint = F.raise_error(F.concat(F.lit("more than one reliability row for "), "class_name"))
         columns = reliability.columns
         reliability = reliability.withColumn("_fault", F.when(repeated, complaint)).where("_fault is null").select(columns)
-        assessed = reliability.select(
+        # only the fixed classes can match, so at most that many rows are broadcast
+        assessed = reliability.where(F.col("class_name").isin(dims.CLASS_LABELS)).select(
             F.col("class_name").alias("canonical_label"), F.struct(*reliability.columns).alias("model_reliability"))
         scored = scored.join(F.broadcast(assessed), "canonical_label", "left")
     denominator = scoring.recurrence_denominator(F.col("window_type"))

@@ -34,6 +34,8 @@ def run_cleaning(spark: SparkSession, raw_dir: str, output: str, raw_files: list
         "row_accounting": clean.audited_totals(audit),
         "repeated_headers_by_file": clean.audited_headers(audit),
         "token_profile": clean.audited_tokens(audit),
+        "missing_files": spark.createDataFrame(
+            [(name,) for name in files.selected_files(spark, raw_dir, raw_files or [])[1]], "file string"),
         "class_distribution": distribution.class_counts(curated),
         "storage_layout": files.storage_layout(spark, output),
     }

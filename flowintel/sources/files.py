@@ -23,16 +23,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def selected_files(spark: SparkSession, raw_dir: str, files: list[str]) -> tuple[list[str], list[str]]:
+    """Those of the named members of a folder that exist, and those that do not."""
+    found = {name: path_exists(spark, f"{raw_dir.rstrip('/')}/{name}") for name in files}
+    return [n for n in files if found[n]], [n for n in files if not found[n]]
+
+
 def read_raw_flows(spark: SparkSession, raw_dir: str, files: list[str] | None = None) -> DataFrame:
     """Raw CSV files with a `source_file` lineage column.
 
-    `files` names members of `raw_dir`; missing ones are skipped, none at all is an error.
+    `files` names members of `raw_dir`; missing ones are skipped (selected_files() names them), none at all is an error.
     Without `files` the whole folder is read.
     """
     if files is None:
         paths = [raw_dir] if path_exists(spark, raw_dir) else []
     else:
-        paths = [p for p in (f"{raw_dir.rstrip('/')}/{name}" for name in files) if path_exists(spark, p)]
+        paths = [f"{raw_dir.rstrip('/')}/{name}" for name in selected_files(spark, raw_dir, files)[0]]
     if not paths:
         raise FileNotFoundError(f"no selected raw files in {raw_dir}")
     return (

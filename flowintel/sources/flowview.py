@@ -1,4 +1,4 @@
-"""Raw-flow shaped view over the TPC-H-like `lineitem` table.
+"""Raw-flow shaped view over the TPC-H-like `lineitem` table, with all columns of a capture.
 
 Gives every operator flow records to run on where no flow capture is at hand: all labels,
 repeated header rows, an unknown label and every kind of bad token.  Each output column
@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowintel import dims
+
 KEY_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
 
 DERIVED = {
@@ -22,8 +24,8 @@ DAY = (
     "CASE d WHEN 0 THEN '14/02/2018' WHEN 1 THEN '15/02/2018' WHEN 2 THEN '16/02/2018' WHEN 3 THEN '21/02/2018' "
     "WHEN 4 THEN '22/02/2018' WHEN 5 THEN '28/02/2018' WHEN 6 THEN '01/03/2018' ELSE '02/03/2018' END"
 )
-# snake-case column -> expression over the derived keys
-EXPRESSIONS = {
+# snake-case column -> expression over the derived keys, where the meaning of the column matters
+_SPECIAL = {
     "dst_port": (
         "CASE WHEN m<700 THEN CASE l_suppkey%6 WHEN 0 THEN '53' WHEN 1 THEN '443' WHEN 2 THEN '80' "
         "WHEN 3 THEN '445' WHEN 4 THEN '3389' ELSE '0' END WHEN m>=840 AND m<880 THEN '8080' "
@@ -70,19 +72,33 @@ EXPRESSIONS = {
         "WHEN m<995 THEN 'Brute Force -XSS' WHEN m<996 THEN 'SQL Injection' "
         "WHEN m<998 THEN 'ZeroDay (unknown)' ELSE 'Label' END"
     ),
-    "source_file": "concat('flows-',replace(day_s,'/','-'),'.csv')",
+    "flow_iat_mean": "CASE WHEN q=19 THEN 'NaN' WHEN q=20 THEN '-Infinity' ELSE cast(sec*3+m AS {s}) END",
+    "init_fwd_win_byts": "CASE WHEN q=21 THEN '-1' WHEN q=22 THEN null ELSE cast((l_partkey*7)%65536 AS {s}) END",
+    "init_bwd_win_byts": "CASE WHEN q=23 THEN 'inf' ELSE cast((l_suppkey*11+m)%65536 AS {s}) END",
+    "rst_flag_cnt": "CASE WHEN q=18 THEN '' ELSE cast(m%2 AS {s}) END",
 }
 
 
+def _plain(place: int) -> str:
+    """A count or size that differs from column to column: mixed multiples of the keys below a limit of its own."""
+    return f"cast((l_partkey*{place % 7 + 1}+l_suppkey*{place % 5 + 2}+l_linenumber*{place}+m)%{100 + 37 * place} AS {{s}})"
+
+
+# all columns in file order, then the file
+EXPRESSIONS = {
+    snake: "cast(l_linenumber*0 AS {s})" if snake in dims.CONSTANT_COLUMNS else _SPECIAL.get(snake, _plain(place))
+    for place, snake in enumerate(dims.RAW_BY_SNAKE)
+}
+EXPRESSIONS["source_file"] = "concat('flows-',replace(day_s,'/','-'),'.csv')"
+
+
 def lineitem_flows(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
     """Raw flows (CSV column names, all text) plus `source_file`; `keep` adds lineitem columns."""
-    from flowintel.dims import RAW_BY_SNAKE
-
     keys = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
         *KEY_COLUMNS, *[f"{expr} AS {name}" for name, expr in DERIVED.items()]
     )
     days = keys.selectExpr("*", f"{DAY} AS day_s")
     columns = [
-        f"{expr.format(s='string')} AS `{RAW_BY_SNAKE.get(name, name)}`" for name, expr in EXPRESSIONS.items()
+        f"{expr.format(s='string')} AS `{dims.RAW_BY_SNAKE.get(name, name)}`" for name, expr in EXPRESSIONS.items()
     ]
     return days.selectExpr(*columns, *(keep or []))

@@ -83,6 +83,12 @@ def _path(spark: SparkSession, path: str) -> tuple:
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder through Spark's own file systems."""
+    store, found = _path(spark, path)
+    store.delete(found, True)
+
+
 def loads_in_progress(spark: SparkSession, root: str, abandoned_hours: float) -> list[str]:
     """Ids of the marked loads; marks older than `abandoned_hours` are left by loads that died."""
     store, folder = _path(spark, f"{root}/{LOADING}")

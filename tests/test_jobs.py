@@ -45,6 +45,7 @@ def test_cleaning_job_from_csv(spark, tmp_path):
     assert (acc.input_rows, acc.repeated_header_rows, acc.retained_rows, acc.invalid_timestamp_dropped) == (5, 1, 3, 1)
     assert [(r.file, r.repeated_headers_count) for r in report["repeated_headers_by_file"].collect()] == [("a.csv", 1)]
     assert [(r.label, r["count"]) for r in report["class_distribution"].collect()] == [("Bot", 3)]
+    assert [r.file for r in report["missing_files"].collect()] == ["missing.csv"]
     layout = report["storage_layout"].collect()
     assert [r.event_date for r in layout] == ["2018-03-02"] and layout[0].total_bytes > 0
     tokens = {r.column_name: r for r in report["token_profile"].collect()}
