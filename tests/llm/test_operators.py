@@ -240,12 +240,30 @@ def test_quality_drops_short_junk(spark):
         assert n.get((1, words, False), 0) <= 0.005 * n[1, words, True]
 
 
-def test_js_distance(spark):
-    frame = spark.createDataFrame([([1, 3], [3, 1]), ([1, 0], [0, 1]), ([2, 2], [1, 1]), ([0, 0], [1, 1])], "a array<bigint>, b array<bigint>")
-    got = [r[0] for r in frame.select(quality.js_distance(F.col("a"), F.col("b"))).collect()]
+def test_js_distance():
+    a, b = np.array([[1, 3], [1, 0], [2, 2], [0, 0]]), np.array([[3, 1], [0, 1], [1, 1], [1, 1]])
     p, m = (0.25, 0.75), 0.5
-    want = math.sqrt(sum(x * math.log2(x / m) for x in p))
-    assert [round(x, 9) for x in got] == [round(want, 9), 1.0, 0.0, 0.0]
+    want = sum(x * math.log2(x / m) for x in p)
+    assert [round(x, 9) for x in quality.js_squared(a, b)] == [round(want, 9), 1.0, 0.0, 0.0]
+
+
+def test_quality_does_not_depend_on_the_size_of_the_table(spark):
+    """Nearly all verdicts are the same in the table and in a fortieth of it, with a language or without."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    few = docs.where("doc_id % 40 = 0")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("doc_id % 40 = 0")
+    whole = {r.doc_id: r.kept for r in quality.judge(docs, ["doc_id"]).where("doc_id % 40 = 0").collect()}
+    part = {r.doc_id: r.kept for r in quality.judge(few, ["doc_id"]).collect()}
+    bare = {r.doc_id: r.kept for r in quality.judge(docs.withColumn("lang", F.when(F.col("doc_id") % 40 != 0, F.col("lang"))), ["doc_id"]).where(
+        "doc_id % 40 = 0").collect()}
+    alone = {r.doc_id: r.kept for r in quality.judge(few.withColumn("lang", F.concat("lang", F.col("doc_id").cast("string"))), ["doc_id"]).collect()}
+    assert whole.keys() == part.keys() == bare.keys() == alone.keys()
+    for other in (part, bare):
+        assert sum(whole[i] != other[i] for i in whole) <= 0.02 * len(whole)
+    rejected = {i for i, kept in whole.items() if not kept}
+    junk = {r.doc_id for r in labels.where("quality = 0").collect()} & rejected
+    assert junk and all(sum(not v[i] for i in junk) >= 0.8 * len(junk) for v in (part, bare))
+    assert any(not v for v in alone.values())
 
 
 def secrets_by_force(text):
