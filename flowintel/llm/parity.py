@@ -48,6 +48,7 @@ from flowintel.session import checkpointed, join_per_key
 SHINGLE = 5
 PERCENT = 80
 SKETCH_WORDS = 16
+SKETCH = [f"w{i}" for i in range(SKETCH_WORDS)]
 SETS_AT_ONCE = 2000
 # Pairs to compare in one go, as a multiple of the members of all keys; beyond it further leaders are tried first.
 PAIRS_PER_MEMBER = 4
@@ -254,6 +255,7 @@ def class_roots(docs: DataFrame, classes: DataFrame, text_col: str, percent: int
         star.withColumnsRenamed({"a": "leader", "b": "set_id"}), ["leader", "set_id"]).select("key", "set_id", "distance", "exact")
         .join(sets.select("set_id", F.size("tokens").alias("size")), "set_id"))
     before = None
+    columns = ["set_id", "distance", "exact", "size", "root", *SKETCH]
     for turn in count(1):
         named = checkpointed(judged.join(roots, F.col("set_id") == F.col("node"), "left").select(
             *judged.columns, F.coalesce("root", "set_id").alias("root")))
@@ -264,30 +266,34 @@ def class_roots(docs: DataFrame, classes: DataFrame, text_col: str, percent: int
         left = split.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("_squares")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
         if not left["pairs"]:
             return roots
-        named = named.join(split.select("key"), "key")
+        named = named.join(split.select("key"), "key").join(
+            sets.select("set_id", *[F.col("sketch")[i].alias(w) for i, w in enumerate(SKETCH)]), "set_id")
+        sides = [named.select("key", *[F.col(c).alias(f"_{c}_{side}") for c in columns]) for side in "ab"]
         if left["pairs"] <= PAIRS_PER_MEMBER * left["n"] or before and 2 * left["pairs"] > before:
             break
         before = left["pairs"]
         draw = F.xxhash64(F.lit(turn), "key", "set_id")
         chosen = named.groupBy("key", F.pmod(draw, F.lit(LEADERS)).alias("_slot")).agg(
-            F.min_by(F.struct("set_id", "root"), draw).alias("_leader"))
-        more = named.join(chosen, "key").where("root <> _leader.root").select(
-            F.least("set_id", "_leader.set_id").alias("a"), F.greatest("set_id", "_leader.set_id").alias("b"))
+            F.min_by(F.struct(*columns), draw).alias("_leader"))
+        leaders = chosen.select("key", *[F.col(f"_leader.{c}").alias(f"_{c}_b") for c in columns])
+        more = possible_pairs(sides[0], leaders, percent)
         tried, links, roots = _linked(more, tried, links, roots, sets, percent)
-    words = [f"w{i}" for i in range(SKETCH_WORDS)]
-    named = named.join(sets.select("set_id", *[F.col("sketch")[i].alias(w) for i, w in enumerate(words)]), "set_id")
-    columns = ["set_id", "distance", "exact", "size", "root", *words]
-    sides = [named.select("key", *[F.col(c).alias(f"_{c}_{side}") for c in columns]) for side in "ab"]
+    return _linked(possible_pairs(*sides, percent, once=True), tried, links, roots, sets, percent)[2]
+
+
+def possible_pairs(one: DataFrame, other: DataFrame, percent: int, once: bool = False) -> DataFrame:
+    """(a, b) of members of one key in different components that sizes, distances to the leader and sketches do not rule out.
+
+    All is tested while joining, so that only such pairs become rows.  With `once` both sides hold the same members.
+    """
     limit = (100 - percent) / 100 + 1e-9
-    both = sides[0].join(sides[1], "key").where("_set_id_a < _set_id_b and _root_a <> _root_b").where(
+    both = one.join(other, "key").where("_set_id_a < _set_id_b" if once else "_set_id_a <> _set_id_b").where("_root_a <> _root_b").where(
         F.least("_size_a", "_size_b") * 100 >= F.greatest("_size_a", "_size_b") * percent)
     for x, y in ("ab", "ba"):  # a rejected pair's distance may be too small, never too large
         both = both.where(f"not (_exact_{x} and _distance_{y} - _distance_{x} > {limit})")
-    # tested while joining, so that only pairs the sketches cannot rule out become rows
-    flips = " + ".join(f"bit_count(_{w}_a ^ _{w}_b)" for w in words)
+    flips = " + ".join(f"bit_count(_{w}_a ^ _{w}_b)" for w in SKETCH)
     both = both.where(f"({flips}) * {100 + percent} <= (_size_a + _size_b) * {100 - percent}")
-    more = both.select(F.col("_set_id_a").alias("a"), F.col("_set_id_b").alias("b"))
-    return _linked(more, tried, links, roots, sets, percent)[2]
+    return both.select(F.least("_set_id_a", "_set_id_b").alias("a"), F.greatest("_set_id_a", "_set_id_b").alias("b"))
 
 
 def _linked(

@@ -103,6 +103,36 @@ def test_parity_join_near_limit(spark, monkeypatch, pairs_per_member):
     assert got == {i: first[r] for (i, *_), r in zip(rows, root)}
 
 
+def test_parity_join_around_a_common_passage(spark, monkeypatch):
+    """300 texts that share a passage: exact, and leaders meet only members that sizes and sketches leave possible."""
+    monkeypatch.setattr(parity, "PAIRS_PER_MEMBER", 0)
+    rng = np.random.default_rng(11)
+    passage = [f"p{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        own = [f"o{i // 3 if i < 90 else i}w{j}" for j in range(int(rng.integers(0, 60)))]
+        text = passage + own
+        for _ in range(int(rng.integers(0, 3))):
+            text[int(rng.integers(0, len(text)))] = f"x{rng.integers(0, 50)}"
+        rows.append((i, " ".join(text), "en", "s", 0))
+    sets, root = components_by_force(rows)
+    first = {}
+    for (i, *_), r in zip(rows, root):
+        first[r] = min(first.get(r, i), i)
+    possible, found = parity.possible_pairs, []
+
+    def counted(*sides, **how):
+        pairs = possible(*sides, **how)
+        found.append(pairs.distinct().count())
+        return pairs
+
+    monkeypatch.setattr(parity, "possible_pairs", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+    got = {r.doc_id: r.component_id for r in parity.near_duplicates(docs).collect()}
+    assert got == {i: first[r] for (i, *_), r in zip(rows, root)} and len(set(got.values())) > 3
+    assert all(n <= 300 * parity.LEADERS for n in found)
+
+
 def spans_by_force(text):
     text, out = text or "", []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
