@@ -14,7 +14,9 @@ NAMES = [
     "traffic_stats", "port_matrix", "feature_correlations", "flow_aggregates_hourly", "advisories", "threat_profiles",
     "reliability_gate", "split_global", "split_per_class", "timestamp_ranks", "sampling_summary", "class_weights",
     "confusion_matrix", "model_diagnostics", "threshold_sweep", "policy_comparison", "tree_importance", "manifest_digest",
-    "provenance_link", "table_hash",
+    "provenance_link", "table_hash", "table_manifest", "table_files", "audited_metrics", "audited_tokens", "integrity_from_cells",
+    "evaluator_metrics_by_split", "one_vs_benign_auc", "event_value_auc", "threshold_study", "fit_rows_per_class", "report_profiles",
+    "report_mappings", "report_tables", "cleaning_job", "threat_job",
 ]
 
 
