@@ -167,10 +167,11 @@ def policy_class_comparison(spark, sf):
     return thresholds.policy_class_comparison(thresholds.policy_cells(adjusted))
 
 
-def _sweep_sql() -> str:
+def _sweep_sql(rows: str = "") -> tuple[str, str, str]:
+    """Body, ruled cells and keys of the sweep over the predictions that meet the condition `rows`."""
     rules = values((i * len(SWEEP) + j, float(a), float(b)) for i, a in enumerate(SWEEP) for j, b in enumerate(SWEEP))
     grouped = "SELECT label_idx::INTEGER AS t, prediction::INTEGER AS p, score AS s, count(*) AS c FROM predictions" \
-              " WHERE split='val' AND label_idx BETWEEN 0 AND 13 AND prediction BETWEEN 0 AND 13 GROUP BY 1,2,3"
+              f" WHERE {rows}label_idx BETWEEN 0 AND 13 AND prediction BETWEEN 0 AND 13 GROUP BY 1,2,3"
     ruled = (f"SELECT g.candidate_id, g.tau_infiltration, g.tau_brute_force_web, t AS true_idx, CASE WHEN (p=11 AND s<tau_infiltration) OR"
              f" (p=2 AND s<tau_brute_force_web) THEN 0 ELSE p END AS pred_idx, CAST(sum(c) AS BIGINT) AS n FROM ({grouped}) x"
              f" CROSS JOIN (VALUES {rules}) g(candidate_id, tau_infiltration, tau_brute_force_web) GROUP BY ALL")
@@ -180,20 +181,17 @@ def _sweep_sql() -> str:
             f" benign_total, attack_total FROM sweep_binary JOIN sweep_overall USING ({keys})"), ruled, keys
 
 
-_SWEEP_BODY, _RULED, _KEYS = _sweep_sql()
-
-
-def _sweep_ctes(body: str) -> str:
-    head = with_ctes("", "predictions", "classes").rstrip()
-    return (head + f",\nsweep_cells AS ({_RULED}),\nsweep_classes AS ({class_metrics('sweep_cells', _KEYS)}),\n"
-            f"sweep_overall AS ({overall_metrics('sweep_classes', _KEYS)}),\nsweep_binary AS ({binary_metrics('sweep_cells', _KEYS)}),\n"
-            f"sweep AS ({_SWEEP_BODY})\n{body}")
+def _sweep_ctes(body: str, rows: str = "") -> str:
+    head, (sweep, ruled, keys) = with_ctes("", "predictions", "classes").rstrip(), _sweep_sql(rows)
+    return (head + f",\nsweep_cells AS ({ruled}),\nsweep_classes AS ({class_metrics('sweep_cells', keys)}),\n"
+            f"sweep_overall AS ({overall_metrics('sweep_classes', keys)}),\nsweep_binary AS ({binary_metrics('sweep_cells', keys)}),\n"
+            f"sweep AS ({sweep})\n{body}")
 
 
 @query("threshold_sweep", _sweep_ctes("SELECT * FROM sweep"))
 def threshold_sweep(spark, sf):
-    """All rules on the validation rows."""
-    return thresholds.threshold_sweep(predictions(spark, sf).where("split = 'val'"), "score")
+    """All rules on the rows of all parts."""
+    return thresholds.threshold_sweep(predictions(spark, sf), "score")
 
 
 @query("threshold_selection", _sweep_ctes(
@@ -201,7 +199,8 @@ def threshold_sweep(spark, sf):
     " AS eligible_candidates_count, s.* FROM sweep s WHERE true_positives_detected::DOUBLE/attack_total>=0.9"
     " ORDER BY false_positives_alarms, true_positives_detected DESC, candidate_id LIMIT 1"))
 def threshold_selection(spark, sf):
-    return jobs.threshold_report(predictions(spark, sf), "score", 0.9)["selection"]
+    """The rule selected on the rows of all parts; threshold_study searches on validation rows only."""
+    return thresholds.select_thresholds(thresholds.threshold_sweep(predictions(spark, sf), "score"), 0.9)
 
 
 _CHOSEN = """chosen AS (SELECT tau_infiltration AS a, tau_brute_force_web AS b FROM sweep
@@ -213,7 +212,7 @@ study_cells AS (SELECT 'baseline' AS rule, true_idx, p AS pred_idx, count(*) AS
  FROM judged LEFT JOIN chosen ON true GROUP BY ALL)"""
 
 
-@query("threshold_study", _sweep_ctes("").rstrip() + f", {_CHOSEN},\nstudy_classes AS ({class_metrics('study_cells', 'rule')}) "
+@query("threshold_study", _sweep_ctes("", "split='val' AND ").rstrip() + f", {_CHOSEN},\nstudy_classes AS ({class_metrics('study_cells', 'rule')}) "
        "SELECT class_index, class_name, max(true_support) AS support, " + ", ".join(
            f"max({c}) FILTER (WHERE rule='{r}') AS {p}_{c}" for r, p in (("baseline", "base"), ("policy", "policy"))
            for c in ("precision", "recall", "f1_score")) + " FROM study_classes GROUP BY 1,2")
