@@ -9,6 +9,7 @@ from flowintel import dims
 from flowintel.functions.labels import standardize_label
 from flowintel.functions.numeric import TOKEN_CHECKS, finite_or_zero
 from flowintel.functions.timeparse import FLOW_PATTERN, parse_flow_timestamp
+from flowintel.session import limit_methods
 
 RAW_LABEL = "Label"
 
@@ -79,6 +80,7 @@ def _clean_value(name: str, raw: str, raw_names: set[str]) -> str:
 
 def typed_flows(raw: DataFrame) -> DataFrame:
     """Header rows removed, columns renamed, cast and sanitized, labels standardized; no row filter yet."""
+    limit_methods(raw.sparkSession)
     names = {c: dims.COLUMN_MAPPING.get(c, c) for c in raw.columns}
     typed = without_repeated_headers(raw).selectExpr(
         *[f"{_clean_value(snake, c, set(names))} AS `{snake}`" for c, snake in names.items()],

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only after its row count was proven to stay below this bound.
 BROADCAST_ROW_LIMIT = 100_000
+# The JVM does not compile methods with more bytes, which then run interpreted.
+COMPILED_METHOD_BYTES = "8000"
+_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 
 
 def build_session(app: str = "flowintel", master: str | None = None, **conf: str) -> SparkSession:
@@ -18,8 +21,7 @@ def build_session(app: str = "flowintel", master: str | None = None, **conf: str
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # larger generated methods are not compiled by the JVM and run interpreted
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config(_METHOD_LIMIT, COMPILED_METHOD_BYTES)
     )
     if master:
         builder = builder.master(master)
@@ -28,6 +30,15 @@ def build_session(app: str = "flowintel", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def limit_methods(spark: SparkSession) -> None:
+    """Also in sessions of other make, let wide projections fall into methods that the JVM compiles.
+
+    The plan runs after the caller has it, so the setting stays in the session; a limit that the session has set stays as it is.
+    """
+    if spark.conf.get(_METHOD_LIMIT, None) is None:
+        spark.conf.set(_METHOD_LIMIT, COMPILED_METHOD_BYTES)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, taking the cluster's setting when there is one.
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import catalog
-from catalog.views import predictions
+from catalog.views import flows, predictions
 
 catalog.load()
 
@@ -30,3 +30,17 @@ def test_sweep_and_selection_judge_rows_of_all_parts(spark, lines):
     assert {(r.benign_total, r.attack_total) for r in sweep} == {(known.benign, known.attack)}
     best = catalog.QUERIES["threshold_selection"](spark, lines).first()
     assert best.total_candidates == 81 and (best.benign_total is None or best.benign_total == known.benign)
+
+
+def test_wide_flows_fall_into_compiled_methods_unless_the_session_says_otherwise(spark, lines):
+    key = "spark.sql.codegen.hugeMethodLimit"
+    held = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        flows(spark, lines)
+        assert spark.conf.get(key) == "8000"
+        spark.conf.set(key, "65535")
+        flows(spark, lines)
+        assert spark.conf.get(key) == "65535"
+    finally:
+        spark.conf.set(key, held)
