@@ -236,7 +236,8 @@ def sanitized_features(spark, sf):
     "SELECT (SELECT count(*) FROM (SELECT label FROM by_day WHERE split='train' INTERSECT SELECT label FROM by_day WHERE split='test')) AS shared_labels,"
     " (SELECT count(*) FROM (SELECT label FROM by_day WHERE split='train' EXCEPT SELECT label FROM by_day WHERE split='val')) AS train_only_labels", "by_day"))
 def split_set_differences(spark, sf):
-    train, val, test = (p.select("label") for p in splits.parts(predictions(spark, sf)))
+    # set operations join whole rows before they drop copies, so copies go first: a frequent label is one row of a join, not one task
+    train, val, test = (p.select("label").distinct() for p in splits.parts(predictions(spark, sf)))
     return spark.range(1).select(
         train.intersect(test).agg(F.count("*")).scalar().alias("shared_labels"),
         train.subtract(val).agg(F.count("*")).scalar().alias("train_only_labels"))

@@ -44,3 +44,13 @@ def test_wide_flows_fall_into_compiled_methods_unless_the_session_says_otherwise
         assert spark.conf.get(key) == "65535"
     finally:
         spark.conf.set(key, held)
+
+
+def test_split_differences_join_labels_without_copies(spark, lines):
+    found = catalog.QUERIES["split_set_differences"](spark, lines)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [part for part in plan.split("\n") if "LeftSemi" in part or "LeftAnti" in part]
+    assert len(joins) == 2 and plan.count("Aggregate [label") >= 4  # both sides of both joins
+    parts = predictions(spark, lines).groupBy("split").agg(F.collect_set("label").alias("labels")).collect()
+    labels = {r.split: set(r.labels) for r in parts}
+    assert tuple(found.first()) == (len(labels["train"] & labels["test"]), len(labels["train"] - labels["val"]))
