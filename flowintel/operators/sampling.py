@@ -5,9 +5,11 @@ limit, the greatest one that leaves at most `k` of them.  Rows with equal keys h
 equal hashes and stay or go together.  Which rows stay depends on their content alone: not on
 partitions, order or retries.
 
-The limit is found by narrowing: hashes are counted by their leading 16 bits; only the class's
-cell that holds row number k is looked at again.  Two scans of the key columns find all limits,
-however large a class is, and counts pass through windows of at most 65,536 rows.
+Rows per class are counted first: classes within the bound are not hashed.  Of the others one scan
+of the key columns stores the counts of hashes up to slightly more than k / n of their range, which
+hold the limit unless many rows are copies; otherwise all hashes are looked at.  The limit is found
+by narrowing: hashes are counted by their leading 16 bits; only the class's cell that holds row
+number k is looked at again, and counts pass through windows of at most 65,536 rows.
 """
 
 from __future__ import annotations
@@ -29,8 +31,12 @@ def _crossing(cells: DataFrame, k: int) -> DataFrame:
 
 
 def hash_limits(hashed: DataFrame, k: int) -> DataFrame:
-    """_class, _limit for the classes of (_class, _hash) with more than k rows: exactly the hashes below it fit."""
-    held, limits = hashed.select("_class", "_hash", F.lit(1).alias("_m"), F.lit(0).alias("_base")), None
+    """_class, _limit for the classes of (_class, _hash) with more than k rows: exactly the hashes below it fit.
+
+    A row counts once, or `_m` times where there is such a column.
+    """
+    times = F.col("_m") if "_m" in hashed.columns else F.lit(1)
+    held, limits = hashed.select("_class", "_hash", times.alias("_m"), F.lit(0).alias("_base")), None
     for shift in SHIFTS:
         cells = held.groupBy("_class", "_base", F.shiftright("_hash", shift).alias("_cell")).agg(F.sum("_m").alias("_n"))
         limits = checkpointed(_crossing(cells, k))
@@ -43,6 +49,17 @@ def hash_limits(hashed: DataFrame, k: int) -> DataFrame:
     return limits.select("_class", F.col("_cell").alias("_limit"))
 
 
+def lowest_hashes(hashed: DataFrame, large: DataFrame, k: int) -> DataFrame:
+    """Stored counts _class, _hash, _m of the hashes of large classes (_class, _rows) that likely hold row k + 1 of their class.
+
+    Hashes are spread evenly, so about k of them lie below k / n of their range; the margin is eight deviations.
+    """
+    share = (k + 8 * k ** 0.5 + 64) / F.col("_rows")
+    below = F.col("_hash").cast("double") < share * 2.0 ** 64 - 2.0 ** 63
+    near = join_per_key(hashed, large, "_class", "inner").where(below)
+    return checkpointed(near.groupBy("_class", "_hash").agg(F.count("*").alias("_m")))
+
+
 def bottom_k(df: DataFrame, k: int, by: str, keys: list[str] | None = None, seed: int = 42) -> DataFrame:
     """At most `k` rows of every `by` value, null included; classes with no more keep all.
 
@@ -53,6 +70,12 @@ def bottom_k(df: DataFrame, k: int, by: str, keys: list[str] | None = None, seed
         raise ValueError("k must not be negative")
     # a struct groups and joins null classes like others
     rows = df.withColumns({"_class": F.struct(by), "_hash": F.xxhash64(F.lit(seed), *(keys or df.columns))})
-    limits = hash_limits(rows.select("_class", "_hash"), k)
+    large = checkpointed(rows.groupBy("_class").agg(F.count("*").alias("_rows")).where(F.col("_rows") > k))
+    if large.isEmpty():
+        return df
+    hashed = rows.select("_class", "_hash")
+    lowest = lowest_hashes(hashed, large, k)
+    enough = lowest.groupBy("_class").agg(F.sum("_m").alias("_held")).where(F.col("_held") > k)
+    limits = hash_limits(lowest if enough.count() == large.count() else hashed, k)
     kept = join_per_key(rows, limits, "_class").where(F.col("_limit").isNull() | (F.col("_hash") < F.col("_limit")))
     return kept.select(*df.columns)
