@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from flowintel.llm.components import components
 from flowintel.llm.shared import contains, pack_hashes, PACKED, ranges_for, repeated, shared_folder
 from flowintel.llm.text import Words, grams, mix, slices
-from flowintel.session import checkpointed, join_per_key
+from flowintel.session import checkpointed, compacted, join_per_key, tasks_for
 
 SHINGLE = 5
 PERCENT = 80
@@ -54,6 +54,8 @@ SETS_AT_ONCE = 2000
 PAIRS_PER_MEMBER = 4
 # Leaders that such a key elects in one turn.
 LEADERS = 8
+# What the tokens and sketch of a set count for among the rows of a task.
+WIDE_ROW = 10
 
 
 def shingle_sets(column: pa.Array, n: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
@@ -191,35 +193,38 @@ def similar(both: Column, a: Column, b: Column, percent: int) -> Column:
 
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked, distance, exact) of pairs of classes; a distance that is not exact is a lower bound."""
+    # sets are wide rows, and each join reads all of them, however few the pairs are
+    tasks = tasks_for(max(pairs.count(), WIDE_ROW * sets.count()))
     sketches = sets.select("set_id", "sketch", F.size("tokens").alias("_n"))
     left = sketches.toDF("a", "_sa", "_na")
     right = sketches.toDF("b", "_sb", "_nb")
     flips = F.zip_with("_sa", "_sb", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     hamming = F.aggregate(flips, F.lit(0), lambda s, x: s + x)
-    sized = pairs.join(left, "a").join(right, "b").select("a", "b", "_na", "_nb", hamming.alias("_h"))
+    sized = pairs.join(left, "a").coalesce(tasks).join(right, "b").select("a", "b", "_na", "_nb", hamming.alias("_h"))
     total = F.col("_na") + F.col("_nb")
     # the symmetric difference of a pair at the limit, times (100 + percent)
     far = (F.col("_h") * (100 + percent) > total * (100 - percent)) | (
         F.least("_na", "_nb") * 100 < F.greatest("_na", "_nb") * percent)
-    tested = checkpointed(sized.withColumn("_far", far))
+    tested = checkpointed(sized.withColumn("_far", far)).coalesce(tasks)
     bound = F.greatest(2 * F.col("_h") / (total + F.col("_h")), 1 - F.least("_na", "_nb") / F.greatest("_na", "_nb"))
     rejected = tested.where("_far").select("a", "b", F.lit(False).alias("linked"), bound.alias("distance"), F.lit(False).alias("exact"))
     tokens = sets.select("set_id", "tokens")
-    near = tested.where("not _far").join(tokens.toDF("a", "_ta"), "a").join(tokens.toDF("b", "_tb"), "b")
+    near = tested.where("not _far").join(tokens.toDF("a", "_ta"), "a").coalesce(tasks).join(tokens.toDF("b", "_tb"), "b")
     near = near.select("a", "b", "_na", "_nb", F.size(F.array_intersect("_ta", "_tb")).alias("_both"))
     exact = near.select("a", "b", similar(F.col("_both"), F.col("_na"), F.col("_nb"), percent).alias("linked"),
                         (1 - F.col("_both") / (F.col("_na") + F.col("_nb") - F.col("_both"))).alias("distance"), F.lit(True).alias("exact"))
-    return checkpointed(rejected.unionByName(exact))
+    return checkpointed(rejected.unionByName(exact)).coalesce(tasks)
 
 
 def _details(docs: DataFrame, text_col: str, classes: DataFrame, ids: DataFrame) -> DataFrame:
     """Tokens and sketch of the given classes, from the text of one document each."""
+    tasks = tasks_for(classes.count())
     wanted = classes.join(ids.select(F.col("id").alias("set_id")), "set_id", "left_semi").select(
-        F.col("first_key").alias("_key")).distinct()
+        F.col("first_key").alias("_key")).coalesce(tasks).distinct().coalesce(tasks)
     # texts whose hash is wanted; a text with the same hash by chance only adds a class nobody asks for
     texts = join_per_key(docs.select(_text(docs, text_col)), wanted, F.xxhash64("_text") == F.col("_key"), "inner")
     found = texts.select("_text").mapInArrow(_set_details, "set_id bigint, tokens array<bigint>, sketch array<bigint>")
-    return checkpointed(found.dropDuplicates(["set_id"]))
+    return compacted(found.dropDuplicates(["set_id"]))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -227,13 +232,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = checkpointed(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_key"),
                                     _text(docs, text_col)).mapInArrow(
         describe_sets, f"doc_id {docs.schema[id_col].dataType.simpleString()}, _key bigint, set_id bigint, n_shingles bigint"))
-    classes = checkpointed(rows.where("set_id is not null").groupBy("set_id").agg(
+    classes = compacted(rows.where("set_id is not null").groupBy("set_id").agg(
         F.min("doc_id").alias("first_id"), F.min("_key").alias("first_key")))
     roots = class_roots(docs, classes, text_col, percent)
     known = classes.join(roots, F.col("set_id") == F.col("node"), "left").select(
         "set_id", F.coalesce("root", "set_id").alias("component_key"), "first_id")
+    known = compacted(known)
     first = known.groupBy("component_key").agg(F.min("first_id").alias("component_id"))
-    labels = checkpointed(known.join(first, "component_key").select(
+    labels = compacted(known.join(first, "component_key").select(
         F.col("set_id").alias("_set"), "component_key", "component_id"))
     labelled = rows.join(labels, F.col("set_id") == F.col("_set"), "left")
     return labelled.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
@@ -242,32 +248,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def class_roots(docs: DataFrame, classes: DataFrame, text_col: str, percent: int) -> DataFrame:
     """(node, root) of every class that has a link to another one."""
-    keys = checkpointed(shared_keys(docs, text_col, percent))
+    keys = compacted(shared_keys(docs, text_col, percent))
     leaders = keys.groupBy("key").agg(F.min("set_id").alias("leader"), F.count("*").alias("_n")).where("_n > 1")
-    stars = checkpointed(keys.join(leaders.select("key", "leader"), "key").where("set_id <> leader"))
-    tried = checkpointed(stars.select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct())
+    stars = compacted(keys.join(leaders.select("key", "leader"), "key").where("set_id <> leader"))
+    tried = compacted(stars.select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct())
+    tasks = tasks_for(stars.count())
     ids = tried.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = _details(docs, text_col, classes, ids)
     star = compare(tried, sets, percent)
     links = star.where("linked").select("a", "b")
     roots = components(links)
-    judged = checkpointed(stars.join(
+    judged = compacted(stars.join(
         star.withColumnsRenamed({"a": "leader", "b": "set_id"}), ["leader", "set_id"]).select("key", "set_id", "distance", "exact")
-        .join(sets.select("set_id", F.size("tokens").alias("size")), "set_id"))
+        .coalesce(tasks).join(sets.select("set_id", F.size("tokens").alias("size")), "set_id"))
     before = None
     columns = ["set_id", "distance", "exact", "size", "root", *SKETCH]
     for turn in count(1):
-        named = checkpointed(judged.join(roots, F.col("set_id") == F.col("node"), "left").select(
+        named = compacted(judged.join(roots, F.col("set_id") == F.col("node"), "left").select(
             *judged.columns, F.coalesce("root", "set_id").alias("root")))
         # only keys whose members lie in several components need more comparisons
-        split = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
+        split = named.groupBy("key", "root").agg(F.count("*").alias("n")).coalesce(tasks).groupBy("key").agg(
             F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("_squares")).where("n * n > _squares")
-        split = checkpointed(split)
+        split = compacted(split)
         left = split.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("_squares")) / 2).alias("pairs"), F.sum("n").alias("n")).first()
         if not left["pairs"]:
             return roots
-        named = named.join(split.select("key"), "key").join(
-            sets.select("set_id", *[F.col("sketch")[i].alias(w) for i, w in enumerate(SKETCH)]), "set_id")
+        named = named.join(split.select("key"), "key").coalesce(tasks).join(
+            sets.select("set_id", *[F.col("sketch")[i].alias(w) for i, w in enumerate(SKETCH)]), "set_id").coalesce(tasks)
         sides = [named.select("key", *[F.col(c).alias(f"_{c}_{side}") for c in columns]) for side in "ab"]
         if left["pairs"] <= PAIRS_PER_MEMBER * left["n"] or before and 2 * left["pairs"] > before:
             break
@@ -275,7 +282,7 @@ def class_roots(docs: DataFrame, classes: DataFrame, text_col: str, percent: int
         draw = F.xxhash64(F.lit(turn), "key", "set_id")
         chosen = named.groupBy("key", F.pmod(draw, F.lit(LEADERS)).alias("_slot")).agg(
             F.min_by(F.struct(*columns), draw).alias("_leader"))
-        leaders = chosen.select("key", *[F.col(f"_leader.{c}").alias(f"_{c}_b") for c in columns])
+        leaders = chosen.select("key", *[F.col(f"_leader.{c}").alias(f"_{c}_b") for c in columns]).coalesce(tasks)
         more = possible_pairs(sides[0], leaders, percent)
         tried, links, roots = _linked(more, tried, links, roots, sets, percent)
     return _linked(possible_pairs(*sides, percent, once=True), tried, links, roots, sets, percent)[2]
@@ -300,7 +307,7 @@ def _linked(
     more: DataFrame, tried: DataFrame, links: DataFrame, roots: DataFrame, sets: DataFrame, percent: int,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tried, links, roots) after the pairs `more` that were not tried before are compared."""
-    more = checkpointed(more.distinct().join(
+    more = compacted(more.distinct().join(
         tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if more.isEmpty():
         return tried, links, roots

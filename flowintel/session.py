@@ -10,6 +10,8 @@ BROADCAST_ROW_LIMIT = 100_000
 # The JVM does not compile methods with more bytes, which then run interpreted.
 COMPILED_METHOD_BYTES = "8000"
 _METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+# Rows of a reduced result that one task reads at least.
+ROWS_PER_TASK = 20_000
 
 
 def build_session(app: str = "flowintel", master: str | None = None, **conf: str) -> SparkSession:
@@ -62,6 +64,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tasks_for(rows: int) -> int:
+    """Number of tasks that reduced rows are worth; a coalesce to more partitions than there are changes nothing."""
+    return rows // ROWS_PER_TASK + 1
+
+
+def compacted(df: DataFrame) -> DataFrame:
+    """`checkpointed`, and read in no more tasks than its rows are worth.
+
+    Each task that writes a shuffle leaves three files of a block or more, so a small result in hundreds of
+    partitions, exchanged again and again, fills disks with nearly empty files.
+    """
+    stored = checkpointed(df)
+    return stored.coalesce(tasks_for(stored.coalesce(df.sparkSession.sparkContext.defaultParallelism).count()))
+
+
 def join_per_key(
     df: DataFrame, table: DataFrame, on: str | list[str] | Column, how: str = "left",
     max_rows: int = BROADCAST_ROW_LIMIT,
