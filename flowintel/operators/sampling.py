@@ -5,16 +5,16 @@ limit, the greatest one that leaves at most `k` of them.  Rows with equal keys h
 equal hashes and stay or go together.  Which rows stay depends on their content alone: not on
 partitions, order or retries.
 
-Rows per class are counted first: classes within the bound are not hashed.  Of the others one scan
-of the key columns stores the counts of hashes up to slightly more than k / n of their range, which
-hold the limit unless many rows are copies; otherwise all hashes are looked at.  The limit is found
-by narrowing: hashes are counted by their leading 16 bits; only the class's cell that holds row
+Rows per class are counted first: classes within the bound are not hashed.  Otherwise one scan of all
+columns stores the rows of the smaller classes and, of the larger ones, those with hashes up to slightly
+more than k / n of their range, which hold the limit unless many rows are copies; then all hashes are
+looked at.  The limit is found by narrowing: hashes are counted by their leading 16 bits; only the class's cell that holds row
 number k is looked at again, and counts pass through windows of at most 65,536 rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowintel.session import checkpointed, join_per_key
@@ -49,14 +49,23 @@ def hash_limits(hashed: DataFrame, k: int) -> DataFrame:
     return limits.select("_class", F.col("_cell").alias("_limit"))
 
 
-def lowest_hashes(hashed: DataFrame, large: DataFrame, k: int) -> DataFrame:
-    """Stored counts _class, _hash, _m of the hashes of large classes (_class, _rows) that likely hold row k + 1 of their class.
+def _share(k: int) -> Column:
+    """Bound of the hashes that likely hold row k + 1 of a class of `_rows` rows.
 
     Hashes are spread evenly, so about k of them lie below k / n of their range; the margin is eight deviations.
     """
-    share = (k + 8 * k ** 0.5 + 64) / F.col("_rows")
-    below = F.col("_hash").cast("double") < share * 2.0 ** 64 - 2.0 ** 63
-    near = join_per_key(hashed, large, "_class", "inner").where(below)
+    return (k + 8 * k ** 0.5 + 64) / F.col("_rows") * 2.0 ** 64 - 2.0 ** 63
+
+
+def lowest_rows(rows: DataFrame, large: DataFrame, k: int) -> DataFrame:
+    """Stored rows of (_class, _hash, ...): all of the classes that are not large (_class, _rows), the lowest hashes of the others."""
+    near = join_per_key(rows, large, "_class").where(F.col("_rows").isNull() | (F.col("_hash").cast("double") < _share(k)))
+    return checkpointed(near.select(*rows.columns))
+
+
+def lowest_hashes(hashed: DataFrame, large: DataFrame, k: int) -> DataFrame:
+    """Stored counts _class, _hash, _m of the hashes of large classes (_class, _rows) that likely hold row k + 1 of their class."""
+    near = join_per_key(hashed, large, "_class", "inner").where(F.col("_hash").cast("double") < _share(k))
     return checkpointed(near.groupBy("_class", "_hash").agg(F.count("*").alias("_m")))
 
 
@@ -73,9 +82,12 @@ def bottom_k(df: DataFrame, k: int, by: str, keys: list[str] | None = None, seed
     large = checkpointed(rows.groupBy("_class").agg(F.count("*").alias("_rows")).where(F.col("_rows") > k))
     if large.isEmpty():
         return df
-    hashed = rows.select("_class", "_hash")
-    lowest = lowest_hashes(hashed, large, k)
+    stored = lowest_rows(rows, large, k)
+    lowest = lowest_hashes(stored.select("_class", "_hash"), large, k)
     enough = lowest.groupBy("_class").agg(F.sum("_m").alias("_held")).where(F.col("_held") > k)
-    limits = hash_limits(lowest if enough.count() == large.count() else hashed, k)
+    if enough.count() == large.count():
+        rows, limits = stored, hash_limits(lowest, k)
+    else:
+        limits = hash_limits(rows.select("_class", "_hash"), k)
     kept = join_per_key(rows, limits, "_class").where(F.col("_limit").isNull() | (F.col("_hash") < F.col("_limit")))
     return kept.select(*df.columns)
