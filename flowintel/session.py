@@ -12,6 +12,8 @@ COMPILED_METHOD_BYTES = "8000"
 _METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 # Rows of a reduced result that one task reads at least.
 ROWS_PER_TASK = 20_000
+# Rows of a scan that one task may hold while other cores are idle.
+UNSPREAD_ROWS = 250_000
 
 
 def build_session(app: str = "flowintel", master: str | None = None, **conf: str) -> SparkSession:
@@ -79,6 +81,20 @@ def compacted(df: DataFrame) -> DataFrame:
     return stored.coalesce(tasks_for(stored.coalesce(df.sparkSession.sparkContext.defaultParallelism).count()))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan, dealt out anew where fewer tasks than cores hold them and one holds many.
+
+    A Parquet row group is read by one task, however large it is, and that task then does all that follows.
+    The rows per task are counted from the files' footers; suits narrow rows whose further work is wide.
+    """
+    found = df.groupBy(F.spark_partition_id().alias("_task")).agg(F.count("*").alias("_n")).agg(
+        F.count("*").alias("tasks"), F.max("_n").alias("most")).first()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if found["tasks"] >= cores or (found["most"] or 0) <= UNSPREAD_ROWS:
+        return df
+    return df.repartition(3 * cores)
+
+
 def join_per_key(
     df: DataFrame, table: DataFrame, on: str | list[str] | Column, how: str = "left",
     max_rows: int = BROADCAST_ROW_LIMIT,
