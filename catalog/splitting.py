@@ -7,6 +7,7 @@ from catalog.ctes import with_ctes
 from catalog.views import ROW_KEYS, flows, predictions, table
 from flowintel.functions.labels import add_label_index
 from flowintel.operators import clean, models, splits
+from flowintel.operators.distribution import rows_in
 
 _R, _RV = 0.70, 0.70 + 0.15
 
@@ -29,9 +30,9 @@ _PER_CLASS = f"""SELECT *, {_tag('r', 'n')} AS split FROM (SELECT *, max(r) OVER
  SELECT *, dense_rank() OVER (PARTITION BY label ORDER BY timestamp_parsed) AS r FROM clean))"""
 
 
-def _counts(df):
+def _counts(df, weight=None):
     return df.groupBy("label", "split").agg(
-        F.count("*").alias("flow_count"),
+        rows_in(weight).alias("flow_count"),
         F.date_format(F.min("timestamp_parsed"), "yyyy-MM-dd HH:mm:ss").alias("first_seen"),
         F.date_format(F.max("timestamp_parsed"), "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
 
@@ -42,12 +43,12 @@ _COUNTS = """SELECT label, split, count(*) AS flow_count, strftime(min(timestamp
 
 @query("split_global", with_ctes(_COUNTS.format(src=_GLOBAL), "clean"))
 def split_global(spark, sf):
-    return _counts(splits.split_global(flows(spark, sf)))
+    return _counts(splits.split_global(splits.timestamp_cells(flows(spark, sf))), "flow_count")
 
 
 @query("split_per_class", with_ctes(_COUNTS.format(src=_PER_CLASS), "clean"))
 def split_per_class(spark, sf):
-    return _counts(splits.split_per_class(flows(spark, sf)))
+    return _counts(splits.split_per_class(splits.timestamp_cells(flows(spark, sf))), "flow_count")
 
 
 @query("split_inter_day", with_ctes(_COUNTS.format(src="SELECT * FROM by_day"), "by_day"))
@@ -118,7 +119,7 @@ _COVERAGE = """SELECT class_name, train_support, val_support, test_support, trai
 
 @query("split_coverage", with_ctes(_COVERAGE.format(src=_GLOBAL), "clean", "classes"))
 def split_coverage(spark, sf):
-    return splits.split_coverage(splits.split_global(flows(spark, sf)))
+    return splits.split_coverage(splits.split_global(splits.timestamp_cells(flows(spark, sf))), weight="flow_count")
 
 
 @query("split_verification", with_ctes(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from flowintel import dims
 from flowintel.functions.numeric import ratio, uniform_from_keys
 from flowintel.operators import ranks
-from flowintel.session import join_per_key
+from flowintel.session import checkpointed, join_per_key
 
 SPLITS = ["train", "val", "test"]
 STRATEGIES = ["global_chronological", "chronological_per_class", "inter_day_chronological", "stratified_random"]
@@ -62,6 +62,15 @@ def distinct_timestamps(df: DataFrame, ts_col: str = "timestamp_parsed", by: lis
     return df.where(F.col(ts_col).isNotNull()).select(*(by or []), ts_col).distinct()
 
 
+def timestamp_cells(df: DataFrame, ts_col: str = "timestamp_parsed", label_col: str = "label") -> DataFrame:
+    """Rows per (label, timestamp) as flow_count, stored, without rows that have no timestamp.
+
+    A split by time gives all rows of a cell the same part.  Where only numbers of rows, labels and timestamps are wanted of
+    it, cutoffs and parts are found from the cells (pass weight="flow_count"), so that the rows are made and read once.
+    """
+    return checkpointed(df.where(F.col(ts_col).isNotNull()).groupBy(label_col, ts_col).agg(F.count("*").alias("flow_count")))
+
+
 def timestamp_ranks(
     df: DataFrame, ts_col: str = "timestamp_parsed", by: list[str] | None = None, limit: int = ranks.STAMPS_PER_RANGE,
 ) -> DataFrame:
@@ -170,13 +179,14 @@ def parts(tagged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(tagged.where(F.col("split") == s) for s in SPLITS)
 
 
-def split_coverage(tagged: DataFrame, label_col: str = "label") -> DataFrame:
+def split_coverage(tagged: DataFrame, label_col: str = "label", weight: str | None = None) -> DataFrame:
     """Support per class and part, and how much of the time span the class covers.
 
     All known classes are listed, also those without rows.
     """
+    rows = F.lit(1) if weight is None else F.col(weight)
     counts = tagged.groupBy(F.col(label_col).alias("class_name")).agg(
-        *[F.count_if(F.col("split") == s).alias(f"{s}_support") for s in SPLITS])
+        *[F.sum(F.when(F.col("split") == s, rows).otherwise(0)).alias(f"{s}_support") for s in SPLITS])
     every = dims.classes(tagged.sparkSession).select("class_name")
     full = every.join(counts, "class_name", "left").fillna(0)
     in_train, in_val, in_test = (F.col(f"{s}_support") > 0 for s in SPLITS)
