@@ -137,7 +137,7 @@ def split_verification(spark, sf):
 @query("split_overlap", with_ctes(
     f"SELECT count(*) AS shared_timestamps FROM (SELECT timestamp_parsed FROM ({_GLOBAL}) GROUP BY 1 HAVING count(DISTINCT split)>1)", "clean"))
 def split_overlap(spark, sf):
-    return splits.overlap(splits.split_global(flows(spark, sf))).agg(F.count("*").alias("shared_timestamps"))
+    return splits.overlap(splits.split_global(splits.timestamp_cells(flows(spark, sf)))).agg(F.count("*").alias("shared_timestamps"))
 
 
 @query("split_date_counts", with_ctes(

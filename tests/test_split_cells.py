@@ -24,7 +24,7 @@ def _rows(df):
     return sorted(map(str, df.collect()))
 
 
-@pytest.mark.parametrize("name", ["split_global", "split_per_class", "split_coverage"])
+@pytest.mark.parametrize("name", ["split_global", "split_per_class", "split_overlap", "split_coverage"])
 def test_flows_are_read_once(spark, lineitem, name):
     assert flows(spark, lineitem).inputFiles()
     assert QUERIES[name](spark, lineitem).inputFiles() == []  # what is returned reads stored cells
@@ -38,6 +38,16 @@ def test_cells_count_rows(spark, lineitem, name, split):
     assert _rows(QUERIES[name](spark, lineitem)) == _rows(by_rows)
 
 
-def test_coverage_of_cells(spark, lineitem):
+def test_coverage_and_overlap_of_cells(spark, lineitem):
     tagged = splits.split_global(flows(spark, lineitem))
     assert _rows(QUERIES["split_coverage"](spark, lineitem)) == _rows(splits.split_coverage(tagged))
+    assert [tuple(r) for r in QUERIES["split_overlap"](spark, lineitem).collect()] == [(0,)]
+
+
+def test_overlap_finds_a_timestamp_in_two_parts(spark):
+    rows = spark.sql("SELECT * FROM VALUES ('a', TIMESTAMP'2018-02-14 01:00:00', 'train'), ('b', TIMESTAMP'2018-02-14 01:00:00', 'val'),"
+                     " ('a', TIMESTAMP'2018-02-14 01:00:00', 'train'), (NULL, NULL, 'val') AS t(label, timestamp_parsed, split)")
+    cells = splits.timestamp_cells(rows)
+    assert {(r.label, r.flow_count) for r in cells.collect()} == {("a", 2), ("b", 1)}
+    tagged = cells.withColumn("split", F.when(F.col("label") == "a", "train").otherwise("val"))
+    assert splits.overlap(tagged).count() == 1
