@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowintel import dims
 
 
-def standardize_label(df: DataFrame, label_col: str = "label") -> DataFrame:
-    """Replace mapped raw labels by canonical ones and keep the input as `raw_label`.
+def standard_label(label: Column) -> Column:
+    """Canonical label of a raw one: exact match without trimming; labels outside the table pass through unchanged."""
+    renamed = [(raw, canonical) for raw, canonical in dims.LABEL_MAPPING.items() if raw != canonical]
+    return reduce(lambda cases, pair: cases.when(label == pair[0], F.lit(pair[1])), renamed, F).otherwise(label)
 
-    Exact match without trimming; labels outside the table pass through unchanged.
-    """
-    mapping = dims.label_map(df.sparkSession).withColumnRenamed("canonical_label", "_canonical")
-    return (
-        df.withColumnRenamed(label_col, "raw_label")
-        .join(F.broadcast(mapping), "raw_label", "left")
-        .withColumn(label_col, F.coalesce("_canonical", "raw_label"))
-        .drop("_canonical")
-    )
+
+def standardize_label(df: DataFrame, label_col: str = "label") -> DataFrame:
+    """Replace mapped raw labels by canonical ones and keep the input as `raw_label`."""
+    renamed = df.withColumnRenamed(label_col, "raw_label")
+    kept = [c for c in renamed.columns if c != "raw_label"]
+    return renamed.select("raw_label", *kept, standard_label(F.col("raw_label")).alias(label_col))
 
 
 def normalize_category(df: DataFrame, label_col: str = "label") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowintel import dims
-from flowintel.functions.labels import standardize_label
+from flowintel.functions.labels import standard_label
 from flowintel.functions.numeric import TOKEN_CHECKS, finite_or_zero
 from flowintel.functions.timeparse import FLOW_PATTERN, parse_flow_timestamp
 from flowintel.session import limit_methods
@@ -62,31 +62,38 @@ def rename_columns(df: DataFrame) -> DataFrame:
     return df.selectExpr(*[f"`{c}` AS `{dims.COLUMN_MAPPING.get(c, c)}`" for c in df.columns])
 
 
-def _clean_value(name: str, raw: str, raw_names: set[str]) -> str:
-    """SQL text that types and sanitizes one raw column."""
-    col, forward = f"`{raw}`", dims.RAW_BY_SNAKE["tot_fwd_pkts"]
+def _typed_value(name: str, raw: str) -> str:
+    """SQL text that types one raw column and names it once; the columns that _sanitized_value() finishes stay text."""
+    if name in dims.INT_COLUMNS:
+        return f"try_cast(`{raw}` AS int)"
+    if name in dims.RAW_BY_SNAKE and name not in (*dims.RATE_COLUMNS, dims.RATIO_COLUMN, "timestamp", "label"):
+        return f"try_cast(`{raw}` AS double)"
+    return f"`{raw}`"
+
+
+def _sanitized_value(name: str, names: set[str]) -> str:
+    """SQL text that finishes one renamed column."""
     if name in dims.RATE_COLUMNS:
-        return finite_or_zero(col)
+        return finite_or_zero(f"`{name}`")
     if name == dims.RATIO_COLUMN:
-        if forward not in raw_names:
-            return finite_or_zero(col)
-        return f"CASE WHEN try_cast(`{forward}` AS double) = 0 THEN 0.0D ELSE {finite_or_zero(col)} END"
-    if name in dims.INT_COLUMNS:
-        return f"try_cast({col} AS int)"
-    if name in dims.RAW_BY_SNAKE and name not in ("timestamp", "label"):
-        return f"try_cast({col} AS double)"
-    return col
+        value = finite_or_zero(f"`{name}`")
+        return f"CASE WHEN tot_fwd_pkts = 0 THEN 0.0D ELSE {value} END" if "tot_fwd_pkts" in names else value
+    return f"`{name}`"
 
 
 def typed_flows(raw: DataFrame) -> DataFrame:
-    """Header rows removed, columns renamed, cast and sanitized, labels standardized; no row filter yet."""
+    """Header rows removed, columns renamed, cast and sanitized, labels standardized; no row filter yet.
+
+    The first projection names each raw column once, so Spark joins it with whatever makes the text, and wide rows of
+    text are never built; the few columns that are looked at repeatedly follow in the second.
+    """
     limit_methods(raw.sparkSession)
     names = {c: dims.COLUMN_MAPPING.get(c, c) for c in raw.columns}
-    typed = without_repeated_headers(raw).selectExpr(
-        *[f"{_clean_value(snake, c, set(names))} AS `{snake}`" for c, snake in names.items()],
-        f"try_to_timestamp(`Timestamp`, '{FLOW_PATTERN}') AS timestamp_parsed",
-    ).withColumn("event_date", F.to_date("timestamp_parsed"))
-    return standardize_label(typed).select(*names.values(), "raw_label", "timestamp_parsed", "event_date")
+    typed = without_repeated_headers(raw).selectExpr(*[f"{_typed_value(snake, c)} AS `{snake}`" for c, snake in names.items()])
+    parsed, present = f"try_to_timestamp(timestamp, '{FLOW_PATTERN}')", set(names.values())
+    return typed.select(
+        *[standard_label(F.col(n)).alias(n) if n == "label" else F.expr(f"{_sanitized_value(n, present)} AS `{n}`") for n in names.values()],
+        F.col("label").alias("raw_label"), F.expr(f"{parsed} AS timestamp_parsed"), F.expr(f"to_date({parsed}) AS event_date"))
 
 
 def valid_duration() -> Column:

@@ -97,3 +97,29 @@ def test_integrity_flag(spark):
 def test_required_columns(spark):
     with pytest.raises(ValueError, match=r"\['a', 'b'\]"):
         clean.require_columns(spark.range(1), ["b", "a", "id"])
+
+
+def test_wide_rows_of_text_are_not_built(spark):
+    """Text made by a projection is typed in that projection, and labels take no join; the values are those of separate steps."""
+    text = [f"IF(id % 7 = 3, NULL, string(id * {k + 1})) AS `{c}`" for k, c in enumerate(dims.RAW_COLUMNS)]
+    special = {
+        "Label": "element_at(array('Benign', 'Infilteration', 'Label', 'Other', NULL, ' Bot'), int(id % 6) + 1)",
+        "Timestamp": "element_at(array('14/02/2018 08:31:01', '2018-02-14', NULL, '1/2/2018 08:00:00'), int(id % 4) + 1)",
+        "Flow Byts/s": "element_at(array('inf', 'NaN', '', 'abc', NULL, '-Infinity', '2.5', '1e3'), int(id % 8) + 1)",
+        "Down/Up Ratio": "element_at(array('x', 'NaN', '', '3', NULL), int(id % 5) + 1)",
+        "Tot Fwd Pkts": "element_at(array('0', '-0', '0.0', 'x', NULL, '4'), int(id % 6) + 1)",
+        "Dst Port": "element_at(array('80', ' 81 ', '8e1', NULL, '99999999999'), int(id % 5) + 1)",
+    }
+    made = spark.range(0, 500, 1, 2).selectExpr(*[f"{special[c]} AS `{c}`" if c in special else e for c, e in zip(dims.RAW_COLUMNS, text)])
+    flows = clean.typed_flows(made)
+    plan = flows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Project [") == 2
+    stored = spark.createDataFrame(made.collect(), made.schema)
+    separate = stored.where("Label <> 'Label'").selectExpr(
+        "CASE Label WHEN 'Infilteration' THEN 'Infiltration' ELSE Label END AS label", "Label AS raw_label", "try_cast(`Dst Port` AS int) AS dst_port",
+        "try_cast(`Tot Fwd Pkts` AS double) AS tot_fwd_pkts", "try_cast(`Idle Min` AS double) AS idle_min",
+        "CASE WHEN `Flow Byts/s` IS NULL OR `Flow Byts/s` IN ('', 'inf', 'NaN', '-Infinity') THEN 0.0D ELSE try_cast(`Flow Byts/s` AS double) END AS flow_byts_s",
+        "CASE WHEN try_cast(`Tot Fwd Pkts` AS double) = 0 OR `Down/Up Ratio` IS NULL OR `Down/Up Ratio` IN ('', 'NaN') THEN 0.0D "
+        "ELSE try_cast(`Down/Up Ratio` AS double) END AS down_up_ratio",
+        "try_to_timestamp(Timestamp, 'dd/MM/yyyy HH:mm:ss') AS timestamp_parsed", "to_date(try_to_timestamp(Timestamp, 'dd/MM/yyyy HH:mm:ss')) AS event_date")
+    assert sorted(map(str, flows.select(separate.columns).collect())) == sorted(map(str, separate.collect()))
