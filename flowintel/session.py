@@ -14,6 +14,8 @@ _METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 ROWS_PER_TASK = 20_000
 # Rows of a scan that one task may hold while other cores are idle.
 UNSPREAD_ROWS = 250_000
+# How much longer than evenly dealt rows the tasks of a scan may take.
+UNEVEN = 1.25
 
 
 def build_session(app: str = "flowintel", master: str | None = None, **conf: str) -> SparkSession:
@@ -82,17 +84,20 @@ def compacted(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a scan, dealt out anew where fewer tasks than cores hold them and one holds many.
+    """Rows of a scan, dealt out anew where its tasks would leave cores idle and one of them holds many rows.
 
-    A Parquet row group is read by one task, however large it is, and that task then does all that follows.
-    The rows per task are counted from the files' footers; suits narrow rows whose further work is wide.
+    A Parquet row group is read by one task, however large it is, and that task then does all that follows; so few
+    tasks, or tasks that come out uneven, hold up the rest.  The rows per task are counted from the files' footers.
+    Rows are dealt by their place in the scan, which is the same on a retry, so they are neither sorted nor is a
+    common row dealt to one task.  Suits narrow rows whose further work is wide.
     """
     found = df.groupBy(F.spark_partition_id().alias("_task")).agg(F.count("*").alias("_n")).agg(
-        F.count("*").alias("tasks"), F.max("_n").alias("most")).first()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if found["tasks"] >= cores or (found["most"] or 0) <= UNSPREAD_ROWS:
+        F.count("*").alias("tasks"), F.max("_n").alias("most"), F.sum("_n").alias("rows")).first()
+    cores, most = df.sparkSession.sparkContext.defaultParallelism, found["most"] or 0
+    rounds = -(-found["tasks"] // cores)
+    if most <= UNSPREAD_ROWS or found["tasks"] >= cores and rounds * most * cores <= UNEVEN * found["rows"]:
         return df
-    return df.repartition(3 * cores)
+    return df.withColumn("_place", F.monotonically_increasing_id()).repartition(3 * cores, "_place").drop("_place")
 
 
 def join_per_key(

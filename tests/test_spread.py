@@ -30,3 +30,21 @@ def test_enough_tasks_stay_as_they_are(spark, monkeypatch):
     rows = spark.range(0, 1000, 1, spark.sparkContext.defaultParallelism)
     assert session.spread(rows) is rows
     assert session.spread(spark.range(0)).isEmpty()
+
+
+def test_uneven_tasks_are_dealt_out(spark, monkeypatch):
+    """There are as many tasks as cores, but half of them hold nearly all rows."""
+    monkeypatch.setattr(session, "UNSPREAD_ROWS", 10)
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 1000 * cores, 1, cores).where(f"id < {500 * cores} OR id % 10 = 0").selectExpr("id", "IF(id % 3 = 0, NULL, 'x') AS v")
+    dealt = session.spread(rows)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 3 * cores and max(sizes) < 2 * min(sizes)
+    assert dealt.columns == rows.columns and dealt.count() == rows.count() and dealt.exceptAll(rows).isEmpty()
+
+
+def test_copies_of_one_row_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(session, "UNSPREAD_ROWS", 10)
+    dealt = session.spread(spark.range(0, 6000, 1, 1).selectExpr("7 AS l_orderkey"))
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 6000 and len(sizes) == 3 * spark.sparkContext.defaultParallelism and max(sizes) < 2 * min(sizes)
