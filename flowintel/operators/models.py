@@ -16,7 +16,7 @@ from flowintel.functions.numeric import non_finite_to_null
 from flowintel.operators import evaluate, sampling, splits, thresholds
 from flowintel.operators.importance import rank_importances
 from flowintel.operators.splits import TrainingConfig
-from flowintel.session import checkpointed
+from flowintel.session import checkpointed, stored
 
 CATEGORICAL = "protocol"
 IMPUTED_SUFFIX = "__imp"
@@ -102,15 +102,15 @@ def prepare(df: DataFrame, config: TrainingConfig) -> tuple[DataFrame, list[str]
 
 
 def fit_rows(prepared: DataFrame, config: TrainingConfig) -> DataFrame:
-    """Stored training rows: of each class at most `fit_rows_per_class`, the ones with the smallest hashes, with weights.
+    """Stored training rows with weights: all of them or, where `fit_rows_per_class` is set, at most so many of each class,
+    the ones with the smallest hashes.
 
-    Imputer, indexer and classifiers read them repeatedly; their number is bounded, the prepared rows themselves
-    are never cached.
+    Imputer, indexer and classifiers read them repeatedly, so they are stored once, compressed and by column.
     """
     train = prepared.where(F.col("split") == "train")
     if config.fit_rows_per_class is not None:
         train = sampling.bottom_k(train, config.fit_rows_per_class, "label_idx", seed=config.seed)
-    train = checkpointed(train)
+    train = stored(train)
     if config.use_class_weights:
         train = splits.add_class_weights(train, splits.class_weights(train, config.max_class_weight))
     return train

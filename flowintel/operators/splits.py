@@ -44,7 +44,7 @@ class TrainingConfig:
     # columns that identify a row for hashed splits and samples
     row_keys: tuple[str, ...] = ()
     # most rows of a class that a model is fitted on; None for all
-    fit_rows_per_class: int | None = 1_000_000
+    fit_rows_per_class: int | None = None
 
     def __post_init__(self):
         ranges = {

@@ -83,7 +83,7 @@ def run_analytics(
 def train_and_evaluate(df: DataFrame, config: TrainingConfig, model_dir: str | None = None) -> dict[str, object]:
     """Sample, split, fit, predict, evaluate; optionally store the model and its reports.
 
-    Only the bounded training rows are stored for the fit.  Held-out rows are scored in one scan that leaves counts of
+    Only the training rows are stored for the fit.  Held-out rows are scored in one scan that leaves counts of
     (split, label, prediction, adjusted prediction, threshold level); evaluation, confusion matrices and the threshold
     study derive from them.
     """

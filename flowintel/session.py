@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Materialize many wide rows once, as Parquet in the checkpoint folder: a fraction of the disk that `checkpointed` takes."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tasks_for(rows: int) -> int:
     """Number of tasks that reduced rows are worth; a coalesce to more partitions than there are changes nothing."""
     return rows // ROWS_PER_TASK + 1
