@@ -155,7 +155,7 @@ def compare_classifiers(prepared: DataFrame, features: list[str], config: Traini
     """
     train = fit_rows(prepared, config)
     stages = Pipeline(stages=preprocessing_stages(features)).fit(train)
-    ready = checkpointed(stages.transform(train).select("label_idx", "features"))
+    ready = stored(stages.transform(train).select("label_idx", "features"))
     scored = stages.transform(prepared.where(F.col("split") == "test")).select("label_idx", "features")
     classifiers = comparison_classifiers(config)
     for name, classifier in classifiers.items():
