@@ -48,11 +48,10 @@ def manifest_digest(spark, sf):
 @query("table_manifest", "SELECT name || '.parquet' AS path, true AS same_digest, true AS same_size, true AS same_manifest FROM ("
        + " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES) + ") WHERE n >= 0")
 def table_manifest(spark, sf):
-    """Streamed digests of the tables' files beside those of the files read whole, and whether the manifest of a
-    shuffled list of the files equals that of the folder."""
+    """Streamed digests of the tables' files beside those of the files read otherwise (whole, where a task can hold them),
+    and whether the manifest of a shuffled list of the files equals that of the folder."""
     streamed = manifest.file_entries(spark, sf)
-    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(sf).select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), F.sha2("content", 256).alias("whole_sha256"), "length")
+    whole = manifest.whole_entries(spark, sf).select("path", F.col("sha256").alias("whole_sha256"), F.col("size_bytes").alias("length"))
     shuffled = manifest.file_entries(spark, [f"{sf}/{t}.parquet" for t in reversed(TABLES)], base=sf)
     hashes = [manifest.manifest(e).select("source_manifest_hash").scalar() for e in (streamed, shuffled)]
     return streamed.join(whole, "path").select(

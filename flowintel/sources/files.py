@@ -23,6 +23,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """Full URI of a path, as Spark names the files below it."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop_path).toString()
+
+
 def selected_files(spark: SparkSession, raw_dir: str, files: list[str]) -> tuple[list[str], list[str]]:
     """Those of the named members of a folder that exist, and those that do not."""
     found = {name: path_exists(spark, f"{raw_dir.rstrip('/')}/{name}") for name in files}

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from flowintel.functions.digest import content_digest, row_text
 from flowintel.sources.digests import file_digests
+from flowintel.sources.files import qualified
 
 DIGEST_LENGTH = 16
+# Largest file that is read into one value; Spark's bound is 2 GB, and a task holds the value more than once.
+WHOLE_BYTES = 64 << 20
 
 
 def file_entries(spark: SparkSession, paths: str | list[str], base: str | None = None, **options: int) -> DataFrame:
@@ -20,6 +23,17 @@ def file_entries(spark: SparkSession, paths: str | list[str], base: str | None =
     return file_digests(spark, paths, base, **options)
 
 
+def whole_entries(spark: SparkSession, folder: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """The entries of a folder's files by other means than file_entries(): files up to `whole_bytes` are read into one value
+    and hashed by Spark, larger ones, which no value can hold, and empty ones, which Spark leaves out, by the digest of
+    Python's library over the opened file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    name = F.substring("path", F.lit(len(qualified(spark, folder).rstrip("/")) + 2), F.length("path"))
+    small = files.where(F.col("length").between(1, whole_bytes)).select(
+        name.alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
+    return small.unionByName(file_digests(spark, folder, larger_than=whole_bytes))
+
+
 def entries_from_content(df: DataFrame, path_col: str, content_col: str) -> DataFrame:
     """Same entry shape for a table that stores one document per row."""
     return df.select(
