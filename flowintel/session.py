@@ -16,6 +16,8 @@ _METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 ROWS_PER_TASK = 20_000
 # Rows of a scan that one task may hold while other cores are idle.
 UNSPREAD_ROWS = 250_000
+# Rows of a task of a dealt scan, at most; what a task sorts stays in memory.
+DEALT_ROWS = 1_000_000
 # How much longer than evenly dealt rows the tasks of a scan may take.
 UNEVEN = 1.25
 
@@ -106,7 +108,8 @@ def spread(df: DataFrame) -> DataFrame:
     rounds = -(-found["tasks"] // cores)
     if most <= UNSPREAD_ROWS or found["tasks"] >= cores and rounds * most * cores <= UNEVEN * found["rows"]:
         return df
-    return df.withColumn("_place", F.monotonically_increasing_id()).repartition(3 * cores, "_place").drop("_place")
+    tasks = max(3 * cores, -(-found["rows"] // DEALT_ROWS))
+    return df.withColumn("_place", F.monotonically_increasing_id()).repartition(tasks, "_place").drop("_place")
 
 
 def join_per_key(

@@ -22,6 +22,9 @@ from flowintel.sources.files import path_exists
 LOAD_KEY = "load_id"
 LOADING = "_loading"
 IF_EXISTS = ("replace", "skip", "error")
+# Estimated bytes of rows that are shuffled for the sake of few files.  The estimate starts from compressed files, and a
+# shuffle of flows takes about five times as much.
+REBALANCED_BYTES = 256 << 20
 
 
 class DuplicateRunError(Exception):
@@ -144,15 +147,23 @@ def load_analytical(root: str, cells: DataFrame, ports: DataFrame) -> None:
     _write(ports, f"{root}/analytical_port_concentration", ["source_report_hash"])
 
 
-def write_curated(df: DataFrame, path: str, date_col: str = "event_date", rebalance: bool = False) -> None:
-    """Curated flows partitioned by date.
+def estimated_bytes(df: DataFrame) -> int:
+    """Size of the rows as Spark's optimizer estimates it, without a job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def write_curated(
+    df: DataFrame, path: str, date_col: str = "event_date", rebalance: bool = False, append: bool = False,
+) -> None:
+    """Curated flows partitioned by date, in place of those stored there or, with `append`, beside them.
 
     Capture files hold one day each, so tasks already write few files and no shuffle is
     needed.  For input that mixes dates set `rebalance`: rows are then grouped by date and
-    a busy date is split into several evenly sized files.
+    a busy date is split into several evenly sized files.  Where the rows are many, their shuffle would take several
+    times the disk of the files; each task then writes one file for each of its dates, which are large enough.
     """
-    rows = df.hint("rebalance", F.col(date_col)) if rebalance else df
-    rows.write.mode("overwrite").partitionBy(date_col).parquet(path)
+    rows = df.hint("rebalance", F.col(date_col)) if rebalance and estimated_bytes(df) <= REBALANCED_BYTES else df
+    rows.write.mode("append" if append else "overwrite").option("compression", "zstd").partitionBy(date_col).parquet(path)
 
 
 def write_json_sections(sections: dict[str, DataFrame], path: str) -> None:
