@@ -32,8 +32,8 @@ def discarded(spark: SparkSession, path: str, result: DataFrame) -> DataFrame:
     return result
 
 
-def raw_flows(spark: SparkSession, sf: str, keep: list[str] | None = None) -> DataFrame:
-    return lineitem_flows(spark, sf, keep)
+def raw_flows(spark: SparkSession, sf: str, keep: list[str] | None = None, share: tuple[int, int] = (0, 1)) -> DataFrame:
+    return lineitem_flows(spark, sf, keep, share)
 
 
 def flows(spark: SparkSession, sf: str, keep: list[str] | None = None) -> DataFrame:

@@ -19,16 +19,21 @@ from flowintel.session import checkpointed
 from flowintel.sources import files, manifest, tables
 
 
-def run_cleaning(spark: SparkSession, raw_dir: str, output: str, raw_files: list[str] | None = None) -> dict[str, DataFrame]:
+def run_cleaning(
+    spark: SparkSession, raw_dir: str, output: str, raw_files: list[str] | None = None, append: bool = False,
+) -> dict[str, DataFrame]:
     """Raw CSV to curated Parquet plus the integrity report.
 
+    With `append` the flows join those stored before, as captures arrive; the audit covers these raw files, class
+    distribution and layout all that is stored.
+
     Two passes over the raw text: one aggregate per file with all counters, and the write.
     Counters are aggregated rather than observed during the write, because observed
     metrics can count a task twice when it is retried.
     """
     raw = files.read_raw_flows(spark, raw_dir, raw_files)
     audit = checkpointed(clean.cleaning_audit(raw))
-    tables.write_curated(clean.clean_flows(raw), output)
+    tables.write_curated(clean.clean_flows(raw), output, append=append)
     curated = files.read_curated(spark, output)
     return {
         "row_accounting": clean.audited_totals(audit),

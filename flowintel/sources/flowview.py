@@ -9,6 +9,7 @@ only SQL that Spark and other engines read alike; `{s}` is the text type.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowintel import dims
 from flowintel.session import limit_methods, spread
@@ -93,10 +94,18 @@ EXPRESSIONS = {
 EXPRESSIONS["source_file"] = "concat('flows-',replace(day_s,'/','-'),'.csv')"
 
 
-def lineitem_flows(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
-    """Raw flows (CSV column names, all text) plus `source_file`; `keep` adds lineitem columns."""
+def lineitem_flows(
+    spark: SparkSession, sf_dir: str, keep: list[str] | None = None, share: tuple[int, int] = (0, 1),
+) -> DataFrame:
+    """Raw flows (CSV column names, all text) plus `source_file`; `keep` adds lineitem columns.
+
+    `share` (i, n) gives the i-th of n shares by hash, which together are all rows.
+    """
     limit_methods(spark)
-    keys = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*KEY_COLUMNS)).selectExpr(
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*KEY_COLUMNS)
+    if share[1] > 1:
+        rows = rows.where(F.pmod(F.xxhash64(*KEY_COLUMNS), F.lit(share[1])) == share[0])
+    keys = spread(rows).selectExpr(
         *KEY_COLUMNS, *[f"{expr} AS {name}" for name, expr in DERIVED.items()]
     )
     days = keys.selectExpr("*", f"{DAY} AS day_s")
